@@ -3,19 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terralex.llm import exact_dedup, license_scan, packing, secret_scan
+from terralex.llm import embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, warc
 from terralex.llm import quality as quality_model
+from terralex.llm.common import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.with_revisits(table(spark, sf_dir, "pages"))
+    archives = written(warc.write_archives(records, new_path(spark, "warc")), "archives")
+    found = warc.read_archives(archives, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,16 +46,38 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op5_exact_dedup, op6_quality_classifier, op7_packing, op10_secret_scan)}
+    found = (
+        op1_warc,
+        op2_ngram_jaccard_join,
+        op3_license_scan,
+        op4_embedding_dedup,
+        op5_exact_dedup,
+        op6_quality_classifier,
+        op7_packing,
+        op9_suffix_dedup,
+        op10_secret_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+            g AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+            FROM g
+        """,
         "op5_exact_dedup": r"""
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
