@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralex.llm import embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, suffix_dedup, warc
+from terralex.llm import embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, sentence_pieces, suffix_dedup, warc
 from terralex.llm import quality as quality_model
 from terralex.llm.common import new_path, written
 
@@ -46,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.summary(sentence_pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
@@ -63,6 +67,7 @@ def queries() -> dict:
         op5_exact_dedup,
         op6_quality_classifier,
         op7_packing,
+        op8_sentence_pieces,
         op9_suffix_dedup,
         op10_secret_scan,
     )
