@@ -2,9 +2,9 @@
 
 Vectors are normalised, projected on random Gaussian directions and quantised; ``HASHES`` quantised
 projections make a bucket, and ``tables_for`` chooses the number of tables so that a pair at the threshold
-shares a bucket with the target recall (Datar et al.). Identical vectors of a label form one class first. What
-shares a bucket, directly or over others, is one candidate group, whose cosines are computed in full and
-in double precision, block by block (:mod:`terralex.llm.linkage`). No pair is ever a row.
+shares a bucket with the target recall (Datar et al.). Identical vectors of a label form one class first. The cosines in a
+bucket are computed in full and in double precision, block by block (:mod:`terralex.llm.linkage`); a pair
+that shares several buckets counts in the first. No pair is ever a row.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without a
 label, link with nothing. Vectors of different lengths don't link. Repeated rows are copies of one another.
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralex.llm.common import written
-from terralex.llm.linkage import candidate_groups, linked_classes, links
+from terralex.llm.linkage import linked_classes, links, shared_buckets
 
-THRESHOLD, RECALL, WIDTH, HASHES, SEED = 0.93, 0.999, 1.0, 6, 5
+THRESHOLD, RECALL, WIDTH, HASHES, SEED = 0.93, 0.995, 2.0, 16, 5
 
 
 def tables_for(threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH, hashes: int = HASHES) -> int:
@@ -74,10 +74,22 @@ def _sketched(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(columns, ["vec_id", "node", "bands", "payload"])
 
 
-def cosine_kernel(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    a = np.array(left)
-    b = a if right is None else np.array(right)
-    return (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]) >= THRESHOLD
+def cosine_kernel(left: list[tuple], right: list[tuple] | None, bucket: int) -> np.ndarray:
+    """Members as (vector, buckets): links of cosine THRESHOLD or more that no earlier table's bucket has."""
+    a, mine = (np.array(x) for x in zip(*left))
+    b, theirs = (a, mine) if right is None else (np.array(x) for x in zip(*right))
+    link = (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]) >= THRESHOLD
+    table = int(np.flatnonzero(mine[0] == bucket)[0])
+    rows, columns = np.nonzero(link)
+    for begin in range(0, len(rows), 20_000):
+        r, c = rows[begin : begin + 20_000], columns[begin : begin + 20_000]
+        earlier = (mine[r, :table] == theirs[c, :table]).any(axis=1)
+        link[r[earlier], c[earlier]] = False
+    return link
+
+
+def _member(_node: bytes, payload: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(payload["vector"]), np.array(payload["bands"], np.int64)
 
 
 def near_vectors(vectors: DataFrame, tables: int | None = None) -> DataFrame:
@@ -86,8 +98,8 @@ def near_vectors(vectors: DataFrame, tables: int | None = None) -> DataFrame:
     rows = written(slim.mapInArrow(lambda b, k=tables or tables_for(): _sketched(b, k), "vec_id long, node binary, bands array<long>, payload binary"), "sketches")
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("payload").alias("payload"))
     classes = written(classes, "classes")
-    members = candidate_groups(classes).join(classes, "node").select("root", "node", "copies", "payload")
-    found = linked_classes(classes, links(members, cosine_kernel, lambda node, payload: np.frombuffer(payload)))
+    members = shared_buckets(classes).join(classes, "node").select("root", "node", "copies", F.struct(F.col("payload").alias("vector"), "bands").alias("payload"), "size")
+    found = linked_classes(classes, links(members, cosine_kernel, _member))
     return rows.select("vec_id", "node").join(found, "node", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

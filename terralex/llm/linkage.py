@@ -1,8 +1,8 @@
 """Exact links inside groups of candidates, without a row per pair.
 
-Candidates share a bucket (a band of a sketch). Buckets become stars around their smallest member, stars
-become candidate groups, and each group is compared in full: a group of more than ``BLOCK`` members is
-split into blocks, and each pair of blocks is one unit of work. A unit gives link counts and a spanning
+Candidates share a bucket (a band of a sketch). They are compared by bucket, or buckets become stars around
+their smallest member and stars candidate groups, where chance candidates are too few to connect them. A bucket
+or group of more than ``BLOCK`` members is split into blocks, and each pair of blocks is one unit of work. A unit gives link counts and a spanning
 forest of its links, so rows follow the members and never the pairs. The number of members of a unit is
 bounded; units of a large group go to different tasks.
 """
@@ -47,16 +47,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """classes (node, bands array<long>) -> (root, node, size): buckets with more than one member."""
+    buckets = classes.select(F.explode("bands").alias("root"), "node")
+    return buckets.join(buckets.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "root")
+
+
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """classes (node, bands array<long>) -> (node, root) of those that share buckets, directly or over others."""
+    """classes (node, bands array<long>) -> (root, node, size) of those that share buckets, directly or over others."""
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     stars = buckets.join(centres, "bucket").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    return connected_components(stars)
+    groups = connected_components(stars)
+    return groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").select("root", "node", "size")
 
 
-#: Gets arrays (payloads of left, payloads of right or None) -> Boolean matrix of links; None: left against itself.
-Kernel = Callable[[list, list | None], np.ndarray]
+#: Gets (payloads of left, payloads of right or None, bucket or group) -> Boolean matrix of links; None: left against itself.
+Kernel = Callable[[list, list | None, object], np.ndarray]
 
 
 def _forest(link: np.ndarray, left: list, right: list) -> list[tuple]:
@@ -78,7 +85,7 @@ def _forest(link: np.ndarray, left: list, right: list) -> list[tuple]:
     return [(a, b) for a, b in out if a != b]
 
 
-def _unit(rows: list[tuple], kernel: Kernel) -> Iterator[tuple]:
+def _unit(root: object, rows: list[tuple], kernel: Kernel) -> Iterator[tuple]:
     """rows (lo, hi, block, node, copies, payload) of one unit -> (node, linked documents, other node or None)."""
     lo, hi = rows[0][0], rows[0][1]
     unique = {r[3]: r for r in rows}
@@ -87,10 +94,10 @@ def _unit(rows: list[tuple], kernel: Kernel) -> Iterator[tuple]:
     if not left or not right:
         return
     if lo == hi:
-        link = kernel([r[5] for r in left], None)
+        link = kernel([r[5] for r in left], None, root)
         np.fill_diagonal(link, False)
     else:
-        link = kernel([r[5] for r in left], [r[5] for r in right])
+        link = kernel([r[5] for r in left], [r[5] for r in right], root)
     for side, counts in ((left, link @ np.array([r[4] for r in right], np.int64)), (right, np.array([r[4] for r in left], np.int64) @ link)):
         yield from ((r[3], n, None) for r, n in zip(side, counts.tolist()) if n)
         if lo == hi:
@@ -108,7 +115,7 @@ def _units(batches: Iterator[pa.RecordBatch], kernel: Kernel, prepare: Callable)
         for root, lo, hi, block, node, copies, payload in zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi", "block", "node", "copies", "payload"))):
             if (root, lo, hi) != current:
                 if rows:
-                    found += _unit(rows, kernel)
+                    found += _unit(current[0], rows, kernel)
                 current, rows = (root, lo, hi), []
                 if len(found) > 20_000:
                     yield out(found)
@@ -116,16 +123,15 @@ def _units(batches: Iterator[pa.RecordBatch], kernel: Kernel, prepare: Callable)
             if (ready := prepare(node, payload)) is not None:
                 rows.append((lo, hi, block, node, copies, ready))
     if rows:
-        found += _unit(rows, kernel)
+        found += _unit(current[0], rows, kernel)
     yield out(found)
 
 
 def links(members: DataFrame, kernel: Kernel, prepare: Callable) -> DataFrame:
-    """members (root, node, copies, payload) -> (node, n, other): counts of linked documents, and edges that connect what is linked.
+    """members (root, node, copies, payload, size of the root's group) -> (node, n, other): counts of linked documents, and edges that connect what is linked.
 
     prepare(node, payload) makes what kernel gets, or None for a row that isn't the node's."""
-    sizes = members.groupBy("root").agg(F.countDistinct("node").alias("size"))
-    sized = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sized = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = placed.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "copies", "payload")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -146,7 +146,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     return out
 
 
-def jaccard_kernel(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+def jaccard_kernel(left: list[np.ndarray], right: list[np.ndarray] | None, _root: bytes) -> np.ndarray:
     both = overlaps(left, right)
     sizes = np.array([len(s) for s in left], float)[:, None] + np.array([len(s) for s in (left if right is None else right)], float)[None, :]
     return both >= THRESHOLD * (sizes - both) - 1e-6
@@ -159,7 +159,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, text: str = "text", doc_id: str
     groups = candidate_groups(classes)
     wanted = groups.join(classes.select("node", "rep", "copies"), "node")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), text_of(text).alias("payload"))
-    members = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("root", "node", "copies", "payload")
+    members = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("root", "node", "copies", "payload", "size")
 
     def prepare(node: bytes, payload: str) -> np.ndarray | None:
         joined = normal(payload.encode())

@@ -1,18 +1,20 @@
 """Suffix-array dedup: removes each byte of a string of ``LENGTH`` bytes that also starts earlier.
 
 1. Scan: of each ``LENGTH`` consecutive bytes the smallest hash of ``GRAM`` bytes inside is their anchor
-   (winnowing), so equal strings have equal anchors at equal offsets. Anchors are dealt by hash, packed, and
-   those that occur once in all texts are dropped: their strings repeat nowhere.
-2. Contexts: the bytes of all strings that have a repeated anchor, dealt by anchor into shards. Within a batch
-   equal contexts are sent once, as a later one is all repeats.
+   (winnowing), so equal strings have equal anchors at equal offsets. The strings of one anchor in a row are a
+   context. Hashes of anchor and context are dealt by anchor, packed: of equal contexts only the earliest isn't
+   all repeats, and an anchor with one context in all texts needs no more. Within a batch equal
+   contexts are dealt once.
+2. Contexts: where an anchor has several contexts, their strings can agree in part. The bytes of each
+   different context are dealt by anchor into shards.
 3. Shards: a suffix array by Larsson-Sadakane refinement (only groups that aren't sorted yet are sorted
    again, by the rank half way), Kasai's common prefixes over neighbours, and the earliest start of
    each run of suffixes that share ``LENGTH`` bytes. A shard over ``SHARD`` bytes is split, and the parts are
    merged by binary search of one's strings in the other's suffix array.
 4. Repeated starts go back to their documents, whose bytes are cut.
 
-Rows move as packed arrays; texts move twice, to meet their anchors and their cuts. Buckets follow
-spark.sql.shuffle.partitions.
+Rows move as packed arrays; texts are shuffled once, for two joins. Buckets follow
+spark.sql.shuffle.partitions. Hashes of 96 bits decide whether two contexts are equal.
 
 Defined results: a null text is empty. Rows that repeat doc_id and text are one document and get the same
 result; rows that share only doc_id are ordered by a hash of the text; a null doc_id comes last. Cut text
@@ -30,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import buckets_for, encoded, parts, text_of
+from terralex.llm.common import buckets_for, encoded, parts, text_of, written
 
-LENGTH, GRAM, SHARD, BATCH = 100, 32, 8_000_000, 8_000_000
+LENGTH, GRAM, SHARD, BATCH = 100, 32, 2_000_000, 8_000_000
 WINDOW = LENGTH - GRAM + 1
 LAST = (1 << 63) - 1
 
-SPOT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
+SPOT = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("content", "<u4"), ("content2", "<u2"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
 CONTEXT = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
 
 
@@ -73,7 +75,7 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of LENGTH bytes or more: hash and offset of each anchor, its first string's start, and how many strings have it."""
+    """Of a text of LENGTH bytes or more: hash of each anchor, hash of its context, the start of its first string, and how many strings have it."""
     sums = _sums(b)
     starts = np.arange(len(b) - GRAM + 1)
     hashes = _slices(sums, starts, starts + GRAM)
@@ -82,7 +84,7 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     at = (best & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
     count = np.diff(np.append(first, len(at)))
-    return hashes[at[first]], at[first], first, count
+    return hashes[at[first]], _slices(sums, first, first + count + LENGTH - 1) ^ count.astype(np.uint64), first, count
 
 
 def _batched(batches: Iterator[pa.RecordBatch], limit: int, *columns: str) -> Iterator[list[list]]:
@@ -109,28 +111,43 @@ def _packed(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]
             yield int(bucket[a]), rows[a:z].tobytes()
 
 
+def _known(spots: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """which: numbers of contexts, equal for equal ones. -> the earliest of each, and the later ones (not a row that is there twice)."""
+    order = np.lexsort((spots["at"], spots["mark"], spots["doc"], which))
+    new = np.ones(len(order), bool)
+    new[1:] = which[order][1:] != which[order][:-1]
+    its_first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.zeros(len(order), bool)
+    for name in ("doc", "mark", "at"):
+        later |= spots[name][order] != spots[name][its_first]
+    return order[new], order[later & ~new]
+
+
+def _whole(spots: np.ndarray, name: str) -> np.ndarray:
+    return spots[name].astype(np.uint64) << np.uint64(16) | spots[name + "2"].astype(np.uint64)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket, kind (seen: rows that only have to be matched; known: the batch itself shows that they repeat), packed spots."""
+    """bucket, repeats (whether a batch itself shows that these are all repeats), packed spots."""
     for docs, marks, texts in _batched(batches, BATCH, "doc", "mark", "text"):
         found = []
         for doc, mark, text in zip(docs, marks, texts):
             if len(text) >= LENGTH:
-                hashes, at, first, count = anchors(np.frombuffer(text, np.uint8))
+                hashes, contents, first, count = anchors(np.frombuffer(text, np.uint8))
                 own = np.empty(len(hashes), SPOT)
-                own["hash"], own["doc"], own["mark"], own["at"], own["count"] = hashes, doc, mark & 0xFFFFFFFF, first, np.minimum(count, 255)
+                own["hash"], own["hash2"] = hashes >> np.uint64(32), (hashes >> np.uint64(16)) & np.uint64(0xFFFF)
+                own["content"], own["content2"] = contents >> np.uint64(32), (contents >> np.uint64(16)) & np.uint64(0xFFFF)
+                own["doc"], own["mark"], own["at"], own["count"] = doc, mark, first, count
                 found.append(own)
         if not found:
             continue
         spots = np.concatenate(found)
-        _, first, inverse, counts = np.unique(spots["hash"], return_index=True, return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1
-        lone = np.zeros(len(spots), bool)
-        lone[first] = True
-        bucket = (spots["hash"] % np.uint64(buckets)).astype(np.int64)
-        rows = [(b, 0, x) for b, x in _packed(bucket[~again], spots[~again])]
-        rows += [(b, 1, x) for b, x in _packed(bucket[again & lone], spots[again & lone])]
-        rows += [(b, 2, x) for b, x in _packed(bucket[again & ~lone], spots[again & ~lone])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int8(), pa.binary()))], ["bucket", "kind", "spots"])
+        first, later = _known(spots, _whole(spots, "content") * np.uint64(0x9E3779B97F4A7C15) + _whole(spots, "hash"))
+        again, spots = spots[later], spots[np.sort(first)]
+        rows = [(b, False, x) for b, x in _packed((spots["hash"] % np.uint32(buckets)).astype(np.int64), spots)]
+        if len(again):
+            rows.append((int(again["hash"][0]) % buckets, True, again.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "repeats", "spots"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[list]]]:
@@ -147,64 +164,59 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tup
         yield current, held
 
 
-def _spot_rows(spots: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(spots["doc"]), pa.array(spots["mark"].astype(np.int64)), pa.array(spots["hash"].view(np.int64)), pa.array(spots["at"].astype(np.int32)), pa.array(spots["count"].astype(np.int32))],
-        ["doc", "mark", "hash", "at", "count"],
-    )
+SPOT_SCHEMA = "doc long, mark long, `from` int, `to` int, hash long"
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spots whose anchor occurs more than once."""
-    for _, (kinds, blobs) in _by_bucket(batches, "kind", "spots"):
-        for kind, blob in zip(kinds, blobs):
-            if kind == 2:
-                yield _spot_rows(np.frombuffer(blob, SPOT))
-        held = [np.frombuffer(x, SPOT) for k, x in zip(kinds, blobs) if k < 2]
-        if held:
-            spots = np.concatenate(held)
-            known = np.repeat([k == 1 for k in kinds if k < 2], [len(x) for x in held])
-            _, inverse, counts = np.unique(spots["hash"], return_inverse=True, return_counts=True)
-            yield _spot_rows(spots[known | (counts[inverse] > 1)])
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of starts that repeat (hash is null), and contexts whose bytes are wanted (hash of the anchor)."""
 
+    def rows(spots: np.ndarray, wanted: bool) -> pa.RecordBatch:
+        begin, end, hashes = spots["at"].astype(np.int64), spots["at"].astype(np.int64) + spots["count"] - 1, _whole(spots, "hash").view(np.int64)
+        if not wanted:
+            runs = _runs(spots["doc"], spots["mark"].astype(np.int64), begin, end)
+            return pa.RecordBatch.from_arrays([*runs.columns, pa.nulls(runs.num_rows, pa.int64())], [*runs.schema.names, "hash"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (spots["doc"], spots["mark"].astype(np.int64), begin.astype(np.int32), end.astype(np.int32), hashes)], ["doc", "mark", "from", "to", "hash"])
 
-RANGES = ["bucket", "doc", "mark", "from", "to", "contexts", "bytes"]
-RANGE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-RANGE_SCHEMA = "bucket int, doc long, mark long, `from` int, `to` int, contexts binary, bytes binary"
+    for _, (repeats, blobs) in _by_bucket(batches, "repeats", "spots"):
+        for again, blob in zip(repeats, blobs):
+            if again:
+                yield rows(np.frombuffer(blob, SPOT), False)
+        held = [np.frombuffer(x, SPOT) for again, x in zip(repeats, blobs) if not again]
+        if not held:
+            continue
+        spots = np.concatenate(held)
+        _, inverse, counts = np.unique(_whole(spots, "hash"), return_inverse=True, return_counts=True)
+        spots, inverse = spots[counts[inverse] > 1], inverse[counts[inverse] > 1]
+        if not len(spots):
+            continue
+        first, later = _known(spots, _whole(spots, "content") * np.uint64(0x9E3779B97F4A7C15) + inverse.astype(np.uint64))
+        yield rows(spots[later], False)
+        several = np.bincount(inverse[first], minlength=inverse.max() + 1)[inverse[first]] > 1
+        yield rows(spots[first[several]], True)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed contexts by bucket; ranges of starts that a batch itself shows to be repeated."""
+    """Packed contexts and their bytes, by bucket."""
     for docs, marks, spots, texts in _batched(batches, BATCH, "doc", "mark", "spots", "text"):
-        sizes = np.array([len(t) for t in texts])
-        begins = np.cumsum(sizes) - sizes
-        b = np.frombuffer(b"".join(texts), np.uint8)
-        sums = _sums(b)
-        n = [len(s) for s in spots]
-        which = np.repeat(np.arange(len(docs)), n)
-        flat = np.array([(x["hash"], x["at"], x["count"]) for s in spots for x in s], np.int64).reshape(-1, 3)
-        at, count = flat[:, 1], flat[:, 2]
-        starts = begins[which] + at
-        stops = starts + count + LENGTH - 1
-        doc, mark = np.array(docs, np.int64)[which], np.array(marks, np.int64)[which]
-        content = _slices(sums, starts, stops) + count.astype(np.uint64)
-        order = np.lexsort((at, mark, doc, content))
-        first = np.ones(len(order), bool)
-        first[1:] = content[order][1:] != content[order][:-1]
-        later, its_first = order[~first], order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))[~first]]
-        later = later[(doc[later] != doc[its_first]) | (mark[later] != mark[its_first]) | (at[later] != at[its_first])]  # not for a row that is there twice
-        rows = [(int(h) % buckets, int(d), int(m), int(a), int(a + c - 1), None, None) for h, d, m, a, c in zip(flat[later, 0], doc[later], mark[later], at[later], count[later])]
-        own = order[first]
-        bucket = (flat[own, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        own = own[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        packed = np.empty(len(own), CONTEXT)
-        packed["doc"], packed["mark"], packed["at"], packed["count"] = doc[own], mark[own], at[own], count[own]
-        for k in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1):
-            if len(k):
-                rows.append((int(bucket[k[0]]), None, None, None, None, packed[k].tobytes(), b"".join(b[x:y].tobytes() for x, y in zip(starts[own[k]], stops[own[k]]))))
+        begins = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
+        b = b"".join(texts)
+        which = np.repeat(np.arange(len(docs)), [len(s) for s in spots])
+        flat = np.array([(x["hash"], x["from"], x["to"]) for s in spots for x in s], np.int64).reshape(-1, 3)
+        bucket = ((flat[:, 0] >> 16) % buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        which, flat, bucket = which[order], flat[order], bucket[order]
+        packed = np.empty(len(flat), CONTEXT)
+        packed["doc"], packed["mark"] = np.array(docs, np.int64)[which], np.array(marks, np.int64)[which]
+        packed["at"], packed["count"] = flat[:, 1], flat[:, 2] - flat[:, 1] + 1
+        starts = (begins[which] + flat[:, 1]).tolist()
+        stops = (begins[which] + flat[:, 2] + LENGTH).tolist()
+        rows = []
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(flat)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                rows.append((int(bucket[a]), packed[a:z].tobytes(), b"".join(b[x:y] for x, y in zip(starts[a:z], stops[a:z]))))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), RANGE_TYPES)], RANGES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "contexts", "bytes"])
 
 
 def _eights(b: np.ndarray) -> np.ndarray:
@@ -352,12 +364,9 @@ def _runs(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, last: np.ndarray) -
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    for _, (docs, marks, begins, ends, blobs, texts) in _by_bucket(batches, "doc", "mark", "from", "to", "contexts", "bytes"):
-        known = [x for x in zip(docs, marks, begins, ends) if x[0] is not None]
-        if known:
-            yield _runs(*(np.array(c, np.int64) for c in zip(*known)))
+    for _, (blobs, texts) in _by_bucket(batches, "contexts", "bytes"):
         made, held, size = [], [], 0
-        filled = [(np.frombuffer(c, CONTEXT), t) for c, t in zip(blobs, texts) if c is not None]
+        filled = [(np.frombuffer(c, CONTEXT), t) for c, t in zip(blobs, texts)]
         for k, x in enumerate(filled):
             held.append(x)
             size += len(x[1])
@@ -394,22 +403,26 @@ def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_starts(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """docs (doc, mark, text) -> doc, mark, from, to: starts (both inclusive) of strings of LENGTH bytes that also start earlier."""
-    spark = docs.sparkSession
-    buckets, n = buckets_for(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scanned = docs.mapInArrow(lambda b: _scan(b, buckets), "bucket int, kind byte, spots binary")
-    spots = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "doc long, mark long, hash long, at int, count int")
-    by_doc = spots.groupBy("doc", "mark").agg(F.collect_set(F.struct("hash", "at", "count")).alias("spots"))
-    with_text = docs.join(by_doc, ["doc", "mark"]).select("doc", "mark", "spots", "text")
-    contexts = with_text.mapInArrow(lambda b: _contexts(b, buckets), RANGE_SCHEMA)
-    return contexts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _shards(b, shard), "doc long, mark long, `from` int, `to` int")
+RANGE = "doc long, mark long, `from` int, `to` int"
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True, shard: int = SHARD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left)."""
+    spark = docs.sparkSession
+    buckets, n = buckets_for(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     named = slim.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("mark"), "text")
-    ranges = repeated_starts(named.select("doc", "mark", "text"), shard).groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    joined = named.join(ranges, ["doc", "mark"], "left").select("doc_id", "text", "ranges")
+
+    scanned = named.select("doc", "mark", "text").mapInArrow(lambda b: _scan(b, buckets), "bucket int, repeats boolean, spots binary")
+    compared = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, SPOT_SCHEMA)
+    spots = written(compared, "spots")
+
+    wanted = spots.filter("hash IS NOT NULL").groupBy("doc", "mark").agg(F.collect_set(F.struct("hash", "from", "to")).alias("spots"))
+    with_text = named.join(wanted, ["doc", "mark"])  # doc_id comes along so that both joins share the shuffle of the texts
+    contexts = with_text.select("doc_id", "doc", "mark", "spots", "text").mapInArrow(lambda b: _contexts(b, buckets), "bucket int, contexts binary, bytes binary")
+    more = contexts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _shards(b, shard), RANGE)
+
+    ranges = spots.filter("hash IS NULL").select("doc", "mark", "from", "to").unionByName(more)
+    by_doc = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    joined = named.join(by_doc, ["doc", "mark"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(lambda b: _cut(b, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -1,0 +1 @@
+"""Nothing here: items, cells and tags are immutable tables, and no operator works on a stream."""
