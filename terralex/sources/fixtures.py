@@ -78,6 +78,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {sources}, {text[5:]}")
 
 
+NAMES = {"items": "item", "points": "point", "regions": "region", "cells": "cell", "cell_edges": "cell_edge", "cell_parents": "cell_parent", "cell_items": "cell_item", "tags": "tag"}
+
+
+class FixtureWorld(World):
+    """A world whose tables are planned when they are first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.__dict__["source"] = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in NAMES:
+            raise AttributeError(name)
+        return self.__dict__.setdefault(name, view(*self.source, f"fx_{NAMES[name]}"))
+
+    @property
+    def phrases(self) -> DataFrame:
+        return view(*self.source, "fx_phrase")
+
+
 def world(spark: SparkSession, sf_dir: str) -> World:
-    names = {"items": "item", "points": "point", "regions": "region", "cells": "cell", "cell_edges": "cell_edge", "cell_parents": "cell_parent", "cell_items": "cell_item", "tags": "tag", "phrases": "phrase"}
-    return World(**{k: view(spark, sf_dir, f"fx_{v}") for k, v in names.items()})
+    return FixtureWorld(spark, sf_dir)
