@@ -48,7 +48,9 @@ def chunk_dictionary(chunks: DataFrame) -> DataFrame:
 def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, sha, recipe (the ordered identifiers), copies (rows that repeat doc_id and text)."""
     chunks = written(chunk_rows(docs, text, doc_id), "chunks")
-    known = chunks.join(chunk_dictionary(chunks), ["h", "n"], "left").select(
+    # All others are verified. The list is next to empty, so chunks meet it where they are and a hot chunk isn't dealt out.
+    clashes = written(chunk_dictionary(chunks).filter("NOT verified"), "clashes")
+    known = chunks.join(clashes, ["h", "n"], "left").withColumn("verified", F.coalesce("verified", F.lit(True))).select(
         "doc_id", "sha", "pos", F.when(F.col("pos").isNotNull(), F.struct("pos", "h", "n", F.when(~F.col("verified"), F.col("chunk_sha")).alias("full"))).alias("id")
     )
     return known.groupBy("doc_id", "sha").agg(
