@@ -61,7 +61,8 @@ def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row per row of docs."""
     own = written(recipes(docs, text, doc_id), "recipes")
-    groups = own.groupBy("sha", "recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Written, so that the join gets rows as they are and Spark can split a large group of copies.
+    groups = written(own.groupBy("sha", "recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     return (
         own.join(groups, ["sha", "recipe"])
         .select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
