@@ -25,18 +25,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root), root the smallest node that is reachable; nodes without an edge have no row.
 
     Large-star and small-star steps in turn until nothing changes (Kiveris et al.); each step is written
-    to the shared folder, so its lineage is one step long. Hot nodes are grouped by partial minima, and
-    their edges meet the minimum in a join that can be split.
+    to the shared folder, so its lineage is one step long. Hot nodes are grouped by partial minima. The minima
+    are written before edges meet them: with both sides of the join plain shuffles, Spark can split a hot node.
     """
     ends = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = written(ends, "edges"), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large = written(both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = written(small.select("e.*").filter("u <> v").distinct(), "edges")
+        for old in (lowest, large, least):
+            remove(old)
         remove(now)
         now = after
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
