@@ -19,8 +19,11 @@ longest possible, inside a chunk; at an edge the smallest state wins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -32,13 +35,16 @@ from terralex.llm.common import text_of, written
 
 MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 400_000
 SPACE = "▁"
-NEVER = -np.inf
+NEVER = float("-inf")
+#: What lies between two places where every path has an edge.
+WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Vocabulary:
     """Pieces, scores, and best paths."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,6 +56,11 @@ class Vocabulary:
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if s else p.replace(SPACE, " ").encode() for i, (p, s) in enumerate(zip(names, special))]
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         self.longest = max(map(len, self.pieces))
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.found = ahocorasick.Automaton()
+        for p, (i, score) in self.pieces.items():
+            self.found.add_word(p, (len(p), score, i))
+        self.found.make_automaton()
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.parts_at_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
         self.words: dict[str, tuple[float, tuple]] = {}
@@ -67,33 +78,23 @@ class Vocabulary:
         if not single:
             yield at + 1, self.unknown
 
-    def ids_of(self, part: str) -> list[int]:
-        found = self.pieces.get(part)
-        return [found[0]] if found else [self.bytes[b] for b in part.encode()]
-
     def path(self, text: str) -> tuple[float, tuple]:
         """Best path from the text's begin to its end: sum and ids."""
         n = len(text)
-        best, back = [NEVER] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        pieces, starts, longest, unknown = self.pieces, self.starts, self.longest, self.unknown
-        for at in range(n):
-            base, single = best[at], False
-            for end in range(at + 1, min(at + longest, n) + 1):
-                part = text[at:end]
-                if part not in starts:
-                    break
-                if part in pieces:
-                    single |= end == at + 1
-                    if (score := base + pieces[part][1]) > best[end]:
-                        best[end], back[end] = score, at
-            if not single and base + unknown > best[at + 1]:
-                best[at + 1], back[at + 1] = base + unknown, at
-        ids, at = [], n
-        while at:
-            ids.append(self.ids_of(text[back[at] : at]))
-            at = back[at]
-        return best[n], tuple(i for part in reversed(ids) for i in part)
+        best, back = [0.0] + [NEVER] * n, [None] * (n + 1)
+        found = self.found.iter(text)  # by last character, the longest first
+        if not self.single.issuperset(text):
+            found = merge(found, ((k, (1, self.unknown, -1)) for k, c in enumerate(text) if c not in self.single), key=itemgetter(0))
+        for last, (size, score, i) in found:
+            at = last + 1 - size
+            if (score := best[at] + score) > best[last + 1]:
+                best[last + 1], back[last + 1] = score, (at, i)
+        ids, end = [], n
+        while end:
+            at, i = back[end]
+            ids += (i,) if i >= 0 else [self.bytes[b] for b in reversed(text[at:end].encode())]
+            end = at
+        return best[n], tuple(reversed(ids))
 
     def word(self, text: str) -> tuple[float, tuple]:
         found = self.words.get(text)
@@ -118,13 +119,10 @@ class Vocabulary:
 
     def encode(self, text: str) -> tuple[float, list[int]]:
         """Sum and ids of a stretch of text with edges at both ends."""
-        cuts = [0, *self.meets(text), len(text)]
         score, ids = 0.0, []
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                own = self.word(text[a:b])
-                score += own[0]
-                ids += own[1]
+        for own in map(self.word, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)):
+            score += own[0]
+            ids += own[1]
         return score, ids
 
     def matrix(self, text: str, size: int) -> np.ndarray:
