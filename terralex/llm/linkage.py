@@ -4,7 +4,8 @@ Candidates share a bucket (a band of a sketch). They are compared by bucket, or
 their smallest member and stars candidate groups, where chance candidates are too few to connect them. A bucket
 or group of more than ``BLOCK`` members is split into blocks, and each pair of blocks is one unit of work. A unit gives link counts and a spanning
 forest of its links, so rows follow the members and never the pairs. The number of members of a unit is
-bounded; units of a large group go to different tasks.
+bounded; units of a large group go to different tasks. Minima and sizes of groups are written before rows meet
+them: with plain shuffles on both sides of that join, Spark can split a hot group.
 """
 
 from __future__ import annotations
@@ -52,16 +53,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """classes (node, bands array<long>) -> (root, node, size): buckets with more than one member."""
     buckets = classes.select(F.explode("bands").alias("root"), "node")
-    return buckets.join(buckets.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "root")
+    return buckets.join(written(buckets.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "sizes"), "root")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """classes (node, bands array<long>) -> (root, node, size) of those that share buckets, directly or over others."""
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    stars = buckets.join(centres, "bucket").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    stars = buckets.join(written(centres, "centres"), "bucket").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     groups = connected_components(stars)
-    return groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").select("root", "node", "size")
+    return groups.join(written(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes"), "root").select("root", "node", "size")
 
 
 #: Gets (payloads of left, payloads of right or None, bucket or group) -> Boolean matrix of links; None: left against itself.
@@ -148,7 +149,7 @@ def linked_classes(classes: DataFrame, found: DataFrame) -> DataFrame:
     roots = connected_components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     own = classes.select("node", "rep", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = written(own, "classes")
-    first = own.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("first"))
+    first = written(own.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("first")), "first")
     return own.join(first, "root").select(
         "node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("first.rep").alias("class_id"), F.col("first.node").alias("class_node")
     )
