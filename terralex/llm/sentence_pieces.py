@@ -20,7 +20,7 @@ longest possible, inside a chunk; at an edge the smallest state wins.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import merge
 from operator import itemgetter
@@ -33,13 +33,28 @@ from pyspark.sql import functions as F
 
 from terralex.llm.common import text_of, written
 
-MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 400_000
+MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 700_000
 SPACE = "▁"
 NEVER = float("-inf")
 #: What lies between two places where every path has an edge.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class Words(dict):
+    """Best paths of words: a new one is worked out, and kept if it is short; emptied when full."""
+
+    def __init__(self, path: Callable[[str], tuple]):
+        self.path = path
+
+    def __missing__(self, text: str) -> tuple[float, tuple]:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self.path(text)
+        if len(text) <= 48:
+            self[text] = found
+        return found
+
+
 class Vocabulary:
     """Pieces, scores, and best paths."""
 
@@ -63,7 +78,7 @@ class Vocabulary:
         self.found.make_automaton()
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.parts_at_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
-        self.words: dict[str, tuple[float, tuple]] = {}
+        self.words = Words(self.path)
 
     def steps(self, text: str, at: int) -> Iterator[tuple[int, float]]:
         """(end, score) of the pieces that begin here; a character that is no piece as an unknown one."""
@@ -96,31 +111,10 @@ class Vocabulary:
             end = at
         return best[n], tuple(reversed(ids))
 
-    def word(self, text: str) -> tuple[float, tuple]:
-        found = self.words.get(text)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.path(text)
-            if len(text) <= 48:
-                self.words[text] = found
-        return found
-
-    def meets(self, text: str) -> list[int]:
-        """Where every path has an edge: before a space behind another character."""
-        if not self.parts_at_spaces:
-            return []
-        out, at = [], text.find(SPACE, 1)
-        while at > 0:
-            if text[at - 1] != SPACE:
-                out.append(at)
-            at = text.find(SPACE, at + 1)
-        return out
-
     def encode(self, text: str) -> tuple[float, list[int]]:
         """Sum and ids of a stretch of text with edges at both ends."""
         score, ids = 0.0, []
-        for own in map(self.word, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)):
+        for own in map(self.words.__getitem__, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)):
             score += own[0]
             ids += own[1]
         return score, ids
@@ -128,14 +122,22 @@ class Vocabulary:
     def matrix(self, text: str, size: int) -> np.ndarray:
         """State x state: best sums over a chunk of ``size`` characters; text also holds what pieces may reach behind it."""
         n = self.longest
-        cuts = [c for c in self.meets(text[: size + 1]) if n <= c <= size]
-        if not cuts:
+        first, last = self._edge(text, n, size, text.find), self._edge(text, n, size, text.rfind)
+        if first < 0:
             return self._sweep(text, 0, size)
-        first, last = cuts[0], cuts[-1]
         head = self._sweep(text, 0, first)[:, 0]
         tail = self._sweep(text, last, size)[0]
         return head[:, None] + self.encode(text[first:last])[0] + tail[None, :]
 
+    def _edge(self, text: str, least: int, most: int, find: Callable) -> int:
+        """The first or last place from least to most where every path has an edge: before a space behind another character; else -1."""
+        while self.parts_at_spaces and least <= most:
+            at = find(SPACE, least, most + 1)
+            if at <= 0 or text[at - 1] != SPACE:
+                return at
+            least, most = (at + 1, most) if find == text.find else (least, at - 1)
+        return -1
+
     def _sweep(self, text: str, begin: int, end: int) -> np.ndarray:
         """Best sums from begin + i to end + j by pieces that begin before end."""
         n = self.longest
