@@ -50,6 +50,65 @@ FULL = "SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM"
 REGION7 = "SELECT cell_id FROM fx_cell_parent WHERE region_id = 7"
 
 
+# ---- convex shapes in SQL, told by the sides of their edges (the queries cast rays instead)
+
+
+def _sides(points: list[tuple[float, float]], lat: str, lon: str) -> list[str]:
+    """One expression per edge, 0 or more where the place is on the inner side."""
+    area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(points, points[1:] + points[:1]))
+    ring = points if area > 0 else points[::-1]
+    number = lambda x: f"CAST({x} AS DOUBLE)"
+    return [f"({number(b[0] - a[0])}*({lon}-{number(a[1])})-{number(b[1] - a[1])}*({lat}-{number(a[0])}))" for a, b in zip(ring, ring[1:] + ring[:1])]
+
+
+def _corner_sides(points: list[tuple[float, float]]) -> list[list[str]]:
+    corners = [_sides(points, lat, lon) for lat in ("min_lat", "max_lat") for lon in ("min_lon", "max_lon")]
+    return [list(edge) for edge in zip(*corners)]
+
+
+def _convex_meets_box(points: list[tuple[float, float]]) -> str:
+    """No axis parts them: neither latitude, longitude, nor an edge's normal."""
+    lats, lons = zip(*points)
+    tests = [f"min_lat<={max(lats)} AND max_lat>={min(lats)} AND min_lon<={max(lons)} AND max_lon>={min(lons)}"]
+    return " AND ".join(tests + [f"greatest({','.join(edge)})>=0" for edge in _corner_sides(points)])
+
+
+def _convex_holds_box(points: list[tuple[float, float]]) -> str:
+    return " AND ".join(f"least({','.join(edge)})>=0" for edge in _corner_sides(points))
+
+
+def _convex_meets_segment(n: int) -> str:
+    """Sides p0.. of the begin and q0.. of the end: what is left of the segment after each edge cut it."""
+    enters = ",".join(f"CASE WHEN p{k}<0 THEN p{k}/(p{k}-q{k}) ELSE 0 END" for k in range(n))
+    leaves_ = ",".join(f"CASE WHEN q{k}<0 THEN p{k}/(p{k}-q{k}) ELSE 1 END" for k in range(n))
+    return " AND ".join(f"NOT (p{k}<0 AND q{k}<0)" for k in range(n)) + f" AND greatest({enters})<=least({leaves_})"
+
+
+def _line_cells(points: list[tuple[float, float]]) -> str:
+    """Cells that a line meets; of each leg the part within the cell's latitudes and longitudes is compared."""
+    legs = []
+    for (lat1, lon1), (lat2, lon2) in zip(points, points[1:]):
+        at = lambda c, v, d: f"({c}-CAST({v} AS DOUBLE))/CAST({d} AS DOUBLE)"
+        ends = [(at(f"min_{c}", v, w - v), at(f"max_{c}", v, w - v)) for c, v, w in (("lat", lat1, lat2), ("lon", lon1, lon2))]
+        first, last = [f"least({a},{b})" for a, b in ends], [f"greatest({a},{b})" for a, b in ends]
+        legs.append(f"SELECT cell_id FROM fx_cell WHERE greatest(0,{','.join(first)})<=least(1,{','.join(last)})")
+    return " UNION ".join(legs)
+
+
+GAP = "2*6371000*asin(least(1, sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lon-a.lon)/2),2))))"
+CENTRES = "SELECT cell_id, (min_lat+max_lat)/2 AS lat, (min_lon+max_lon)/2 AS lon, min_lat, max_lat, min_lon FROM fx_cell"
+
+
+def _radius(lat: str) -> str:
+    return f"2*6371000*asin(sqrt(power(sin(radians(lat-{lat})/2),2)+cos(radians(lat))*cos(radians({lat}))*power(sin(radians(lon-min_lon)/2),2)))"
+
+
+DISCS = f"SELECT *, greatest({_radius('min_lat')}, {_radius('max_lat')}) AS r FROM ({CENTRES}) c"
+
+TRIANGLE = [(-12.0, -12.0), (8.0, -3.0), (-2.0, 11.0)]
+LINE = [(-20.0, -20.0), (3.0, 4.0), (12.0, -8.0)]
+
+
 # ---- the store
 
 
@@ -91,6 +150,23 @@ def osm_id_pack(w):
     return packed.select("item_id", "packed", packed_number(F.col("packed")).alias("number"), packed_kind(F.col("packed")).alias("kind"))
 
 
+@query("""
+    SELECT item_id, CASE WHEN count(*) = 1 THEN 'POINT (' ELSE 'LINESTRING (' END || string_agg(printf('%.3f', lon) || ' ' || printf('%.3f', lat), ', ' ORDER BY pos) || ')' AS wkt FROM fx_point GROUP BY item_id
+    UNION ALL SELECT region_id, printf('POLYGON ((%.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f))', min_lon, min_lat, max_lon, min_lat, max_lon, max_lat, min_lon, max_lat, min_lon, min_lat) FROM fx_region""")
+def geometry_text(w):
+    return items.geometry_text(w)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS broken_tags")
+def tag_sanity(w):
+    return items.broken_tags(w).agg(F.count("*").alias("broken_tags"))
+
+
+@query("SELECT DISTINCT k AS path, CAST(NULL AS VARCHAR) AS parent_path, k AS name FROM fx_tag UNION ALL SELECT DISTINCT k || ':' || v, k, v FROM fx_tag")
+def tag_tree(w):
+    return items.tag_nodes(w)
+
+
 # ---- items
 
 
@@ -218,9 +294,21 @@ def leaf_rect_item_boxes(w):
     return _shown(leaves.rect(w, -4, 3, -6, 9, "poly-itembbox"))
 
 
-@query()
+@query(f"""
+    WITH c AS (SELECT cell_id, {_convex_holds_box(TRIANGLE)} AS whole FROM fx_cell WHERE {_convex_meets_box(TRIANGLE)}),
+    v AS (SELECT a.item_id, a.lat, a.lon, coalesce(b.lat, a.lat) AS lat2, coalesce(b.lon, a.lon) AS lon2 FROM (SELECT * FROM fx_point WHERE pos=0) a LEFT JOIN (SELECT * FROM fx_point WHERE pos=1) b ON a.item_id=b.item_id),
+    s AS (SELECT item_id, {", ".join(f"{e} AS p{k}" for k, e in enumerate(_sides(TRIANGLE, "lat", "lon")))}, {", ".join(f"{e} AS q{k}" for k, e in enumerate(_sides(TRIANGLE, "lat2", "lon2")))} FROM v),
+    h AS (SELECT item_id FROM s WHERE {_convex_meets_segment(3)} UNION ALL SELECT region_id FROM fx_region WHERE {_convex_meets_box(TRIANGLE)}),
+    x AS (SELECT c.cell_id, i.item_id, i.item_id IN (SELECT item_id FROM h) AS hit FROM c JOIN fx_cell_item i ON c.cell_id=i.cell_id AND NOT c.whole),
+    f AS (SELECT cell_id FROM c WHERE whole OR cell_id NOT IN (SELECT cell_id FROM x WHERE NOT hit))
+    SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM f UNION ALL SELECT cell_id, item_id FROM x WHERE hit AND cell_id NOT IN (SELECT cell_id FROM f)""")
 def leaf_polygon_exact(w):
-    return _shown(leaves.polygon(w, [(-12.0, -12.0), (8.0, -3.0), (-2.0, 11.0)], "poly-item"))
+    return _shown(leaves.polygon(w, TRIANGLE, "poly-item"))
+
+
+@query(f"{FULL} fx_cell WHERE {_convex_meets_box(TRIANGLE)}")
+def leaf_polygon_cells(w):
+    return _shown(leaves.polygon(w, TRIANGLE, "poly-cellbbox"))
 
 
 @query("""
@@ -235,14 +323,16 @@ def leaf_point(w):
     return _shown(leaves.point(w, 1.5, -7.25))
 
 
-@query()
+@query(f"""
+    WITH l AS ({_line_cells(LINE)}), d AS ({DISCS}), h AS (SELECT d.* FROM d JOIN l ON d.cell_id=l.cell_id)
+    SELECT DISTINCT b.cell_id, CAST(-1 AS BIGINT) AS item_id FROM h a JOIN d b ON {GAP}-a.r-b.r<=50000""")
 def leaf_path(w):
-    return _shown(leaves.path(w, [(-20.0, -20.0), (3.0, 4.0), (12.0, -8.0)], 50_000.0))
+    return _shown(leaves.path(w, LINE, 50_000.0))
 
 
-@query()
+@query(f"{FULL} ({_line_cells(LINE)}) t")
 def leaf_route(w):
-    return _shown(leaves.route(w, [(-20.0, -20.0), (3.0, 4.0), (12.0, -8.0)]))
+    return _shown(leaves.route(w, LINE))
 
 
 # ---- sets of hits
@@ -329,7 +419,7 @@ def relevant_item(w):
     return _shown(coverage.relevant(leaves.item(w, 31), w))
 
 
-@query()
+@query(f"{FULL} fx_cell WHERE {_convex_meets_box([(0, -25), (0, -15), (20, -10), (20, -30)])} AND cell_id NOT IN ({REGION7})")
 def compass_north(w):
     return _shown(coverage.compass(leaves.region(w, 7), w, "north"))
 
@@ -339,24 +429,13 @@ def compass_east_of_item(w):
     return _shown(coverage.compass(leaves.item(w, 31), w, "east"))
 
 
-@query()
+@query(f"{FULL} fx_cell WHERE {_convex_meets_box([(-25, -25), (-15, -25), (25, 15), (25, 25), (15, 25), (-25, -15)])} AND cell_id NOT IN (SELECT cell_id FROM fx_cell_parent WHERE region_id IN (5, 29))")
 def between_regions(w):
     return _shown(coverage.between(leaves.region(w, 5), leaves.region(w, 29), w))
 
 
 # ---- distances
 
-GAP = "2*6371000*asin(least(1, sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lon-a.lon)/2),2))))"
-CENTRES = "SELECT cell_id, (min_lat+max_lat)/2 AS lat, (min_lon+max_lon)/2 AS lon, min_lat, max_lat, min_lon FROM fx_cell"
-
-
-def _radius(lat: str) -> str:
-    return f"2*6371000*asin(sqrt(power(sin(radians(lat-{lat})/2),2)+cos(radians(lat))*cos(radians({lat}))*power(sin(radians(lon-min_lon)/2),2)))"
-
-
-DISCS = f"SELECT *, greatest({_radius('min_lat')}, {_radius('max_lat')}) AS r FROM ({CENTRES}) c"
-
-
 @query(f"WITH d AS ({CENTRES}) SELECT e.src AS a, e.dst AS b, CAST(ROUND({GAP}) AS BIGINT) AS metres FROM fx_cell_edge e JOIN d a ON e.src=a.cell_id JOIN d b ON e.dst=b.cell_id")
 def cell_center_distance(w):
     found = distance.between_cells(distance.discs(w, "center"), w.cell_edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
@@ -376,6 +455,16 @@ def cell_dilation(w):
     return _shown(distance.dilate(hits.intersect(leaves.text(w, "automobile", "items"), leaves.region(w, 7)), w, 100_000.0))
 
 
+@query(f"SELECT cell_id, CAST(ROUND(r) AS BIGINT) AS radius, CAST(ROUND(least({_radius('min_lat')}, {_radius('max_lat')})) AS BIGINT) AS inner_radius FROM ({DISCS}) d")
+def annulus(w):
+    return distance.discs(w, "annulus").select("cell_id", F.round("radius").cast("bigint").alias("radius"), F.round("inner").cast("bigint").alias("inner_radius"))
+
+
+@query(f"WITH a AS (SELECT CAST(1.5 AS DOUBLE) AS lat, CAST(-7.25 AS DOUBLE) AS lon), b AS ({DISCS}) SELECT b.cell_id, CAST(ROUND(greatest(0, {GAP}-b.r)) AS BIGINT) AS metres FROM a, b")
+def point_distance(w):
+    return distance.to_point(distance.discs(w), 1.5, -7.25).withColumn("metres", F.round("metres").cast("bigint"))
+
+
 @query(f"SELECT cell_id, CAST(ROUND(r) AS BIGINT) AS radius FROM ({DISCS}) d")
 def min_sphere(w):
     return distance.discs(w, "min_sphere").select("cell_id", F.round("radius").cast("bigint").alias("radius"))
@@ -384,6 +473,11 @@ def min_sphere(w):
 # ---- roll-up, counts, rankings
 
 
+@query("SELECT p.region_id, COUNT(DISTINCT p.cell_id) AS cells, COUNT(x.item_id) AS pairs FROM fx_cell_parent p LEFT JOIN fx_cell_item x ON p.cell_id=x.cell_id GROUP BY 1")
+def region_sizes(w):
+    return coverage.region_sizes(w)
+
+
 @query(f"SELECT p.region_id, COUNT(DISTINCT h.cell_id) AS cells, CAST(0 AS BIGINT) AS full_cells, COUNT(*) AS pairs FROM ({BUILDING}) h JOIN fx_cell_parent p ON h.cell_id=p.cell_id WHERE h.cell_id IN ({REGION7}) GROUP BY 1")
 def minimum_slice(w):
     return hits.by_region(hits.intersect(_building(w), leaves.region(w, 7)), w)
@@ -430,6 +524,11 @@ def topk_values_per_key(t):
     return stats.top_values(stats.pair_counts(t), 2)
 
 
+@stat(f"SELECT k, v, n FROM ({PAIRS}) p WHERE k = 'nation' ORDER BY n DESC, v LIMIT 4")
+def values_of_key(t):
+    return stats.values_of(stats.pair_counts(t), "nation", 4)
+
+
 @stat(f"{PAIRS} ORDER BY n DESC, k, v LIMIT 10")
 def topk_kv(t):
     return stats.top(stats.pair_counts(t), 10)

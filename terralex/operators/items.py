@@ -28,6 +28,23 @@ def all_tags(world: World) -> DataFrame:
     return world.tags.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", "v"))), ", ").alias("tags"))
 
 
+def geometry_text(world: World) -> DataFrame:
+    """item_id, wkt: points, ways and the boxes of regions as well-known text, to a thousandth of a degree. A way's vertices meet in one row."""
+    place = F.format_string("%.3f %.3f", "lon", "lat")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("place")))), lambda p: p["place"])
+    lines = world.points.groupBy("item_id").agg(ordered.alias("places")).select(
+        "item_id", F.concat(F.when(F.size("places") == 1, "POINT (").otherwise("LINESTRING ("), F.array_join("places", ", "), F.lit(")")).alias("wkt")
+    )
+    corners = ("min_lon", "min_lat", "max_lon", "min_lat", "max_lon", "max_lat", "min_lon", "max_lat", "min_lon", "min_lat")
+    areas = world.regions.select(F.col("region_id").alias("item_id"), F.format_string(f"POLYGON (({', '.join(['%.3f %.3f'] * 5)}))", *corners).alias("wkt"))
+    return lines.unionByName(areas)
+
+
+def broken_tags(world: World) -> DataFrame:
+    """Tags without a key or a value."""
+    return world.tags.filter("k IS NULL OR k = '' OR v IS NULL")
+
+
 def boxes(world: World) -> DataFrame:
     """item_id and bounding box of every item with a shape."""
     found = world.points.groupBy("item_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))

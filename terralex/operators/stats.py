@@ -50,6 +50,11 @@ def top_values(pairs: DataFrame, k: int, rank: Column | None = None) -> DataFram
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def values_of(pairs: DataFrame, key: str, k: int, rank: Column | None = None) -> DataFrame:
+    """The k first values of one key: k, v, n."""
+    return top(pairs.filter(F.col("k") == key), k, rank)
+
+
 def overlaps(tags: DataFrame, among: DataFrame) -> DataFrame:
     """k, v, k2, v2, n: items with both, for pairs of tags in among (k, v), a bounded ranking; (k, v) sorts first."""
     own = tags.join(F.broadcast(among.select("k", "v")), ["k", "v"], "left_semi").select("item_id", "k", "v").distinct()
