@@ -23,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import merge
+from math import isqrt
 from operator import itemgetter
 
 import numpy as np
@@ -40,6 +41,19 @@ NEVER = float("-inf")
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def packed(*parts: np.ndarray) -> bytes:
+    """A matrix, or a column and a row whose sum it is; the first byte tells which."""
+    return bytes([len(parts)]) + b"".join(p.tobytes() for p in parts)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    values = np.frombuffer(data[1:])
+    if data[0] == 2:
+        column, row = values.reshape(2, -1)
+        return column[:, None] + row[None, :]
+    return values.reshape(isqrt(len(values)), -1)
+
+
 class Words(dict):
     """Best paths of words: a new one is worked out, and kept if it is short; emptied when full."""
 
@@ -121,13 +135,17 @@ class Vocabulary:
 
     def matrix(self, text: str, size: int) -> np.ndarray:
         """State x state: best sums over a chunk of ``size`` characters; text also holds what pieces may reach behind it."""
+        return unpacked(self.packed(text, size))
+
+    def packed(self, text: str, size: int) -> bytes:
+        """The matrix of a chunk; where all paths meet inside, it is the sum of a column and a row, and they are kept instead."""
         n = self.longest
         first, last = self._edge(text, n, size, text.find), self._edge(text, n, size, text.rfind)
         if first < 0:
-            return self._sweep(text, 0, size)
+            return packed(self._sweep(text, 0, size))
         head = self._sweep(text, 0, first)[:, 0]
         tail = self._sweep(text, last, size)[0]
-        return head[:, None] + self.encode(text[first:last])[0] + tail[None, :]
+        return packed(head + self.encode(text[first:last])[0], tail)
 
     def _edge(self, text: str, least: int, most: int, find: Callable) -> int:
         """The first or last place from least to most where every path has an edge: before a space behind another character; else -1."""
@@ -235,7 +253,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterato
             for k, at in enumerate(range(0, len(text), size)):
                 own = text[at : at + size + v.longest]
                 n = min(size, len(text) - at)
-                rows.append((doc, mark, k, at + n == len(text), n, own, v.matrix(own, n).tobytes()))
+                rows.append((doc, mark, k, at + n == len(text), n, own, v.packed(own, n)))
                 if len(rows) == 256 or rows[-1][3]:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "mark", "chunk", "last", "n", "body", "matrix"])
@@ -243,14 +261,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterato
 
 
 def _matrices(group: pd.DataFrame) -> list[np.ndarray]:
-    side = int(len(group["matrix"].iloc[0]) / 8) ** 0.5
-    return [np.frombuffer(m).reshape(int(side + 0.5), -1) for m in group["matrix"]]
+    return [unpacked(m) for m in group["matrix"]]
 
 
 def _segment(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("chunk")
     one = group.iloc[:1][["doc_id", "mark", "segment"]].copy()
-    one["matrix"] = [product(_matrices(group)).tobytes()]
+    one["matrix"] = [packed(product(_matrices(group)))]
     return one
 
 
