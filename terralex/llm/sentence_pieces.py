@@ -305,7 +305,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int = CHUNK, segment: int = SEGMENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per row of docs: doc_id, chunks (0: not cut), n (characters with the leading space), score, ids (little-endian 32-bit), exact (decoding gives the text back)."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    number = F.col(doc_id).cast("long")  # a null id is 0 with an odd mark, so that joins need only plain equality
+    slim = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().cast("long").alias("absent"), text_of(text).alias("text"))
+    slim = slim.select("doc_id", "text", F.shiftleft(F.xxhash64("text"), 1).bitwiseOR(F.col("absent")).alias("mark"))
     small = slim.filter(F.length("text") <= giant).mapInArrow(lambda b: _small(b, model), CODED)
     large = slim.filter(F.length("text") > giant)
     kinds = "doc_id long, mark long, chunk int, last boolean, n int, body string, matrix binary"
@@ -313,15 +315,14 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     slices = chunks.select("doc_id", "mark", "segment", "chunk", "matrix").dropDuplicates(["doc_id", "mark", "chunk"])
     segments = slices.groupBy("doc_id", "mark", "segment").applyInPandas(_segment, "doc_id long, mark long, segment int, matrix binary")
     edges = segments.groupBy("doc_id", "mark").applyInPandas(_edges, "doc_id long, mark long, segment int, first int, final int")
-    same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
-    with_edges = slices.join(edges, same(slices, edges, "doc_id", "mark", "segment")).select(slices["*"], "first", "final")
+    with_edges = slices.join(edges, ["doc_id", "mark", "segment"])
     inner = with_edges.groupBy("doc_id", "mark", "segment").applyInPandas(_inner, "doc_id long, mark long, chunk int, begin int, end int")
     bodies = chunks.select("doc_id", "mark", "chunk", "n", "body").dropDuplicates(["doc_id", "mark", "chunk"])
-    coded = bodies.join(inner, same(bodies, inner, "doc_id", "mark", "chunk")).select(bodies["*"], "begin", "end").mapInArrow(lambda b: _traced(b, model), CODED)
-    whole = coded.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("chunk", "n", "score", "ids", "exact")).alias("coded")).mapInArrow(_joined, CODED)
-    rows = chunks.filter("last").select("doc_id", "mark")
-    again = rows.join(whole, same(rows, whole, "doc_id", "mark")).select(whole["*"])
-    return small.unionByName(again).select("doc_id", F.col("chunk").alias("chunks"), "n", "score", "ids", "exact")
+    coded = bodies.join(inner, ["doc_id", "mark", "chunk"]).mapInArrow(lambda b: _traced(b, model), CODED)
+    whole = coded.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("chunk", "n", "score", "ids", "exact")).alias("coded"))
+    again = chunks.filter("last").select("doc_id", "mark").join(whole, ["doc_id", "mark"]).mapInArrow(_joined, CODED)
+    present = F.when(F.col("mark").bitwiseAND(F.lit(1)) == 0, F.col("doc_id"))
+    return small.unionByName(again).select(present.alias("doc_id"), F.col("chunk").alias("chunks"), "n", "score", "ids", "exact")
 
 
 def summary(coded: DataFrame) -> DataFrame:
