@@ -9,7 +9,9 @@ padding.
 
 Token ids: byte-level BPE of the ``tokenizers`` file named in ``TOKENIZER``. Its rank file, the same
 vocabulary, gives the same ids (tests compare them) several times faster, and words are looked up in a
-bounded cache: a space between two characters that aren't white space always starts a new pre-token.
+bounded cache: a space between two characters that aren't white space always starts a new pre-token. Tokens
+that the ``tokenizers`` file adds (<|endoftext|>) are found inside texts too, and are one id each: texts are
+split at them first.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed each; a null
 doc_id stays null.
@@ -45,11 +47,26 @@ def _encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache
+def _added(name: str) -> dict[str, bytes]:
+    """Tokens that the ``tokenizers`` file adds to the vocabulary, and their ids as 32-bit words."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that don't match plainly: {odd}")
+    return {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+
+
 class Words(dict):
     """A word -> the ids of it and the space before it as little-endian 32-bit words; None where white space at its edges may join that space."""
 
     def __init__(self, name: str):
-        self.ordinary = _encoding(name).encode_ordinary
+        self.ordinary, self.added = _encoding(name).encode_ordinary, _added(name)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def encode(self, text: str) -> bytes:
         return np.array(self.ordinary(text), "<u4").tobytes()
@@ -69,14 +86,22 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 def token_bytes(text: str, known: Words) -> bytes:
     """The ids of the text and the closing id."""
+    if any(map(text.__contains__, known.added)):
+        ids = b"".join(known.added.get(part) or _plain_bytes(part, known) for part in known.split(text))
+    else:
+        ids = _plain_bytes(text, known)
+    return ids + CLOSING.to_bytes(4, "little")
+
+
+def _plain_bytes(text: str, known: Words) -> bytes:
+    """The ids of a text without added tokens."""
     first, *rest = text.split(" ")
     try:
         if first and first[-1].isspace():
             raise TypeError
-        ids = known.encode(first) + b"".join(map(known.__getitem__, rest))
+        return known.encode(first) + b"".join(map(known.__getitem__, rest))
     except TypeError:  # white space in a row
-        ids = b"".join(map(known.encode, _CUT.split(text)))
-    return ids + CLOSING.to_bytes(4, "little")
+        return b"".join(map(known.encode, _CUT.split(text)))
 
 
 class Packer:

@@ -69,6 +69,15 @@ def test_pack_odd_rows(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_pack_finds_added_tokens_inside_texts(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}\n y{end}z {end} ", f" {end}don{end}'t <|endoftext| > {end[:-1]}", f"word {end} " * 3000]
+    rows = list(enumerate(texts))
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert pieces_hold(packed, rows) == 0
+    assert packing.token_bytes(texts[0], packing.Words(packing.TOKENIZER)) == np.array([64, 220, 50256, 275, 1], "<u4").tobytes()
+
+
 def test_level_is_the_best_by_sum_of_squares():
     rng = np.random.default_rng(0)
     packer = packing.Packer(0, 32)
