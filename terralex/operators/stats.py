@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+#: Tags in a block of a ranking that the driver holds, at most.
+MOST = 10_000
+
 
 def pair_counts(tags: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """k, v, n: tags of the items (of all, or of those in among)."""
@@ -62,23 +65,61 @@ def overlaps(tags: DataFrame, among: DataFrame) -> DataFrame:
     return own.join(other, "item_id").filter(F.struct("k", "v") < F.struct("k2", "v2")).groupBy("k", "v", "k2", "v2").agg(F.count("*").alias("n"))
 
 
+def clashes(tags: DataFrame, pairs: DataFrame, some: DataFrame) -> DataFrame:
+    """k, v, n, k2, v2, n2: tags of some (k, v, n), a bounded ranking, and all tags that share more than a 200th of both tags' items with them."""
+    own = tags.join(F.broadcast(some), ["k", "v"]).select("item_id", "k", "v", "n").distinct()
+    other = tags.select("item_id", F.col("k").alias("k2"), F.col("v").alias("v2")).distinct()
+    shared = own.join(other, "item_id").filter("k <> k2 OR v <> v2").groupBy("k", "v", "n", "k2", "v2").agg(F.count("*").alias("shared"))
+    return shared.join(pairs.toDF("k2", "v2", "n2"), ["k2", "v2"]).filter("200 * shared > n + n2")
+
+
+def _place(n: Column, k: Column, v: Column) -> Column:
+    """What the ranking sorts by."""
+    return F.struct((-n).cast("long").alias("rank"), k.alias("k"), v.alias("v"))
+
+
+def _behind(pairs: DataFrame, last: Row | None) -> DataFrame:
+    """The pairs that come after last in the ranking."""
+    return pairs if last is None else pairs.filter(_place(F.col("n"), F.col("k"), F.col("v")) > _place(*(F.lit(last[c]) for c in ("n", "k", "v"))))
+
+
+def _first_two(tags: DataFrame, pairs: DataFrame, candidates: int) -> list[Row]:
+    """The first tag that hardly shares items with one before it, behind the first such one; ranked tags are taken in blocks that grow up to ``MOST``."""
+    spark, size, before, last = tags.sparkSession, candidates, 0, None
+    while block := top(_behind(pairs, last), size).collect():
+        earlier = clashes(tags, pairs, spark.createDataFrame(block, pairs.schema)).filter(_place(F.col("n2"), F.col("k2"), F.col("v2")) < _place(F.col("n"), F.col("k"), F.col("v")))
+        held = {(r["k"], r["v"]): r["held"] for r in earlier.groupBy("k", "v").agg(F.count("*").alias("held")).collect()}
+        late = next((r for i, r in enumerate(block, before) if held.get((r["k"], r["v"]), 0) < i), None)
+        if late is not None:
+            clash = clashes(tags, pairs, spark.createDataFrame([late], pairs.schema)).select(F.col("k2").alias("k"), F.col("v2").alias("v"))
+            return [top(pairs.join(clash, ["k", "v"], "left_anti"), 1).first(), late]
+        size, before, last = min(2 * size, MOST), before + len(block), block[-1]
+    return []
+
+
 def disjoint_top(tags: DataFrame, k: int, candidates: int = 200) -> list[tuple[str, str, int]]:
-    """Up to k pairs of tags, frequent ones first, that hardly share items; the driver picks among ``candidates`` ranked pairs.
-
-    The first two share at most a 200th of their items together, later ones share none with any before; none if there are no such two."""
-    ranked = top(pair_counts(tags).filter("n > 1"), candidates)
-    rows = ranked.collect()
-    shared = {((r["k"], r["v"]), (r["k2"], r["v2"])): r["n"] for r in overlaps(tags, ranked).collect()}
-    count = lambda a, b: shared.get((a, b), shared.get((b, a), 0))
-    found = [((r["k"], r["v"]), r["n"]) for r in rows]
-    start = next(((j, i) for i in range(len(found)) for j in range(i) if count(found[i][0], found[j][0]) <= (found[i][1] + found[j][1]) // 200), None)
-    if start is None:
-        return []
-    chosen = [found[start[0]], found[start[1]]]
-    for pair in found[start[1] + 1 :]:
-        if all(count(pair[0], c[0]) == 0 for c in chosen):
-            chosen.append(pair)
-    return [(*pair, n) for pair, n in chosen[:k]]
+    """Up to k pairs of tags, frequent ones first, any two of which share at most a 200th of their items together; none if there are no two such.
+
+    The first two are found in the ranking of all tags. Then blocks of ``candidates`` tags that don't clash with the chosen ones are taken from it until k
+    are chosen or no tags are left; the driver picks in a block."""
+    spark, pairs = tags.sparkSession, pair_counts(tags).persist()
+    try:
+        chosen = _first_two(tags, pairs, candidates)
+        last = chosen[-1] if chosen else None
+        while chosen and len(chosen) < k:
+            clash = clashes(tags, pairs, spark.createDataFrame(chosen, pairs.schema)).select(F.col("k2").alias("k"), F.col("v2").alias("v"))
+            block = top(_behind(pairs, last).join(clash, ["k", "v"], "left_anti"), candidates).collect()
+            if not block:
+                break
+            shared = {frozenset(((r["k"], r["v"]), (r["k2"], r["v2"]))): r["n"] for r in overlaps(tags, spark.createDataFrame(block, pairs.schema)).collect()}
+            own = []
+            for r in block:
+                if all(200 * shared.get(frozenset(((r["k"], r["v"]), (c["k"], c["v"]))), 0) <= r["n"] + c["n"] for c in own):
+                    own.append(r)
+            chosen, last = chosen + own, block[-1]
+        return [(r["k"], r["v"], r["n"]) for r in chosen[:k]]
+    finally:
+        pairs.unpersist()
 
 
 def facets(tags: DataFrame, keys: int, values: int) -> DataFrame:

@@ -65,3 +65,30 @@ def test_disjoint_top(spark):
     tags = spark.createDataFrame(rows, "item_id long, k string, v string")
     assert stats.disjoint_top(tags, 3) == [("a", "x", 6), ("c", "z", 4), ("d", "w", 3)]
     assert stats.disjoint_top(tags.filter("k IN ('a', 'b')"), 3) == []
+
+
+def brute_disjoint(rows, k):
+    items = {}
+    for i, *tag in rows:
+        items.setdefault(tuple(tag), set()).add(i)
+    ranked = sorted(items, key=lambda t: (-len(items[t]), t))
+    apart = lambda a, b: len(items[a] & items[b]) <= (len(items[a]) + len(items[b])) / 200
+    two = next(((b, a) for i, a in enumerate(ranked) for b in ranked[:i] if apart(a, b)), None)
+    if two is None:
+        return []
+    chosen = list(two)
+    for tag in ranked[ranked.index(two[1]) + 1 :]:
+        if all(apart(tag, c) for c in chosen):
+            chosen.append(tag)
+    return [(*t, len(items[t])) for t in chosen[:k]]
+
+
+def test_disjoint_top_goes_through_all_tags(spark):
+    inside = [(i, "in", f"{j:02}") for j in range(30) for i in range(100 - j)]  # overlap one another
+    apart = [(i, "out", "a") for i in range(1000, 1005)] + [(2000, "out", "b")]
+    nearly = [(i, "near", "n") for i in (99, *range(3000, 3064))]  # shares one item with the first: more than (100 + 65) // 200
+    wide = [(i, "wide", "w") for i in range(5000, 5500)] + [(i, "wide", "v") for i in range(5499, 5900)] + [(i, "wide", "u") for i in range(5898, 6200)]
+    for rows, k, candidates in ((inside + apart, 3, 4), (inside + apart, 9, 200), (inside + apart + nearly, 9, 3), (wide, 3, 200), (wide + inside + apart, 9, 2), (inside, 3, 4)):
+        tags = spark.createDataFrame(rows, "item_id long, k string, v string")
+        assert stats.disjoint_top(tags, k, candidates) == brute_disjoint(rows, k)
+    assert brute_disjoint(inside + apart, 3) == [("in", "00", 100), ("out", "a", 5), ("out", "b", 1)] and len(brute_disjoint(wide, 3)) == 3
