@@ -11,10 +11,13 @@
    again, by the rank half way), Kasai's common prefixes over neighbours, and the earliest start of
    each run of suffixes that share ``LENGTH`` bytes. A shard over ``SHARD`` bytes is split, and the parts are
    merged by binary search of one's strings in the other's suffix array.
+   An anchor with ``BUSY`` contexts in a batch or over ``HOT`` in all is hot: its contexts skip the deal by anchor,
+   and their strings are dealt one by one by a second hash, so no task holds a hot anchor. Of equal strings in a
+   batch only the earliest is dealt.
 4. Repeated starts go back to their documents, whose bytes are cut.
 
 Rows move as packed arrays; texts are shuffled once, for two joins. Buckets follow
-spark.sql.shuffle.partitions. Hashes of 96 bits decide whether two contexts are equal.
+spark.sql.shuffle.partitions. Hashes of 96 bits decide whether two contexts are equal, of 112 bits for strings of hot anchors.
 
 Defined results: a null text is empty. Rows that repeat doc_id and text are one document and get the same
 result; rows that share only doc_id are ordered by a hash of the text; a null doc_id comes last. Cut text
@@ -35,11 +38,16 @@ from pyspark.sql import functions as F
 from terralex.llm.common import buckets_for, encoded, parts, text_of, written
 
 LENGTH, GRAM, SHARD, BATCH = 100, 32, 2_000_000, 8_000_000
+HOT, BUSY, SLICE = 4096, 64, 8192
 WINDOW = LENGTH - GRAM + 1
 LAST = (1 << 63) - 1
 
 SPOT = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("content", "<u4"), ("content2", "<u2"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
 CONTEXT = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
+STRING = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("string", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4")])
+#: What packed spots are: to be compared, all repeats, contexts of a hot anchor, one context of each hot anchor; and what packed contexts are.
+COMPARE, REPEATS, BESIDE, MARKS = range(4)
+CONTEXTS, STRINGS, STARTS = range(3)
 
 
 @lru_cache
@@ -127,8 +135,8 @@ def _whole(spots: np.ndarray, name: str) -> np.ndarray:
     return spots[name].astype(np.uint64) << np.uint64(16) | spots[name + "2"].astype(np.uint64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket, repeats (whether a batch itself shows that these are all repeats), packed spots."""
+def _scan(batches: Iterator[pa.RecordBatch], buckets: int, busy: int) -> Iterator[pa.RecordBatch]:
+    """bucket, kind (REPEATS: a batch itself shows it), packed spots. Contexts of a hot anchor are dealt by content, only one by anchor."""
     for docs, marks, texts in _batched(batches, BATCH, "doc", "mark", "text"):
         found = []
         for doc, mark, text in zip(docs, marks, texts):
@@ -144,10 +152,14 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         spots = np.concatenate(found)
         first, later = _known(spots, _whole(spots, "content") * np.uint64(0x9E3779B97F4A7C15) + _whole(spots, "hash"))
         again, spots = spots[later], spots[np.sort(first)]
-        rows = [(b, False, x) for b, x in _packed((spots["hash"] % np.uint32(buckets)).astype(np.int64), spots)]
+        _, one, inverse, counts = np.unique(_whole(spots, "hash"), return_index=True, return_inverse=True, return_counts=True)
+        hot = counts >= busy
+        rows = []
+        for kind, name, own in ((COMPARE, "hash", spots[~hot[inverse]]), (BESIDE, "content", spots[hot[inverse]]), (MARKS, "hash", spots[one[hot]])):
+            rows += [(b, kind, x) for b, x in _packed((own[name] % np.uint32(buckets)).astype(np.int64), own)]
         if len(again):
-            rows.append((int(again["hash"][0]) % buckets, True, again.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "repeats", "spots"])
+            rows.append((int(again["hash"][0]) % buckets, REPEATS, again.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "spots"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[list]]]:
@@ -164,44 +176,102 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tup
         yield current, held
 
 
-SPOT_SCHEMA = "doc long, mark long, `from` int, `to` int, hash long"
+SPOT_SCHEMA = "doc long, mark long, `from` int, `to` int, hash long, hot boolean"
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of starts that repeat (hash is null), and contexts whose bytes are wanted (hash of the anchor)."""
+def _compared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of starts that repeat (hash is null), and contexts whose bytes are wanted (hash of the anchor, whether it is hot)."""
 
-    def rows(spots: np.ndarray, wanted: bool) -> pa.RecordBatch:
+    def rows(spots: np.ndarray, wanted: bool, hot: np.ndarray | None = None) -> pa.RecordBatch:
         begin, end, hashes = spots["at"].astype(np.int64), spots["at"].astype(np.int64) + spots["count"] - 1, _whole(spots, "hash").view(np.int64)
         if not wanted:
             runs = _runs(spots["doc"], spots["mark"].astype(np.int64), begin, end)
-            return pa.RecordBatch.from_arrays([*runs.columns, pa.nulls(runs.num_rows, pa.int64())], [*runs.schema.names, "hash"])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (spots["doc"], spots["mark"].astype(np.int64), begin.astype(np.int32), end.astype(np.int32), hashes)], ["doc", "mark", "from", "to", "hash"])
-
-    for _, (repeats, blobs) in _by_bucket(batches, "repeats", "spots"):
-        for again, blob in zip(repeats, blobs):
-            if again:
-                yield rows(np.frombuffer(blob, SPOT), False)
-        held = [np.frombuffer(x, SPOT) for again, x in zip(repeats, blobs) if not again]
+            return pa.RecordBatch.from_arrays([*runs.columns, pa.nulls(runs.num_rows, pa.int64()), pa.nulls(runs.num_rows, pa.bool_())], [*runs.schema.names, "hash", "hot"])
+        columns = (spots["doc"], spots["mark"].astype(np.int64), begin.astype(np.int32), end.astype(np.int32), hashes, np.ones(len(spots), bool) if hot is None else hot)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "mark", "from", "to", "hash", "hot"])
+
+    for _, (kinds, blobs) in _by_bucket(batches, "kind", "spots"):
+        for kind, blob in zip(kinds, blobs):
+            if kind in (REPEATS, BESIDE):
+                yield rows(np.frombuffer(blob, SPOT), kind == BESIDE)
+        held, marks = ([np.frombuffer(x, SPOT) for kind, x in zip(kinds, blobs) if kind == own] for own in (COMPARE, MARKS))
         if not held:
             continue
         spots = np.concatenate(held)
-        _, inverse, counts = np.unique(_whole(spots, "hash"), return_inverse=True, return_counts=True)
-        spots, inverse = spots[counts[inverse] > 1], inverse[counts[inverse] > 1]
+        anchor, inverse, counts = np.unique(_whole(spots, "hash"), return_inverse=True, return_counts=True)
+        hot = np.isin(anchor, _whole(np.concatenate(marks), "hash")) if marks else np.zeros(len(anchor), bool)
+        stay = ((counts > 1) | hot)[inverse]
+        spots, inverse = spots[stay], inverse[stay]
         if not len(spots):
             continue
         first, later = _known(spots, _whole(spots, "content") * np.uint64(0x9E3779B97F4A7C15) + inverse.astype(np.uint64))
         yield rows(spots[later], False)
-        several = np.bincount(inverse[first], minlength=inverse.max() + 1)[inverse[first]] > 1
-        yield rows(spots[first[several]], True)
+        different = np.bincount(inverse[first], minlength=len(anchor))
+        hot |= different > limit
+        first = first[(hot | (different > 1))[inverse[first]]]
+        yield rows(spots[first], True, hot[inverse[first]])
+
+
+def _strings(flat: np.ndarray, which: np.ndarray, docs: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets: int) -> Iterator[tuple]:
+    """Rows of _contexts for contexts of hot anchors: each string by itself, the later ones of equal strings as starts that repeat."""
+    for k in range(0, len(flat), SLICE):
+        found = []
+        for number in np.unique(which[k : k + SLICE]).tolist():
+            own = flat[k : k + SLICE][which[k : k + SLICE] == number]
+            counts = own[:, 2] - own[:, 1] + 1
+            at = np.repeat(own[:, 1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            strings = np.empty(len(at), STRING)
+            anchor = np.repeat(own[:, 0], counts).view(np.uint64)
+            strings["hash"], strings["hash2"] = anchor >> np.uint64(16), anchor & np.uint64(0xFFFF)
+            strings["string"] = _slices(_sums(np.frombuffer(texts[number], np.uint8)), at, at + LENGTH)
+            strings["doc"], strings["mark"], strings["at"] = docs[number], marks[number], at
+            found.append(strings)
+        strings = np.concatenate(found)
+        first, later = _known(strings, _names(strings))
+        first, later = strings[first], strings[later]
+        yield from ((b, STRINGS, x, None) for b, x in _packed((first["string"] % np.uint64(buckets)).astype(np.int64), first))
+        yield from ((b, STARTS, x, None) for b, x in _packed(np.full(len(later), int(first["string"][0] % np.uint64(buckets))), later))
+
+
+def _names(strings: np.ndarray) -> np.ndarray:
+    """Numbers of strings, equal for equal ones."""
+    both = strings[["hash", "hash2", "string"]]
+    order = np.lexsort((both["string"], both["hash2"], both["hash"]))
+    both = both[order]
+    new = np.zeros(len(order), bool)
+    for name in both.dtype.names:
+        new[1:] |= both[name][1:] != both[name][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+CONTEXT_SCHEMA = "bucket int, kind int, contexts binary, bytes binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed contexts and their bytes, by bucket."""
+    """Packed contexts and their bytes, by bucket; of hot anchors packed strings."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "contexts", "bytes"])
+
     for docs, marks, spots, texts in _batched(batches, BATCH, "doc", "mark", "spots", "text"):
         begins = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
         b = b"".join(texts)
         which = np.repeat(np.arange(len(docs)), [len(s) for s in spots])
-        flat = np.array([(x["hash"], x["from"], x["to"]) for s in spots for x in s], np.int64).reshape(-1, 3)
+        flat = np.array([(x["hash"], x["from"], x["to"], x["hot"]) for s in spots for x in s], np.int64).reshape(-1, 4)
+        hot = flat[:, 3] > 0
+        if hot.any():
+            held, size = [], 0
+            for row in _strings(flat[hot], which[hot], np.array(docs, np.int64), np.array(marks, np.int64), texts, buckets):
+                held.append(row)
+                size += len(row[2])
+                if size >= BATCH:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if held:
+                yield batch_of(held)
+            flat, which = flat[~hot], which[~hot]
         bucket = ((flat[:, 0] >> 16) % buckets).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         which, flat, bucket = which[order], flat[order], bucket[order]
@@ -214,9 +284,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(flat)]
         for a, z in zip(cuts, cuts[1:]):
             if z > a:
-                rows.append((int(bucket[a]), packed[a:z].tobytes(), b"".join(b[x:y] for x, y in zip(starts[a:z], stops[a:z]))))
+                rows.append((int(bucket[a]), CONTEXTS, packed[a:z].tobytes(), b"".join(b[x:y] for x, y in zip(starts[a:z], stops[a:z]))))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "contexts", "bytes"])
+            yield batch_of(rows)
 
 
 def _eights(b: np.ndarray) -> np.ndarray:
@@ -364,9 +434,19 @@ def _runs(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, last: np.ndarray) -
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    for _, (blobs, texts) in _by_bucket(batches, "contexts", "bytes"):
+    def runs(strings: np.ndarray) -> pa.RecordBatch:
+        at = strings["at"].astype(np.int64)
+        return _runs(strings["doc"], strings["mark"].astype(np.int64), at, at)
+
+    for _, (kinds, blobs, texts) in _by_bucket(batches, "kind", "contexts", "bytes"):
+        for kind, blob in zip(kinds, blobs):
+            if kind == STARTS:
+                yield runs(np.frombuffer(blob, STRING))
+        if single := [np.frombuffer(x, STRING) for kind, x in zip(kinds, blobs) if kind == STRINGS]:
+            strings = np.concatenate(single)
+            yield runs(strings[_known(strings, _names(strings))[1]])
         made, held, size = [], [], 0
-        filled = [(np.frombuffer(c, CONTEXT), t) for c, t in zip(blobs, texts)]
+        filled = [(np.frombuffer(c, CONTEXT), t) for kind, c, t in zip(kinds, blobs, texts) if kind == CONTEXTS]
         for k, x in enumerate(filled):
             held.append(x)
             size += len(x[1])
@@ -406,20 +486,20 @@ def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Reco
 RANGE = "doc long, mark long, `from` int, `to` int"
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, shard: int = SHARD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, shard: int = SHARD, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, busy: int = BUSY) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left)."""
     spark = docs.sparkSession
     buckets, n = buckets_for(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     named = slim.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("mark"), "text")
 
-    scanned = named.select("doc", "mark", "text").mapInArrow(lambda b: _scan(b, buckets), "bucket int, repeats boolean, spots binary")
-    compared = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_compared, SPOT_SCHEMA)
+    scanned = named.select("doc", "mark", "text").mapInArrow(lambda b: _scan(b, buckets, busy), "bucket int, kind int, spots binary")
+    compared = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _compared(b, hot), SPOT_SCHEMA)
     spots = written(compared, "spots")
 
-    wanted = spots.filter("hash IS NOT NULL").groupBy("doc", "mark").agg(F.collect_set(F.struct("hash", "from", "to")).alias("spots"))
+    wanted = spots.filter("hash IS NOT NULL").groupBy("doc", "mark").agg(F.collect_set(F.struct("hash", "from", "to", "hot")).alias("spots"))
     with_text = named.join(wanted, ["doc", "mark"])  # doc_id comes along so that both joins share the shuffle of the texts
-    contexts = with_text.select("doc_id", "doc", "mark", "spots", "text").mapInArrow(lambda b: _contexts(b, buckets), "bucket int, contexts binary, bytes binary")
+    contexts = with_text.select("doc_id", "doc", "mark", "spots", "text").mapInArrow(lambda b: _contexts(b, buckets), CONTEXT_SCHEMA)
     more = contexts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _shards(b, shard), RANGE)
 
     ranges = spots.filter("hash IS NULL").select("doc", "mark", "from", "to").unionByName(more)

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terralex.llm import embedding_dedup, exact_dedup, linkage, ngram_join, suffix_dedup
 from terralex.llm.common import words
@@ -201,6 +202,42 @@ def test_remove_repeats_odd_rows(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def common_line(n):
+    """Documents with one line in surroundings that differ, and some that don't."""
+    rng = np.random.default_rng(5)
+    letters = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    line, sides = "all rights reserved by the authors of this text", [letters(90) for _ in range(25)]
+    return [(i, letters(120) + sides[rng.integers(25)] + line + sides[rng.integers(25)] + letters(120)) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot, busy", [(4096, 64), (20, 10**9), (4096, 2), (20, 15)])
+def test_remove_repeats_of_hot_anchors(spark, data, hot, busy):
+    rows = common_line(120) + [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id") + 1000, "text").limit(40).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    want = brute_repeats(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot=hot, busy=busy).collect()}
+    assert sum(w[1] for i, w in want.items() if i < 1000) > 1000
+    assert got == want
+
+
+def test_contexts_of_a_hot_anchor_go_to_many_tasks(spark):
+    import pyarrow as pa
+
+    rows, buckets = common_line(600), 16
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["doc", "mark", "text"])
+    spots = pa.Table.from_batches(suffix_dedup._scan(iter([batch]), buckets, suffix_dedup.BUSY)).sort_by("bucket")
+    found = pa.Table.from_batches(suffix_dedup._compared(iter(spots.to_batches()), suffix_dedup.HOT)).filter(pa.compute.field("hash").is_valid())
+    assert sum(found["hot"].to_pylist()) > 200
+    by_doc = defaultdict(list)
+    for r in found.to_pylist():
+        by_doc[r["doc"]].append(r)
+    batch = pa.RecordBatch.from_pylist([{"doc": i, "mark": 0, "spots": by_doc[i], "text": t} for i, t in rows if i in by_doc])
+    sizes = defaultdict(int)
+    for r in pa.Table.from_batches(suffix_dedup._contexts(iter([batch]), buckets)).to_pylist():
+        sizes[r["bucket"]] += len(r["contexts"]) + len(r["bytes"] or b"")
+    assert len(sizes) == buckets and max(sizes.values()) < 3 * sum(sizes.values()) / buckets
+
+
 def test_suffix_array_sorts_strings():
     rng = np.random.default_rng(0)
     data = bytes(rng.integers(97, 99, 4000).astype(np.uint8)) + b"ab" * 200
