@@ -38,7 +38,7 @@ MORE = {
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", False, 0, 40, 0),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", False, 0, 15, 0),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False, 0, 30, 0),
-    "private": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?", False, 0, 27, 0),
+    "private": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[A-Za-z0-9+/=\s]|\\[nrt])*)", False, 0, 27, 0),
     "google": (r"AIza[A-Za-z0-9_-]{35,}", False, 0, 39, 0),
 }
 RULES = BASE | MORE
