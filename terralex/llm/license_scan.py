@@ -142,7 +142,7 @@ def chain(matches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]
 
 
 def spans_of(known: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """(label, first word, end word, covered share) of the templates found in a text given as word numbers (-1: in no template)."""
+    """(label, first word, end word, covered share) of the templates found in a text, at each place that is COVERED or else the best one, given as word numbers (-1: in no template)."""
     _, automaton, lengths, labels, _ = licences()
     matches = defaultdict(list)
     inside = np.flatnonzero(np.diff(np.concatenate(([0], known >= 0, [0]))))
@@ -157,8 +157,9 @@ def spans_of(known: np.ndarray) -> list[tuple[str, int, int, float]]:
             before = now
     found = []
     for template, own in matches.items():
-        best = max(chain(own), key=lambda c: c[2])
-        found.append((labels[template], best[0], best[1], min(1.0, best[2] / lengths[template])))
+        best, *others = sorted(chain(own), key=lambda c: -c[2])
+        for begin, end, n in [best, *(c for c in others if c[2] / lengths[template] >= COVERED)]:
+            found.append((labels[template], begin, end, min(1.0, n / lengths[template])))
     return found
 
 

@@ -197,6 +197,14 @@ def test_licence_labels_and_spans(spark):
     assert license_scan.scan_licences(docs.limit(0)).count() == 0
 
 
+def test_licence_in_several_places(spark):
+    mit = license_scan.TEMPLATES["mit"][1]
+    n = len(words(mit.encode()))
+    row = license_scan.scan_licences(spark.createDataFrame([(1, f"{mit} {'x ' * 500} {mit} {mit} {'y ' * 70} " + " ".join(mit.split()[: n // 3]))], "doc_id long, text string")).first()
+    assert [(s.first_word, s.end_word) for s in row.spans if s.label == "mit" and s.covered == 1] == [(k, k + n) for k in (0, n + 500, 2 * n + 500)]
+    assert row.labels == "mit" and row.score == 1 and all(s.covered >= license_scan.COVERED for s in row.spans if s.label == "mit" and s.end_word - s.first_word == n)
+
+
 def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 3, 12).tolist() for _ in range(4)] + [[0, 1]]
