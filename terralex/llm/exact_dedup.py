@@ -4,7 +4,7 @@ A text is normalised (each run of white space becomes one space) and cut behind
 ``MIN_CHUNK`` characters after the last cut. Equal chunks get one identifier, which a dictionary of
 all chunks verifies: a 64-bit hash and a length stand for a chunk only if all chunks that have them
 share one SHA-256; else the SHA-256 itself is part of the identifier. Documents are then compared by
-their ordered identifier lists. Only digests are shuffled, never texts.
+their ordered identifier lists; the SHA-256 of the whole text is only checked within a group. Only digests are shuffled, never texts.
 
 Defined results: a null text is empty. Rows that repeat doc_id and text count as copies of one another
 and one of them is kept. A null doc_id stays only where its group has no other. Rows that share a
@@ -62,9 +62,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, keep_id, group_size, kept, text_sha256: a row per row of docs."""
     own = written(recipes(docs, text, doc_id), "recipes")
     # Written, so that the join gets rows as they are and Spark can split a large group of copies.
-    groups = written(own.groupBy("sha", "recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    found = own.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.min("sha").alias("low"), F.max("sha").alias("high"))
+    one = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.lit("texts with equal recipes differ")))
+    groups = written(found.select("recipe", "keep_id", "group_size", one.alias("sha")), "groups")
     return (
-        own.join(groups, ["sha", "recipe"])
+        own.drop("sha").join(groups, "recipe")
         .select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     )

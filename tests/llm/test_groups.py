@@ -202,6 +202,17 @@ def test_remove_repeats_odd_rows(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_recipes_decide_exact_groups(spark, monkeypatch):
+    kind = "doc_id long, sha binary, recipe array<struct<pos:int,h:long,n:int,full:binary>>, copies long"
+    rows = [(1, b"a", [(0, 5, 3, None)], 1), (2, b"a", [(0, 5, 3, None)], 2), (3, b"a", [(0, 6, 3, None)], 1)]
+    monkeypatch.setattr(exact_dedup, "recipes", lambda *_: spark.createDataFrame(rows, kind))
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(spark.range(1)).collect())
+    assert got == [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 1, True)]
+    rows.append((4, b"b", [(0, 6, 3, None)], 1))
+    with pytest.raises(Exception, match="equal recipes differ"):
+        exact_dedup.exact_groups(spark.range(1)).collect()
+
+
 def common_line(n):
     """Documents with one line in surroundings that differ, and some that don't."""
     rng = np.random.default_rng(5)
