@@ -2,9 +2,10 @@
 
 One automaton holds every word sequence of all templates. Each text is streamed through it, which gives
 the matching statistics: the longest suffix of what was read that some template holds. Runs of words
-that no template has are skipped, since they reset the automaton. Maximal matches of at least
-``MIN_MATCH`` words are chained per template, in order in both text and template with gaps of at most
-``GAP`` words, into covered spans; a template of which a chain covers ``COVERED`` gives its label.
+that no template has are skipped, since they reset the automaton. For each template its maximal matches of at
+least ``MIN_MATCH`` words, at all their places in it, are chained in order in both text and template with gaps of at
+most ``GAP`` words: dynamic programming finds the chains, none over another's words, with the most words covered after
+the costs of opening a chain and of gaps. A template of which a chain covers ``COVERED`` gives its label.
 The automaton depends on the templates alone; the scan shuffles nothing and a task holds one batch.
 
 Defined results: a null or empty text has no words, no labels and score 0. Repeated rows are scanned
@@ -13,6 +14,7 @@ each. Score is the largest covered share of any template, and 1 where a base phr
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from terralex.llm.common import encoded, parts, text_of, words
 
 MIN_MATCH, GAP, COVERED = 4, 12, 0.75
+OPEN, SKIP = 2.0, 0.05  # costs in words: of a chain, and of a word in a gap of text or template
 
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -71,6 +74,21 @@ class Automaton:
         self.ends = [set(e) for e in ends]  # a state also ends where the states that link to it do
         for state in sorted(range(1, len(self.link)), key=lambda v: -self.length[v]):
             self.ends[self.link[state]] |= self.ends[state]
+        self.held = [self._held(state) for state in range(len(self.link))]
+
+    def _held(self, state: int) -> dict[int, tuple[int | None, list[int]]]:
+        """Of a state's strings, what each sequence holds at the end of them: at most so many words (None: all that is matched), and where they end."""
+        out: dict[int, tuple[int | None, list[int]]] = {}
+        most = None
+        while state > 0 and self.length[state] >= MIN_MATCH:
+            new: dict[int, list[int]] = {}
+            for s, end in sorted(self.ends[state]):
+                if s not in out:
+                    new.setdefault(s, []).append(end)
+            out |= {s: (most, places) for s, places in new.items()}
+            state = self.link[state]
+            most = self.length[state]
+        return out
 
     def _new(self, length: int, link: int, following: dict[int, int], ends: list) -> int:
         self.next.append(following)
@@ -123,43 +141,74 @@ def licences():
     return vocabulary, Automaton([s for _, s in listed]), [len(s) for _, s in listed], [label for label, _ in listed], phrases
 
 
-def chain(matches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """matches (text start, template start, words) of one template -> chains (text start, text end, words covered), greedily in text order."""
-    current = None
-    for start, at, n in sorted(matches, key=lambda m: (m[0], -m[2], m[1])):
-        if current and start + n > current[1] and 0 <= start - current[1] + (over := max(0, current[1] - start)) <= GAP and 0 <= at + over - current[2] <= GAP:
-            current = (current[0], start + n, at + n, current[3] + n - over)
-            continue
-        if current and start < current[1]:
-            if n > current[3]:  # a longer one in the same place
-                current = (start, start + n, at + n, n)
-            continue
-        if current:
-            yield current[0], current[1], current[3]
-        current = (start, start + n, at + n, n)
-    if current:
-        yield current[0], current[1], current[3]
+def chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """matches (text start, template start, words) of one template -> chains (text start, text end, words covered) that share no words of the text.
+
+    ``best[i]`` is the most that chains up to the end of match i are worth if i is the last match; a match goes on the chain of another that ends
+    at most GAP words before it, in text and template, and gives up the words that both cover, or it opens a chain behind all that ended before."""
+    matches = sorted(matches, key=lambda m: (m[0] + m[2], m[0], m[1]))
+    ends = [m[0] + m[2] for m in matches]
+    best, back, covered, top = [], [], [], []  # top: the match whose chain is worth most among the matches so far
+    first_end = 0
+    for i, (start, at, n) in enumerate(matches):
+        before = bisect_right(ends, start, 0, i) - 1
+        before = top[before] if before >= 0 else -1
+        value, prior, own = (best[before] if before >= 0 else 0.0) + n - OPEN, (before, False), n
+        while ends[first_end] < start - GAP:
+            first_end += 1
+        for j in range(first_end, i):
+            over = max(0, ends[j] - start, matches[j][1] + matches[j][2] - at)
+            gap, skip = start + over - ends[j], at + over - matches[j][1] - matches[j][2]
+            if over < n and ends[j] < ends[i] and 0 <= gap <= GAP and 0 <= skip <= GAP and (new := best[j] + n - over - SKIP * (gap + skip)) > value:
+                value, prior, own = new, (j, True), n - over
+        best.append(value)
+        back.append(prior)
+        covered.append(own)
+        top.append(i if not i or value > best[top[-1]] else top[-1])
+    out, i = [], top[-1] if matches else -1
+    end = total = 0
+    fresh = True
+    while i >= 0:
+        end, total = (ends[i], 0) if fresh else (end, total)
+        total += covered[i]
+        j, goes_on = back[i]
+        if not goes_on:
+            out.append((matches[i][0], end, total))
+        i, fresh = j, not goes_on
+    return out[::-1]
+
+
+def matches_of(run: list[int], begin: int = 0) -> dict[int, list[tuple[int, int, int]]]:
+    """Per template the maximal matches (text start, template start, words) of a run of known words that begins at a place of the text."""
+    automaton, out, before = licences()[1], defaultdict(list), {}
+    for i, (state, matched) in enumerate([*automaton.statistics(run), (0, 0)]):
+        now = {} if matched < MIN_MATCH else {s: (most or matched, places) for s, (most, places) in automaton.held[state].items()}
+        for s, (n, places) in before.items():
+            if now.get(s, (0,))[0] != n + 1:  # can't be extended
+                out[s] += [(begin + i - n, end - n, n) for end in places]
+            elif len(places) > len(now[s][1]):  # some places can't
+                going = set(now[s][1])
+                out[s] += [(begin + i - n, end - n, n) for end in places if end + 1 not in going]
+        before = now
+    return out
 
 
 def spans_of(known: np.ndarray) -> list[tuple[str, int, int, float]]:
     """(label, first word, end word, covered share) of the templates found in a text, at each place that is COVERED or else the best one, given as word numbers (-1: in no template)."""
-    _, automaton, lengths, labels, _ = licences()
+    _, _, lengths, labels, _ = licences()
     matches = defaultdict(list)
     inside = np.flatnonzero(np.diff(np.concatenate(([0], known >= 0, [0]))))
     for a, b in inside.reshape(-1, 2).tolist():
-        if b - a < MIN_MATCH:
-            continue
-        before = (0, 0)
-        for i, now in enumerate([*automaton.statistics(known[a:b].tolist()), (0, 0)]):
-            if before[1] >= MIN_MATCH and now[1] != before[1] + 1:  # can't be extended
-                for template, end in automaton.ends[before[0]]:
-                    matches[template].append((a + i - before[1], end - before[1], before[1]))
-            before = now
+        if b - a >= MIN_MATCH:
+            for template, own in matches_of(known[a:b].tolist(), a).items():
+                matches[template] += own
     found = []
     for template, own in matches.items():
-        best, *others = sorted(chain(own), key=lambda c: -c[2])
-        for begin, end, n in [best, *(c for c in others if c[2] / lengths[template] >= COVERED)]:
-            found.append((labels[template], begin, end, min(1.0, n / lengths[template])))
+        made = chains(own)
+        best = max(made, key=lambda c: c[2], default=None)
+        for begin, end, n in made:
+            if n >= COVERED * lengths[template] or (begin, end, n) == best:
+                found.append((labels[template], begin, end, min(1.0, n / lengths[template])))
     return found
 
 
