@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.with_revisits(table(spark, sf_dir, "pages"))
     archives = written(warc.write_archives(records, new_path(spark, "warc")), "archives")
-    found = warc.read_archives(archives, payloads=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
+    read = written(warc.read_archives(archives, payloads=False), "records")
+    return warc.resolved(read).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

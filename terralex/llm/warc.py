@@ -6,12 +6,15 @@ WARC-Payload-Digest while it passes. Writer and reader run in tasks and stream f
 ``pyarrow.fs``, so the folder can be in any store that all executors see.
 
 A payload of ``REVISIT`` bytes or more that other records have too is stored once, as the response with the
-largest id; the others are revisit records that refer to it. Which is which is decided from digests:
-a partial aggregate per digest, then a join that can be split.
+largest id; the others are revisit records that refer to it. Which is which is decided from slim rows (SHA-256,
+length, id), never from payloads: groups are written before slim rows meet them, so Spark can split a hot payload,
+and the revisits found are written before pages meet them by id and digest, which no key is hot in.
+A read revisit gets length and digest from the response that it names, which has to be there with that digest.
 
 Defined results: null html is an empty payload, null urls are empty, a null id is the id ``-``, read
 back as null. Rows that repeat the largest id of a payload are responses each. A record
-cut short, a wrong digest and data that isn't gzip raise an error that names file and place.
+cut short, a wrong digest, headers that are missing or aren't UTF-8, and data that isn't gzip raise an error that names file and place;
+so does a revisit whose response isn't found.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import text_of
+from terralex.llm.common import text_of, written
 
 REVISIT, ARCHIVE_BYTES, PIECE, LEVEL = 1000, 64_000_000, 1 << 16, 4
 
@@ -36,12 +39,12 @@ class WarcError(ValueError):
     pass
 
 
-def record(kind: str, uri: str, page_id, payload: bytes | None, digest: str, length: int, refers_to=None) -> bytes:
+def record(kind: str, uri: str, page_id, payload: bytes | None, digest: str, refers_to=None) -> bytes:
     """One record as a gzip member. digest is hexadecimal SHA-1; a revisit has no payload of its own."""
     block = b"" if payload is None else payload
     name = lambda x: f"<urn:page:{'-' if x is None else x}>"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_one_line(uri)}"]
-    lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {length}"]
+    lines += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
@@ -96,10 +99,17 @@ class Reader:
                     raise WarcError(f"{self.name}: a record without headers before byte {self.at}")
                 head += new
             head, _, body = head.partition(b"\r\n\r\n")
-            first, *lines = head.decode().split("\r\n")
+            try:
+                first, *lines = head.decode().split("\r\n")
+            except UnicodeDecodeError as error:
+                raise WarcError(f"{self.name}: headers that aren't UTF-8 before byte {self.at}") from error
             if not first.startswith("WARC/"):
                 raise WarcError(f"{self.name}: not a WARC record: {first[:40]!r}")
             headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            if missing := {"warc-type", "warc-record-id", "content-length"} - headers.keys():
+                raise WarcError(f"{self.name}: a record without {', '.join(sorted(missing))} before byte {self.at}")
+            if not headers["content-length"].isdecimal():
+                raise WarcError(f"{self.name}: {headers['warc-record-id']} has the length {headers['content-length']!r}")
             length = int(headers["content-length"])
             block, digest, left = [], hashlib.sha1(), length
             while True:
@@ -126,12 +136,12 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     task, made, out, size, records = TaskContext.get(), [], None, 0, 0
     name = ""
     for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("kind", "url", "page_id", "payload", "digest", "length", "refers_to"))):
-            kind, url, page_id, payload, digest, length, refers_to = (x.as_py() for x in row)
+        for row in zip(*(batch.column(c) for c in ("kind", "url", "page_id", "payload", "digest", "refers_to"))):
+            kind, url, page_id, payload, digest, refers_to = (x.as_py() for x in row)
             if out is None:  # an attempt that fails leaves files that nothing names
                 name = f"{folder}/part-{task.partitionId():06d}-{len(made):04d}-{task.taskAttemptId()}.warc.gz"
                 out, size, records = store.open_output_stream(f"{base}/{name.rpartition('/')[2]}"), 0, 0
-            data = record(kind, url, page_id, payload, digest, length, refers_to)
+            data = record(kind, url, page_id, payload, digest, refers_to)
             out.write(data)
             size, records = size + len(data), records + 1
             if size >= ARCHIVE_BYTES:
@@ -145,14 +155,18 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> records: kind, url, page_id, payload (null for revisits), digest, length, refers_to."""
+    """pages (page_id, url, html) -> records: kind, url, page_id, payload (null for revisits), digest, refers_to."""
     payload = F.encode(text_of("html"), "UTF-8")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("length", F.length("payload").cast("long"))
-    groups = own.filter(F.col("length") >= REVISIT).groupBy("digest", "length").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    joined = own.join(groups.select("digest", "length", "last"), ["digest", "length"], "left")
-    again = joined["last"].isNotNull() & ~joined["page_id"].eqNullSafe(joined["last"])
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    slim = own.filter(F.length("payload") >= REVISIT).select("page_id", F.unhex(F.sha2("payload", 256)).alias("sha"))
+    groups = written(slim.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 AND last IS NOT NULL").select("sha", "last"), "groups")
+    again = slim.join(groups, "sha").filter(~F.col("page_id").eqNullSafe(F.col("last"))).distinct()
+    again = written(again.select("sha", F.coalesce("page_id", F.lit(0)).alias("number"), F.col("page_id").isNull().alias("absent"), "last"), "revisits")
+    named = own.withColumn("sha", F.when(F.length("payload") >= REVISIT, F.unhex(F.sha2("payload", 256)))).withColumn("number", F.coalesce("page_id", F.lit(0))).withColumn("absent", F.col("page_id").isNull())
+    joined = named.join(again, ["number", "absent", "sha"], "left")
+    revisit = F.col("last").isNotNull()
     return joined.select(
-        F.when(again, "revisit").otherwise("response").alias("kind"), "url", "page_id", F.when(~again, F.col("payload")).alias("payload"), "digest", "length", F.when(again, F.col("last")).alias("refers_to")
+        F.when(revisit, "revisit").otherwise("response").alias("kind"), "url", "page_id", F.when(~revisit, F.col("payload")).alias("payload"), F.sha1("payload").alias("digest"), F.col("last").alias("refers_to")
     )
 
 
@@ -164,10 +178,27 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
 
+def _id_of(name: str | None, where: str) -> int | None:
+    if name is None or name == "<urn:page:->":
+        return None
+    if not (name.startswith("<urn:page:") and name.endswith(">") and name[10:-1].lstrip("-").isdecimal()):
+        raise WarcError(f"{where}: {name!r} isn't the id of a page")
+    return int(name[10:-1])
+
+
+def _digest_of(headers: dict[str, str], where: str) -> str:
+    found = headers.get("warc-payload-digest", "")
+    try:
+        if found.startswith("sha1:"):
+            return base64.b32decode(found[5:]).hex()
+    except ValueError:
+        pass
+    raise WarcError(f"{where}: {headers['warc-record-id']} has the payload digest {found!r}")
+
+
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    id_of = lambda x: None if x is None or x == "<urn:page:->" else int(x[len("<urn:page:") : -1])
     rows, size = [], 0
     for batch in batches:
         for path in batch.column("path").to_pylist():
@@ -175,8 +206,7 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             with store.open_input_stream(name) as stream:
                 for h, payload in Reader(stream, path):
                     revisit = h["warc-type"] == "revisit"
-                    digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    rows.append((id_of(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], id_of(h.get("warc-refers-to")), None if revisit or not payloads else payload, int(h["x-payload-length"]) if revisit else len(payload), digest))
+                    rows.append((_id_of(h["warc-record-id"], path), h.get("warc-target-uri"), h["warc-type"], _id_of(h.get("warc-refers-to"), path), None if revisit or not payloads else payload, None if revisit else len(payload), _digest_of(h, path)))
                     size += len(payload) * payloads + 200
                     if size > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -185,6 +215,16 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """paths (path) -> a row per record. Each archive is read by one task, from its start, in pieces."""
+    """paths (path) -> a row per record; payload and payload_bytes of revisits are null, see resolved(). Each archive is read by one task, from its start, in pieces."""
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return paths.select("path").repartition(n, "path").mapInArrow(lambda b: _read(b, payloads), SCHEMA)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """records, revisits with the payload_bytes of the response that they name and whose digest is theirs. records should be a written table: responses are written apart, so Spark can split a hot one."""
+    first = F.col("record_type") == "response"
+    known = records.filter(first & F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("its_bytes"))
+    again = records.filter(~first).join(written(known, "responses"), ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response "), F.coalesce(F.col("refers_to").cast("string"), F.lit("-")), F.lit(" with the digest "), "payload_digest"))
+    found = again.withColumn("payload_bytes", F.coalesce("its_bytes", lost.cast("long")))
+    return records.filter(first).unionByName(found.select(*records.columns))

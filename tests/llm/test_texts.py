@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terralex.llm import license_scan, packing, quality, secret_scan, sentence_pieces, warc
 from terralex.llm.common import new_path, words, written
@@ -205,6 +206,74 @@ def test_licence_in_several_places(spark):
     assert row.labels == "mit" and row.score == 1 and all(s.covered >= license_scan.COVERED for s in row.spans if s.label == "mit" and s.end_word - s.first_word == n)
 
 
+def best_chains(matches):
+    """The worth of the best chains, by trying all."""
+    found, listed = 0.0, sorted(matches, key=lambda m: (m[0] + m[2], m[0], m[1]))
+
+    def after(last, k, value):
+        nonlocal found
+        found = max(found, value)
+        for i in range(k, len(listed)):
+            start, at, n = listed[i]
+            if last is None or last[0] + last[2] <= start:
+                after(listed[i], i + 1, value + n - license_scan.OPEN)
+            if last is not None:
+                end, its = last[0] + last[2], last[1] + last[2]
+                over = max(0, end - start, its - at)
+                gap, skip = start + over - end, at + over - its
+                if over < n and end < start + n and 0 <= gap <= license_scan.GAP and 0 <= skip <= license_scan.GAP:
+                    after(listed[i], i + 1, value + n - over - license_scan.SKIP * (gap + skip))
+
+    after(None, 0, 0.0)
+    return found
+
+
+def test_chains_against_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        matches = [(int(rng.integers(0, 40)), int(rng.integers(0, 30)), int(rng.integers(4, 10))) for _ in range(rng.integers(1, 9))]
+        made = license_scan.chains(matches)
+        assert all(a[1] <= b[0] for a, b in zip(made, made[1:]))
+        assert sum(n for *_, n in made) - license_scan.OPEN * len(made) >= best_chains(matches) - 1e-9
+    assert license_scan.chains([]) == []
+
+
+def brute_matches(run, sequence):
+    """At each end the longest common runs of MIN_MATCH words or more, at all places that don't go on."""
+    out, before = set(), [0] * (len(sequence) + 1)
+    for end in range(1, len(run) + 1):
+        own = [0] + [before[k - 1] + 1 if run[end - 1] == sequence[k - 1] else 0 for k in range(1, len(sequence) + 1)]
+        if (n := max(own)) >= license_scan.MIN_MATCH:
+            out |= {(end - n, k - n, n) for k, m in enumerate(own) if m == n and (end == len(run) or k == len(sequence) or run[end] != sequence[k])}
+        before = own
+    return out
+
+
+def test_matches_against_brute_force():
+    vocabulary, _, _, labels, _ = license_scan.licences()
+    sequences = [[vocabulary[w] for w in words(t.encode())] for texts in license_scan.TEMPLATES.values() for t in texts]
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        run = [w for k in rng.permutation(len(sequences))[:3] for w in sequences[k][int(rng.integers(0, 5)) :] if rng.random() > 0.05]
+        got = license_scan.matches_of(run)
+        for k, sequence in enumerate(sequences):
+            assert sorted(got.get(k, [])) == sorted(brute_matches(run, sequence))
+
+
+@pytest.mark.parametrize("step, share", [(9, 0.89), (12, 0.89), (6, 0.8)])
+def test_changed_words_leave_the_label(step, share):
+    text = [w if (i + 1) % step else b"changed%d" % i for i, w in enumerate(words(license_scan.TEMPLATES["bsd-3"][0].encode()))]
+    spans = list(license_scan.scan([b" ".join(text)]))[0][2]
+    assert max(c for label, _, _, c in spans if label == "bsd-3") > share >= license_scan.COVERED
+
+
+def test_very_long_text_with_many_licences():
+    mit = license_scan.TEMPLATES["mit"][1].encode()
+    n = len(words(mit))
+    _, _, spans = list(license_scan.scan([(mit + b" ") * 800]))[0]
+    assert [s[1:3] for s in spans if s[0] == "mit" and s[3] == 1] == [(k * n, (k + 1) * n) for k in range(800)]
+
+
 def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 3, 12).tolist() for _ in range(4)] + [[0, 1]]
@@ -338,20 +407,41 @@ def test_warc_round_trip(spark, data):
         raw = (r.html or "").encode()
         again = len(raw) >= 1000 and r.page_id != last[r.html]
         g = got[r.page_id]
-        assert (g.payload_bytes, g.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert g.payload_digest == hashlib.sha1(raw).hexdigest()
         assert (g.record_type, g.refers_to) == (("revisit", last[r.html]) if again else ("response", None))
         assert g.payload == (None if again else raw)
+        assert g.payload_bytes == (None if again else len(raw))
+    full = warc.resolved(warc.read_archives(archives, payloads=False))
+    assert {r.page_id: r.payload_bytes for r in full.collect()} == {r.page_id: len((r.html or "").encode()) for r in rows}
+    broken = full.withColumn("refers_to", F.col("refers_to") + 1)
+    with pytest.raises(Exception, match="no response"):
+        warc.resolved(broken).collect()
+
+
+def test_warc_hot_payload_is_dealt_evenly(spark):
+    """Pages meet the revisits by id: half of all rows with one payload don't land in one task."""
+    pages = spark.range(4000).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 2 = 0 THEN repeat('gone ', 300) ELSE concat(repeat(id, 300), repeat('x', 1000)) END AS html", "1 AS sha", "2 AS number", "3 AS last")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        records = warc.with_revisits(pages)
+        sizes = [r[1] for r in records.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and records.filter("kind = 'revisit'").count() == 1999
+        assert len(sizes) == 4 and max(sizes) < 1.2 * 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_warc_reader_pieces_and_errors():
     payloads = [b"", b"x" * 70_000, "é".encode() * 9]
-    members = [warc.record("response", "u", i, p, hashlib.sha1(p).hexdigest(), len(p)) for i, p in enumerate(payloads)]
+    members = [warc.record("response", "u", i, p, hashlib.sha1(p).hexdigest()) for i, p in enumerate(payloads)]
     for piece in (1, 7, 1 << 16):
         assert [p for _, p in warc.Reader(io.BytesIO(b"".join(members)), piece=piece)] == payloads
     with pytest.raises(warc.WarcError, match="cut short"):
         list(warc.Reader(io.BytesIO(members[1][:-9])))
     with pytest.raises(warc.WarcError, match="digest"):
-        list(warc.Reader(io.BytesIO(warc.record("response", "u", 1, b"abc", hashlib.sha1(b"abd").hexdigest(), 3))))
+        list(warc.Reader(io.BytesIO(warc.record("response", "u", 1, b"abc", hashlib.sha1(b"abd").hexdigest()))))
     with pytest.raises(warc.WarcError, match="not gzip"):
         list(warc.Reader(io.BytesIO(b"plain text")))
     text = gzip.decompress(members[2])
@@ -360,6 +450,9 @@ def test_warc_reader_pieces_and_errors():
     with pytest.raises(warc.WarcError, match="doesn't end"):
         list(warc.Reader(io.BytesIO(gzip.compress(text.replace(b"Content-Length: 18", b"Content-Length: 10").replace(b"Payload-Digest", b"Old-Digest")))))
     assert list(warc.Reader(io.BytesIO(b""))) == []
+    for old, new, what in ((b"Content-Length", b"Length", "without content-length"), (b"WARC-Type: response", b"X: \xff", "aren't UTF-8"), (b"Content-Length: 18", b"Content-Length: -1", "has the length")):
+        with pytest.raises(warc.WarcError, match=what):
+            list(warc.Reader(io.BytesIO(gzip.compress(text.replace(old, new)))))
 
 
 def test_warc_of_no_pages(spark, data):
