@@ -1,23 +1,22 @@
 """Suffix-array dedup: removes each byte of a string of ``LENGTH`` bytes that also starts earlier.
 
 1. Scan: of each ``LENGTH`` consecutive bytes the smallest hash of ``GRAM`` bytes inside is their anchor
-   (winnowing), so equal strings have equal anchors at equal offsets. The strings of one anchor in a row are a
-   context. Hashes of anchor and context are dealt by anchor, packed: of equal contexts only the earliest isn't
-   all repeats, and an anchor with one context in all texts needs no more. Within a batch equal
-   contexts are dealt once.
-2. Contexts: where an anchor has several contexts, their strings can agree in part. The bytes of each
-   different context are dealt by anchor into shards.
-3. Shards: a suffix array by Larsson-Sadakane refinement (only groups that aren't sorted yet are sorted
-   again, by the rank half way), Kasai's common prefixes over neighbours, and the earliest start of
-   each run of suffixes that share ``LENGTH`` bytes. A shard over ``SHARD`` bytes is split, and the parts are
-   merged by binary search of one's strings in the other's suffix array.
-   An anchor with ``BUSY`` contexts in a batch or over ``HOT`` in all is hot: its contexts skip the deal by anchor,
-   and their strings are dealt one by one by a second hash, so no task holds a hot anchor. Of equal strings in a
-   batch only the earliest is dealt.
+   (winnowing; hash, then place, whatever the length of the text), so equal strings have equal anchors at equal
+   offsets. The strings of one anchor in a row are a context. Anchors are dealt by hash, packed: an anchor
+   that stands once in all texts needs no more. Hashes only route; bytes decide what is equal. In a batch
+   contexts with equal bytes are dealt once.
+2. Contexts: the bytes of all contexts of the other anchors are dealt by anchor to buckets of about ``BUCKET``
+   bytes, so many that each stays that small; their strings can be equal in whole or in part.
+   An anchor with over ``HOT`` contexts is hot: its strings are dealt one by one, by their own hash, so no task
+   holds a hot anchor; of equal strings in a slice only the earliest is dealt.
+3. Shards: a bucket is cut into shards of ``SHARD`` bytes. A suffix array by Larsson-Sadakane refinement (only
+   groups that aren't sorted yet are sorted again, by the rank half way), Kasai's common prefixes over neighbours,
+   and the earliest start of each run of suffixes that share ``LENGTH`` bytes. Shards of a bucket are
+   merged by binary search of one's strings in the other's suffix array. All repeats that a batch
+   itself doesn't show are decided here.
 4. Repeated starts go back to their documents, whose bytes are cut.
 
-Rows move as packed arrays; texts are shuffled once, for two joins. Buckets follow
-spark.sql.shuffle.partitions. Hashes of 96 bits decide whether two contexts are equal, of 112 bits for strings of hot anchors.
+Rows move as packed arrays; texts are shuffled once, for two joins.
 
 Defined results: a null text is empty. Rows that repeat doc_id and text are one document and get the same
 result; rows that share only doc_id are ordered by a hash of the text; a null doc_id comes last. Cut text
@@ -37,17 +36,15 @@ from pyspark.sql import functions as F
 
 from terralex.llm.common import buckets_for, encoded, parts, text_of, written
 
-LENGTH, GRAM, SHARD, BATCH = 100, 32, 2_000_000, 8_000_000
-HOT, BUSY, SLICE = 4096, 64, 8192
+LENGTH, GRAM, SHARD, BUCKET, BATCH = 100, 32, 1_000_000, 3_000_000, 8_000_000
+HOT, SLICE = 4096, 8192
 WINDOW = LENGTH - GRAM + 1
 LAST = (1 << 63) - 1
 
-SPOT = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("content", "<u4"), ("content2", "<u2"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
+SPOT = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
 CONTEXT = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
-STRING = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("string", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4")])
-#: What packed spots are: to be compared, all repeats, contexts of a hot anchor, one context of each hot anchor; and what packed contexts are.
-COMPARE, REPEATS, BESIDE, MARKS = range(4)
-CONTEXTS, STRINGS, STARTS = range(3)
+#: What packed spots are: anchors to be counted, or repeats that a batch shows.
+COUNT, REPEATS = range(2)
 
 
 @lru_cache
@@ -87,9 +84,8 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     sums = _sums(b)
     starts = np.arange(len(b) - GRAM + 1)
     hashes = _slices(sums, starts, starts + GRAM)
-    shift = np.uint64(max(1, len(hashes).bit_length()))
-    best = _sliding_min((hashes >> shift << shift) | starts.astype(np.uint64), WINDOW)
-    at = (best & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    at = (_sliding_min((hashes & ~low) | starts.astype(np.uint64), WINDOW) & low).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
     count = np.diff(np.append(first, len(at)))
     return hashes[at[first]], _slices(sums, first, first + count + LENGTH - 1) ^ count.astype(np.uint64), first, count
@@ -119,44 +115,54 @@ def _packed(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]
             yield int(bucket[a]), rows[a:z].tobytes()
 
 
-def _known(spots: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """which: numbers of contexts, equal for equal ones. -> the earliest of each, and the later ones (not a row that is there twice)."""
-    order = np.lexsort((spots["at"], spots["mark"], spots["doc"], which))
-    new = np.ones(len(order), bool)
-    new[1:] = which[order][1:] != which[order][:-1]
-    its_first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = np.zeros(len(order), bool)
-    for name in ("doc", "mark", "at"):
-        later |= spots[name][order] != spots[name][its_first]
-    return order[new], order[later & ~new]
+def _whole(spots: np.ndarray) -> np.ndarray:
+    return spots["hash"].astype(np.uint64) << np.uint64(16) | spots["hash2"].astype(np.uint64)
 
 
-def _whole(spots: np.ndarray, name: str) -> np.ndarray:
-    return spots[name].astype(np.uint64) << np.uint64(16) | spots[name + "2"].astype(np.uint64)
+def _same_bytes(names: np.ndarray, order: np.ndarray, piece) -> tuple[list[int], list[int]]:
+    """Places of pieces in order, the first of each different one and the later ones with its bytes. names: equal for equal pieces, and maybe for others."""
+    first, later, heads = [], [], {}
+    for i, name in zip(order.tolist(), names[order].tolist()):
+        mine = heads.get(name)
+        if mine is None:
+            heads[name] = i
+            first.append(i)
+        elif piece(mine) == piece(i):
+            later.append(i)
+        else:  # another piece with the same hash
+            first.append(i)
+    return first, later
 
 
-def _scan(batches: Iterator[pa.RecordBatch], buckets: int, busy: int) -> Iterator[pa.RecordBatch]:
-    """bucket, kind (REPEATS: a batch itself shows it), packed spots. Contexts of a hot anchor are dealt by content, only one by anchor."""
+def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, kind, packed spots."""
     for docs, marks, texts in _batched(batches, BATCH, "doc", "mark", "text"):
-        found = []
-        for doc, mark, text in zip(docs, marks, texts):
+        found, names, which = [], [], []
+        for number, (doc, mark, text) in enumerate(zip(docs, marks, texts)):
             if len(text) >= LENGTH:
                 hashes, contents, first, count = anchors(np.frombuffer(text, np.uint8))
                 own = np.empty(len(hashes), SPOT)
                 own["hash"], own["hash2"] = hashes >> np.uint64(32), (hashes >> np.uint64(16)) & np.uint64(0xFFFF)
-                own["content"], own["content2"] = contents >> np.uint64(32), (contents >> np.uint64(16)) & np.uint64(0xFFFF)
                 own["doc"], own["mark"], own["at"], own["count"] = doc, mark, first, count
                 found.append(own)
+                names.append(contents)
+                which.append(np.full(len(own), number))
         if not found:
             continue
-        spots = np.concatenate(found)
-        first, later = _known(spots, _whole(spots, "content") * np.uint64(0x9E3779B97F4A7C15) + _whole(spots, "hash"))
-        again, spots = spots[later], spots[np.sort(first)]
-        _, one, inverse, counts = np.unique(_whole(spots, "hash"), return_index=True, return_inverse=True, return_counts=True)
-        hot = counts >= busy
-        rows = []
-        for kind, name, own in ((COMPARE, "hash", spots[~hot[inverse]]), (BESIDE, "content", spots[hot[inverse]]), (MARKS, "hash", spots[one[hot]])):
-            rows += [(b, kind, x) for b, x in _packed((own[name] % np.uint32(buckets)).astype(np.int64), own)]
+        spots, names, which = np.concatenate(found), np.concatenate(names), np.concatenate(which)
+        _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(counts[inverse] > 1)
+        order = several[np.lexsort((spots["at"][several], spots["mark"][several], spots["doc"][several]))]
+        at, size, text_of_spot = spots["at"].tolist(), (spots["count"].astype(np.int64) + LENGTH - 1).tolist(), which.tolist()
+        first, later = _same_bytes(names, order, lambda i: texts[text_of_spot[i]][at[i] : at[i] + size[i]])
+        one = np.ones(len(spots), bool)
+        one[later] = False
+        again = spots[later]
+        # a row that is there twice isn't its own repeat
+        heads = {names[i]: i for i in reversed(first)}
+        its = spots[[heads[n] for n in names[later].tolist()]] if len(later) else again
+        again = again[(again["doc"] != its["doc"]) | (again["mark"] != its["mark"]) | (again["at"] != its["at"])]
+        rows = [(b, COUNT, x) for b, x in _packed((spots["hash"][one] % np.uint32(buckets)).astype(np.int64), spots[one])]
         if len(again):
             rows.append((int(again["hash"][0]) % buckets, REPEATS, again.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "spots"])
@@ -182,78 +188,60 @@ SPOT_SCHEMA = "doc long, mark long, `from` int, `to` int, hash long, hot boolean
 def _compared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Ranges of starts that repeat (hash is null), and contexts whose bytes are wanted (hash of the anchor, whether it is hot)."""
 
-    def rows(spots: np.ndarray, wanted: bool, hot: np.ndarray | None = None) -> pa.RecordBatch:
-        begin, end, hashes = spots["at"].astype(np.int64), spots["at"].astype(np.int64) + spots["count"] - 1, _whole(spots, "hash").view(np.int64)
-        if not wanted:
-            runs = _runs(spots["doc"], spots["mark"].astype(np.int64), begin, end)
-            return pa.RecordBatch.from_arrays([*runs.columns, pa.nulls(runs.num_rows, pa.int64()), pa.nulls(runs.num_rows, pa.bool_())], [*runs.schema.names, "hash", "hot"])
-        columns = (spots["doc"], spots["mark"].astype(np.int64), begin.astype(np.int32), end.astype(np.int32), hashes, np.ones(len(spots), bool) if hot is None else hot)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "mark", "from", "to", "hash", "hot"])
+    def repeats(spots: np.ndarray) -> pa.RecordBatch:
+        begin = spots["at"].astype(np.int64)
+        runs = _runs(spots["doc"], spots["mark"].astype(np.int64), begin, begin + spots["count"] - 1)
+        return pa.RecordBatch.from_arrays([*runs.columns, pa.nulls(runs.num_rows, pa.int64()), pa.nulls(runs.num_rows, pa.bool_())], [*runs.schema.names, "hash", "hot"])
 
     for _, (kinds, blobs) in _by_bucket(batches, "kind", "spots"):
         for kind, blob in zip(kinds, blobs):
-            if kind in (REPEATS, BESIDE):
-                yield rows(np.frombuffer(blob, SPOT), kind == BESIDE)
-        held, marks = ([np.frombuffer(x, SPOT) for kind, x in zip(kinds, blobs) if kind == own] for own in (COMPARE, MARKS))
-        if not held:
-            continue
-        spots = np.concatenate(held)
-        anchor, inverse, counts = np.unique(_whole(spots, "hash"), return_inverse=True, return_counts=True)
-        hot = np.isin(anchor, _whole(np.concatenate(marks), "hash")) if marks else np.zeros(len(anchor), bool)
-        stay = ((counts > 1) | hot)[inverse]
-        spots, inverse = spots[stay], inverse[stay]
-        if not len(spots):
-            continue
-        first, later = _known(spots, _whole(spots, "content") * np.uint64(0x9E3779B97F4A7C15) + inverse.astype(np.uint64))
-        yield rows(spots[later], False)
-        different = np.bincount(inverse[first], minlength=len(anchor))
-        hot |= different > limit
-        first = first[(hot | (different > 1))[inverse[first]]]
-        yield rows(spots[first], True, hot[inverse[first]])
+            if kind == REPEATS:
+                yield repeats(np.frombuffer(blob, SPOT))
+        if held := [np.frombuffer(x, SPOT) for kind, x in zip(kinds, blobs) if kind == COUNT]:
+            spots = np.concatenate(held)
+            _, inverse, counts = np.unique(_whole(spots), return_inverse=True, return_counts=True)
+            stay = counts[inverse] > 1
+            spots, hot = spots[stay], (counts > limit)[inverse[stay]]
+            begin = spots["at"].astype(np.int64)
+            columns = (spots["doc"], spots["mark"].astype(np.int64), begin.astype(np.int32), (begin + spots["count"] - 1).astype(np.int32), _whole(spots).view(np.int64), hot)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "mark", "from", "to", "hash", "hot"])
 
 
 def _strings(flat: np.ndarray, which: np.ndarray, docs: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets: int) -> Iterator[tuple]:
-    """Rows of _contexts for contexts of hot anchors: each string by itself, the later ones of equal strings as starts that repeat."""
+    """Rows of _contexts for contexts of hot anchors: each string is a context by itself; later ones of strings with equal bytes are starts that repeat."""
     for k in range(0, len(flat), SLICE):
-        found = []
+        packed, names, owner = [], [], []
         for number in np.unique(which[k : k + SLICE]).tolist():
             own = flat[k : k + SLICE][which[k : k + SLICE] == number]
             counts = own[:, 2] - own[:, 1] + 1
             at = np.repeat(own[:, 1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            strings = np.empty(len(at), STRING)
-            anchor = np.repeat(own[:, 0], counts).view(np.uint64)
-            strings["hash"], strings["hash2"] = anchor >> np.uint64(16), anchor & np.uint64(0xFFFF)
-            strings["string"] = _slices(_sums(np.frombuffer(texts[number], np.uint8)), at, at + LENGTH)
-            strings["doc"], strings["mark"], strings["at"] = docs[number], marks[number], at
-            found.append(strings)
-        strings = np.concatenate(found)
-        first, later = _known(strings, _names(strings))
-        first, later = strings[first], strings[later]
-        yield from ((b, STRINGS, x, None) for b, x in _packed((first["string"] % np.uint64(buckets)).astype(np.int64), first))
-        yield from ((b, STARTS, x, None) for b, x in _packed(np.full(len(later), int(first["string"][0] % np.uint64(buckets))), later))
-
-
-def _names(strings: np.ndarray) -> np.ndarray:
-    """Numbers of strings, equal for equal ones."""
-    both = strings[["hash", "hash2", "string"]]
-    order = np.lexsort((both["string"], both["hash2"], both["hash"]))
-    both = both[order]
-    new = np.zeros(len(order), bool)
-    for name in both.dtype.names:
-        new[1:] |= both[name][1:] != both[name][:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
-CONTEXT_SCHEMA = "bucket int, kind int, contexts binary, bytes binary"
+            strings = np.empty(len(at), CONTEXT)
+            strings["doc"], strings["mark"], strings["at"], strings["count"] = docs[number], marks[number], at, 1
+            packed.append(strings)
+            names.append(_slices(_sums(np.frombuffer(texts[number], np.uint8)), at, at + LENGTH))
+            owner.append(np.full(len(at), number))
+        strings, names, owner = np.concatenate(packed), np.concatenate(names), np.concatenate(owner).tolist()
+        at = strings["at"].tolist()
+        piece = lambda i: texts[owner[i]][at[i] : at[i] + LENGTH]
+        first, later = _same_bytes(names, np.lexsort((strings["at"], strings["mark"], strings["doc"])), piece)
+        for bucket, x in _packed((names[first] % np.uint64(buckets)).astype(np.int64), np.array(first)):
+            chosen = np.frombuffer(x, np.int64)
+            yield bucket, strings[chosen].tobytes(), b"".join(map(piece, chosen.tolist()))
+        if later:
+            heads = {names[i]: i for i in reversed(first)}
+            its, again = strings[[heads[n] for n in names[later].tolist()]], strings[later]
+            again = again[(again["doc"] != its["doc"]) | (again["mark"] != its["mark"]) | (again["at"] != its["at"])]
+            yield int(names[later[0]] % np.uint64(buckets)), again.tobytes(), None
+
+
+CONTEXT_SCHEMA = "bucket int, contexts binary, bytes binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed contexts and their bytes, by bucket; of hot anchors packed strings."""
+    """Packed contexts and their bytes, by bucket; without bytes, starts that are known to repeat."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "contexts", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "contexts", "bytes"])
 
     for docs, marks, spots, texts in _batched(batches, BATCH, "doc", "mark", "spots", "text"):
         begins = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
@@ -265,7 +253,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
             held, size = [], 0
             for row in _strings(flat[hot], which[hot], np.array(docs, np.int64), np.array(marks, np.int64), texts, buckets):
                 held.append(row)
-                size += len(row[2])
+                size += len(row[1]) + len(row[2] or b"")
                 if size >= BATCH:
                     yield batch_of(held)
                     held, size = [], 0
@@ -280,11 +268,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         packed["at"], packed["count"] = flat[:, 1], flat[:, 2] - flat[:, 1] + 1
         starts = (begins[which] + flat[:, 1]).tolist()
         stops = (begins[which] + flat[:, 2] + LENGTH).tolist()
-        rows = []
+        rows, size = [], 0
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(flat)]
         for a, z in zip(cuts, cuts[1:]):
             if z > a:
-                rows.append((int(bucket[a]), CONTEXTS, packed[a:z].tobytes(), b"".join(b[x:y] for x, y in zip(starts[a:z], stops[a:z]))))
+                rows.append((int(bucket[a]), packed[a:z].tobytes(), b"".join(b[x:y] for x, y in zip(starts[a:z], stops[a:z]))))
+                size += len(rows[-1][2])
+                if size >= BATCH:
+                    yield batch_of(rows)
+                    rows, size = [], 0
         if rows:
             yield batch_of(rows)
 
@@ -434,25 +426,21 @@ def _runs(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, last: np.ndarray) -
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    def runs(strings: np.ndarray) -> pa.RecordBatch:
-        at = strings["at"].astype(np.int64)
-        return _runs(strings["doc"], strings["mark"].astype(np.int64), at, at)
-
-    for _, (kinds, blobs, texts) in _by_bucket(batches, "kind", "contexts", "bytes"):
-        for kind, blob in zip(kinds, blobs):
-            if kind == STARTS:
-                yield runs(np.frombuffer(blob, STRING))
-        if single := [np.frombuffer(x, STRING) for kind, x in zip(kinds, blobs) if kind == STRINGS]:
-            strings = np.concatenate(single)
-            yield runs(strings[_known(strings, _names(strings))[1]])
+    for _, (blobs, texts) in _by_bucket(batches, "contexts", "bytes"):
         made, held, size = [], [], 0
-        filled = [(np.frombuffer(c, CONTEXT), t) for kind, c, t in zip(kinds, blobs, texts) if kind == CONTEXTS]
-        for k, x in enumerate(filled):
-            held.append(x)
-            size += len(x[1])
-            if size >= limit or k == len(filled) - 1:
+        for blob, text in zip(blobs, texts):
+            if text is None:
+                known = np.frombuffer(blob, CONTEXT)
+                at = known["at"].astype(np.int64)
+                yield _runs(known["doc"], known["mark"].astype(np.int64), at, at)
+                continue
+            held.append((np.frombuffer(blob, CONTEXT), text))
+            size += len(text)
+            if size >= limit:
                 made.append(Part(np.concatenate([c for c, _ in held]), b"".join(t for _, t in held)))
                 held, size = [], 0
+        if held:
+            made.append(Part(np.concatenate([c for c, _ in held]), b"".join(t for _, t in held)))
         _merge(made)
         for part in made:
             at = part.at[part.repeats]
@@ -486,20 +474,24 @@ def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Reco
 RANGE = "doc long, mark long, `from` int, `to` int"
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, shard: int = SHARD, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, busy: int = BUSY) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, shard: int = SHARD, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left)."""
     spark = docs.sparkSession
     buckets, n = buckets_for(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     named = slim.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("mark"), "text")
 
-    scanned = named.select("doc", "mark", "text").mapInArrow(lambda b: _scan(b, buckets, busy), "bucket int, kind int, spots binary")
+    scanned = named.select("doc", "mark", "text").mapInArrow(lambda b: _scan(b, buckets), "bucket int, kind int, spots binary")
     compared = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _compared(b, hot), SPOT_SCHEMA)
     spots = written(compared, "spots")
 
+    starts, width = F.col("to") - F.col("from") + 1, F.when(F.col("hot"), F.lit(LENGTH)).otherwise(F.lit(1))
+    size = spots.filter("hash IS NOT NULL").agg(F.sum(starts * width + F.when(F.col("hot"), 0).otherwise(LENGTH - 1))).first()[0] or 0
+    many = max(n, -(-size // bucket))  # so that a bucket has so many bytes, and each task has one
+
     wanted = spots.filter("hash IS NOT NULL").groupBy("doc", "mark").agg(F.collect_set(F.struct("hash", "from", "to", "hot")).alias("spots"))
     with_text = named.join(wanted, ["doc", "mark"])  # doc_id comes along so that both joins share the shuffle of the texts
-    contexts = with_text.select("doc_id", "doc", "mark", "spots", "text").mapInArrow(lambda b: _contexts(b, buckets), CONTEXT_SCHEMA)
+    contexts = with_text.select("doc_id", "doc", "mark", "spots", "text").mapInArrow(lambda b: _contexts(b, many), CONTEXT_SCHEMA)
     more = contexts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _shards(b, shard), RANGE)
 
     ranges = spots.filter("hash IS NULL").select("doc", "mark", "from", "to").unionByName(more)

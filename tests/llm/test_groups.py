@@ -221,34 +221,86 @@ def common_line(n):
     return [(i, letters(120) + sides[rng.integers(25)] + line + sides[rng.integers(25)] + letters(120)) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot, busy", [(4096, 64), (20, 10**9), (4096, 2), (20, 15)])
-def test_remove_repeats_of_hot_anchors(spark, data, hot, busy):
+@pytest.mark.parametrize("hot", [4096, 20])
+def test_remove_repeats_of_hot_anchors(spark, data, hot):
     rows = common_line(120) + [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id") + 1000, "text").limit(40).collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
     want = brute_repeats(rows)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot=hot, busy=busy).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()}
     assert sum(w[1] for i, w in want.items() if i < 1000) > 1000
     assert got == want
 
 
-def test_contexts_of_a_hot_anchor_go_to_many_tasks(spark):
+def wanted_contexts(rows, buckets, hot=suffix_dedup.HOT):
+    """What the rows' texts deal to the buckets of the last step, and the repeats known before."""
     import pyarrow as pa
 
-    rows, buckets = common_line(600), 16
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["doc", "mark", "text"])
-    spots = pa.Table.from_batches(suffix_dedup._scan(iter([batch]), buckets, suffix_dedup.BUSY)).sort_by("bucket")
-    found = pa.Table.from_batches(suffix_dedup._compared(iter(spots.to_batches()), suffix_dedup.HOT)).filter(pa.compute.field("hash").is_valid())
-    assert sum(found["hot"].to_pylist()) > 200
+    per = 50  # documents in a batch, so that batches have contexts in common
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in own]), pa.array([0] * len(own)), pa.array([t for _, t in own])], ["doc", "mark", "text"]) for own in (rows[k : k + per] for k in range(0, len(rows), per))]
+    spots = pa.Table.from_batches([x for b in batches for x in suffix_dedup._scan(iter([b]), buckets)]).sort_by("bucket")
+    found = pa.Table.from_batches(suffix_dedup._compared(iter(spots.to_batches()), hot)).to_pylist()
     by_doc = defaultdict(list)
-    for r in found.to_pylist():
-        by_doc[r["doc"]].append(r)
-    batch = pa.RecordBatch.from_pylist([{"doc": i, "mark": 0, "spots": by_doc[i], "text": t} for i, t in rows if i in by_doc])
-    sizes = defaultdict(int)
-    for r in pa.Table.from_batches(suffix_dedup._contexts(iter([batch]), buckets)).to_pylist():
+    for r in found:
+        if r["hash"] is not None:
+            by_doc[r["doc"]].append(r)
+    kept = [{"doc": i, "mark": 0, "spots": by_doc[i], "text": t} for i, t in rows if i in by_doc]
+    batch = pa.RecordBatch.from_pylist(kept)
+    return pa.Table.from_batches(suffix_dedup._contexts(iter([batch]), buckets)), [r for r in found if r["hash"] is None]
+
+
+def test_contexts_of_a_hot_anchor_go_to_many_tasks():
+    buckets, sizes = 16, defaultdict(int)
+    for r in wanted_contexts(common_line(600), buckets, hot=100)[0].to_pylist():
         sizes[r["bucket"]] += len(r["contexts"]) + len(r["bytes"] or b"")
     assert len(sizes) == buckets and max(sizes.values()) < 3 * sum(sizes.values()) / buckets
 
 
+def test_suffix_arrays_decide_repeats_of_other_batches():
+    """Whole copies in other batches aren't known before the last step, and nothing is without its bytes."""
+    r = np.random.default_rng(3)
+    text = "".join(map(chr, r.integers(97, 123, 700)))
+    rows = [(i, text if i in (10, 70, 130) else "".join(map(chr, r.integers(97, 123, 700)))) for i in range(150)]
+    dealt, before = wanted_contexts(rows, 4)
+    assert not before
+    ranges = [x for b in [dealt.sort_by("bucket")] for x in suffix_dedup._shards(iter(b.to_batches()), 2_000)]
+    found = {d: sorted((f, t) for x in ranges for doc, f, t in zip(*(x.column(c).to_pylist() for c in ("doc", "from", "to"))) if doc == d) for d in (10, 70, 130)}
+    gone = {d: sum(t - f + 1 for f, t in x) for d, x in found.items()}
+    assert gone == {10: 0, 70: 601, 130: 601}
+
+
+def test_equal_hashes_of_other_bytes_remove_nothing(monkeypatch):
+    """Contexts and strings whose hashes collide are told apart by their bytes."""
+    monkeypatch.setattr(suffix_dedup, "_slices", lambda sums, starts, stops: (stops - starts).astype(np.uint64) * np.uint64(1 << 40))
+    r = np.random.default_rng(4)
+    rows = [(i, "".join(map(chr, r.integers(97, 123, 300)))) for i in range(60)] + [(99, "y" * 50 + "z" * 130)]
+    for hot in (4096, 1):
+        dealt, before = wanted_contexts(rows + [(100, rows[5][1])], 4, hot=hot)
+        ranges = [x for x in suffix_dedup._shards(iter(dealt.sort_by("bucket").to_batches()), 3_000)]
+        gone = defaultdict(set)
+        for x in [*before, *(y for z in ranges for y in z.to_pylist())]:
+            gone[x["doc"]] |= set(range(x["from"], x["to"] + 1))
+        assert {d: len(x) for d, x in gone.items() if x} == {99: 30, 100: 201}
+
+
+def test_anchors_do_not_depend_on_the_length_of_the_text():
+    r = np.random.default_rng(9)
+    piece = r.integers(97, 123, 400).astype(np.uint8)
+    for size in (0, 3_000, 300_000):
+        text = np.concatenate((r.integers(97, 123, size).astype(np.uint8), piece, r.integers(97, 123, size).astype(np.uint8)))
+        hashes, _, first, count = suffix_dedup.anchors(text)
+        own = {int(f) - size + d: int(h) for h, f, c in zip(hashes, first, count) for d in range(int(c)) if 0 <= int(f) - size + d <= 300}
+        assert len(own) == 301 and (not size or own == before)
+        before = own
+
+
+def test_remove_repeats_of_a_very_long_text(spark):
+    r = np.random.default_rng(2)
+    passage = "".join(map(chr, r.integers(97, 123, 5_000)))
+    rows = [(1, "".join(map(chr, r.integers(97, 123, 250_000))) + passage), (2, passage + "x" * 400), (3, "abc" + passage)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (255_000, 0, 0), 2: (5_400, 5_000 + 399, 2), 3: (5_003, 5_000, 1)}
+
+
 def test_suffix_array_sorts_strings():
     rng = np.random.default_rng(0)
     data = bytes(rng.integers(97, 99, 4000).astype(np.uint8)) + b"ab" * 200
