@@ -1,20 +1,23 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
 Encoding is the best path of pieces (largest sum of scores, as in SentencePiece's unigram model; characters in no
-piece cost ``UNKNOWN`` more than the worst piece and become byte pieces). Documents over ``GIANT`` characters are
-cut into chunks of ``CHUNK`` characters. The state at a chunk's edge is how many characters the piece over
-it reaches behind it, so a chunk is a matrix of best scores from state to state. Matrices combine
-associatively under (max, +): per segment of ``SEGMENT`` chunks in parallel, then over segments. The states
-that follow let each chunk trace its own path back, independently. Inside a chunk, paths from all states meet
-where no piece can cross (a word begins), so only its edges need all states.
-
-The vocabulary is the public file named in ``MODEL`` (a parameter). It holds BPE ranks as scores; the best
-path by these scores is what is computed, not BPE's merges; tests compare it with brute force, and with the
-sentencepiece library reading the same pieces as a unigram model, whose 32-bit sums may miss the best by a little.
+piece cost ``UNKNOWN`` more than the worst piece and become byte pieces). Of paths with equal sums that with the
+longest last piece counts, then the longest before it, and so on: one path, however a text is cut. Documents over
+``GIANT`` characters are cut into chunks of ``CHUNK`` characters. The state at a chunk's edge is how many characters
+the piece over it reaches behind it, so a chunk is a matrix of best scores from state to state. Matrices combine
+associatively under (max, +): per segment of ``SEGMENT`` chunks in parallel, then over segments. That gives the best
+sums at each edge, and with them each chunk tells from which state its path comes for any state it ends in; these
+tables combine too, from the end. Then each chunk traces its own path back, independently. Inside a chunk, paths from
+all states meet where no piece can cross (a word begins), so only its edges need all states.
+
+The vocabulary is the public file named in ``MODEL`` (a parameter). Scores of a unigram model are taken as they are.
+A BPE model has ranks instead: a piece of rank r gets ``-log(r + OFFSET)``, as its frequency falls about so (Zipf). The best
+path by these scores is what is computed, not BPE's merges. Scores are multiples of ``1 / GRAIN``, so sums are exact
+and don't depend on their order. Tests compare with brute force, and with the sentencepiece library reading the same
+pieces as a unigram model, whose 32-bit sums may miss the best by a little.
 
 Defined results: a null or empty text has no pieces. Rows that repeat doc_id and text give the same row each.
-U+2581 in a text is read as a space, as SentencePiece does. Of paths with equal sums the last piece is the
-longest possible, inside a chunk; at an edge the smallest state wins.
+U+2581 in a text is read as a space, as SentencePiece does, so decoding doesn't give such a text back.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import merge
-from math import isqrt
+from math import isqrt, log
 from operator import itemgetter
 
 import numpy as np
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from terralex.llm.common import text_of, written
 
 MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 700_000
+OFFSET, GRAIN = 100, 1 << 20
 SPACE = "▁"
 NEVER = float("-inf")
 #: What lies between two places where every path has an edge.
@@ -54,6 +58,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return values.reshape(isqrt(len(values)), -1)
 
 
+def graded(score: float) -> float:
+    return round(score * GRAIN) / GRAIN
+
+
 class Words(dict):
     """Best paths of words: a new one is worked out, and kept if it is short; emptied when full."""
 
@@ -74,15 +82,17 @@ class Vocabulary:
 
     def __init__(self, path: str):
         import ahocorasick
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
-        names = [model.id_to_piece(i) for i in range(n)]
-        self.pieces = {p: (i, model.get_score(i)) for i, (p, s) in enumerate(zip(names, special)) if not s}
-        self.bytes = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if s else p.replace(SPACE, " ").encode() for i, (p, s) in enumerate(zip(names, special))]
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as file:
+            model.ParseFromString(file.read())
+        plain, is_byte = model.SentencePiece.NORMAL, model.SentencePiece.BYTE
+        ranked = model.trainer_spec.model_type == model.trainer_spec.BPE
+        names, kinds = [p.piece for p in model.pieces], [p.type for p in model.pieces]
+        self.pieces = {p.piece: (i, graded(-log(OFFSET - p.score) if ranked else p.score)) for i, p in enumerate(model.pieces) if p.type == plain}
+        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(names, kinds)) if k == is_byte}
+        self.raw = [bytes([int(p[3:5], 16)]) if k == is_byte else p.replace(SPACE, " ").encode() if k == plain else b"" for p, k in zip(names, kinds)]
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         self.longest = max(map(len, self.pieces))
         self.single = {p for p in self.pieces if len(p) == 1}
@@ -135,17 +145,36 @@ class Vocabulary:
 
     def matrix(self, text: str, size: int) -> np.ndarray:
         """State x state: best sums over a chunk of ``size`` characters; text also holds what pieces may reach behind it."""
-        return unpacked(self.packed(text, size))
+        return unpacked(self.packed(text, size)[0])
 
-    def packed(self, text: str, size: int) -> bytes:
-        """The matrix of a chunk; where all paths meet inside, it is the sum of a column and a row, and they are kept instead."""
+    def packed(self, text: str, size: int) -> tuple[bytes, str | None]:
+        """The matrix of a chunk, and the text up to a place where all paths meet. There it is the sum of a column and a row, and they are kept instead; without such a place the text is None."""
         n = self.longest
         first, last = self._edge(text, n, size, text.find), self._edge(text, n, size, text.rfind)
         if first < 0:
-            return packed(self._sweep(text, 0, size))
+            return packed(self._sweep(text, 0, size)), None
         head = self._sweep(text, 0, first)[:, 0]
         tail = self._sweep(text, last, size)[0]
-        return packed(head + self.encode(text[first:last])[0], tail)
+        return packed(head + self.encode(text[first:last])[0], tail), text[:first]
+
+    def origins(self, text: str, size: int, sums: np.ndarray, meet: bool) -> np.ndarray:
+        """For each state behind a chunk of ``size`` characters the state in front of it on the path that counts; -1: no path. sums: best sums up to the states in front.
+        meet: all paths meet at the end of text, so there is only one."""
+        n = self.longest
+        best, back = [*sums.tolist(), *[NEVER] * size], [-1] * (n + size)  # a piece from in front of the chunk is longer than any in it
+        for at in range(size):
+            if best[at] > NEVER:
+                for stop, score in self.steps(text, at):
+                    if best[at] + score > best[stop]:
+                        best[stop], back[stop] = best[at] + score, at
+        out = np.full(n, -1, np.int16)
+        for state in range(1 if meet else n):
+            at = size + state
+            if best[at] > NEVER:
+                while back[at] >= 0:
+                    at = back[at]
+                out[state] = at
+        return np.full(n, out[0], np.int16) if meet else out
 
     def _edge(self, text: str, least: int, most: int, find: Callable) -> int:
         """The first or last place from least to most where every path has an edge: before a space behind another character; else -1."""
@@ -199,6 +228,18 @@ def decoded(ids: list[int], model: str = MODEL) -> str:
     return vocabulary(model).decode(ids).decode("utf-8", "replace")[1:]
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [None if ids is None else decoded(np.frombuffer(ids, "<i4").tolist(), model) for ids in batch.column("ids").to_pylist()]
+        yield batch.append_column(pa.field("decoded", pa.string()), pa.array(texts, pa.string()))
+
+
+def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
+    """coded (ids, as of encode()) and a column decoded: the text of the ids."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
+    return coded.mapInArrow(lambda b: _decoded(b, model), f"{schema}, decoded string")
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -211,18 +252,13 @@ def product(matrices: list[np.ndarray]) -> np.ndarray:
     return matrices[0]
 
 
-def states(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
-    """States at the edges of a row of chunks on the best path from state first to state last."""
-    behind = [None] * len(matrices)  # best sums from each edge to the end
-    column = np.full(len(matrices[0]), NEVER)
-    column[last] = 0.0
-    for k in range(len(matrices) - 1, -1, -1):
-        behind[k] = column
-        column = (matrices[k] + column[None, :]).max(axis=1)
-    out = [first]
-    for m, rest in zip(matrices, behind):
-        out.append(int(np.argmax(m[out[-1]] + rest)))
-    return out
+def behind(sums: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Best sums at the next edge."""
+    return (sums[:, None] + matrix).max(axis=0)
+
+
+def through(table: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return np.where(state < 0, -1, table[np.maximum(state, 0)])
 
 
 def _small(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -230,9 +266,9 @@ def _small(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordB
     for batch in batches:
         rows = []
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
-            text = prepared(text)
-            score, ids = v.encode(text)
-            rows.append((doc, mark, 0, len(text), score, np.array(ids, "<i4").tobytes(), v.decode(ids) == text.replace(SPACE, " ").encode("utf-8")))
+            own = prepared(text)
+            score, ids = v.encode(own)
+            rows.append((doc, mark, 0, len(own), score, np.array(ids, "<i4").tobytes(), v.decode(ids)[1:] == text.encode()))
         yield _rows(rows)
 
 
@@ -245,18 +281,24 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)], _NAMES)
 
 
+CHUNKS = "doc_id long, mark long, chunk int, last boolean, odd boolean, n int, body string, matrix binary, head string, meet boolean"
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterator[pa.RecordBatch]:
+    """head: the text in which paths from all states meet, or the whole body where they don't."""
     v = vocabulary(model)
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.bool_())
     for batch in batches:
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
-            text, rows = prepared(text), []
+            odd, text, rows = SPACE in text, prepared(text), []
             for k, at in enumerate(range(0, len(text), size)):
                 own = text[at : at + size + v.longest]
                 n = min(size, len(text) - at)
-                rows.append((doc, mark, k, at + n == len(text), n, own, v.packed(own, n)))
+                matrix, head = v.packed(own, n)
+                rows.append((doc, mark, k, at + n == len(text), odd, n, own, matrix, own if head is None else head, head is not None))
                 if len(rows) == 256 or rows[-1][3]:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "mark", "chunk", "last", "n", "body", "matrix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                     rows = []
 
 
@@ -271,26 +313,65 @@ def _segment(group: pd.DataFrame) -> pd.DataFrame:
     return one
 
 
-def _edges(group: pd.DataFrame) -> pd.DataFrame:
+def _entries(group: pd.DataFrame) -> pd.DataFrame:
+    """Best sums in front of each segment of a document."""
     group = group.sort_values("segment")
-    found = states(_matrices(group), 0, 0)
-    return group[["doc_id", "mark", "segment"]].assign(first=found[:-1], final=found[1:])
+    matrices, sums = _matrices(group), []
+    own = np.full(len(matrices[0]), NEVER)
+    own[0] = 0.0
+    for m in matrices:
+        sums.append(own.tobytes())
+        own = behind(own, m)
+    return group[["doc_id", "mark", "segment"]].assign(sums=sums)
+
+
+def _origins(group: pd.DataFrame, model: str) -> pd.DataFrame:
+    """Of a segment: where each chunk's path comes from, for any state that it ends in, and the same for the whole segment."""
+    v, group = vocabulary(model), group.sort_values("chunk")
+    sums, tables = np.frombuffer(group["sums"].iloc[0]), []
+    for n, head, meet, m in zip(group["n"], group["head"], group["meet"], _matrices(group)):
+        tables.append(v.origins(head, len(head) if meet else int(n), sums, bool(meet)))
+        sums = behind(sums, m)
+    whole = np.arange(v.longest, dtype=np.int16)
+    for table in reversed(tables):
+        whole = through(table, whole)
+    one = group.iloc[:1][["doc_id", "mark", "segment", "chunk"]].copy()
+    one["tables"], one["whole"] = [np.array(tables, np.int16).tobytes()], [whole.astype(np.int16).tobytes()]
+    return one
 
 
-def _inner(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk")
-    found = states(_matrices(group), int(group["first"].iloc[0]), int(group["final"].iloc[0]))
-    return group[["doc_id", "mark", "chunk"]].assign(begin=found[:-1], end=found[1:])
+def _finals(group: pd.DataFrame) -> pd.DataFrame:
+    """The state in which the path ends each segment of a document."""
+    group = group.sort_values("segment")
+    finals, state = [], 0
+    for whole in reversed(group["whole"].tolist()):
+        finals.append(state)
+        state = int(np.frombuffer(whole, np.int16)[state])
+    return group[["doc_id", "mark", "segment"]].assign(final=finals[::-1])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """begin and end state of each chunk."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    for batch in batches:
+        rows = []
+        for doc, mark, chunk, tables, whole, state in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "chunk", "tables", "whole", "final"))):
+            own = np.frombuffer(tables, np.int16).reshape(-1, len(whole) // 2)
+            for k in range(len(own) - 1, -1, -1):
+                begin = int(own[k][state])
+                rows.append((doc, mark, chunk + k, begin, state))
+                state = begin
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "mark", "chunk", "begin", "end"])
 
 
 def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     v = vocabulary(model)
     for batch in batches:
         rows = []
-        for doc, mark, chunk, n, body, begin, end in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "chunk", "n", "body", "begin", "end"))):
+        for doc, mark, chunk, odd, n, body, begin, end in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "chunk", "odd", "n", "body", "begin", "end"))):
             own = body[begin : n + end]
             score, ids = v.encode(own)
-            rows.append((doc, mark, chunk, len(own), score, np.array(ids, "<i4").tobytes(), v.decode(ids) == own.replace(SPACE, " ").encode("utf-8")))
+            rows.append((doc, mark, chunk, len(own), score, np.array(ids, "<i4").tobytes(), not odd and v.decode(ids) == own.replace(SPACE, " ").encode()))
         yield _rows(rows)
 
 
@@ -310,14 +391,16 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     slim = slim.select("doc_id", "text", F.shiftleft(F.xxhash64("text"), 1).bitwiseOR(F.col("absent")).alias("mark"))
     small = slim.filter(F.length("text") <= giant).mapInArrow(lambda b: _small(b, model), CODED)
     large = slim.filter(F.length("text") > giant)
-    kinds = "doc_id long, mark long, chunk int, last boolean, n int, body string, matrix binary"
-    chunks = written(large.mapInArrow(lambda b: _chunks(b, model, size), kinds).withColumn("segment", (F.col("chunk") / segment).cast("int")), "chunks")
-    slices = chunks.select("doc_id", "mark", "segment", "chunk", "matrix").dropDuplicates(["doc_id", "mark", "chunk"])
-    segments = slices.groupBy("doc_id", "mark", "segment").applyInPandas(_segment, "doc_id long, mark long, segment int, matrix binary")
-    edges = segments.groupBy("doc_id", "mark").applyInPandas(_edges, "doc_id long, mark long, segment int, first int, final int")
-    with_edges = slices.join(edges, ["doc_id", "mark", "segment"])
-    inner = with_edges.groupBy("doc_id", "mark", "segment").applyInPandas(_inner, "doc_id long, mark long, chunk int, begin int, end int")
-    bodies = chunks.select("doc_id", "mark", "chunk", "n", "body").dropDuplicates(["doc_id", "mark", "chunk"])
+    chunks = written(large.mapInArrow(lambda b: _chunks(b, model, size), CHUNKS).withColumn("segment", (F.col("chunk") / segment).cast("int")), "chunks")
+    slices = chunks.select("doc_id", "mark", "segment", "chunk", "n", "matrix", "head", "meet").dropDuplicates(["doc_id", "mark", "chunk"])
+    matrices = slices.select("doc_id", "mark", "segment", "chunk", "matrix")
+    segments = matrices.groupBy("doc_id", "mark", "segment").applyInPandas(_segment, "doc_id long, mark long, segment int, matrix binary")
+    entries = segments.groupBy("doc_id", "mark").applyInPandas(_entries, "doc_id long, mark long, segment int, sums binary")
+    with_sums = slices.join(entries, ["doc_id", "mark", "segment"]).groupBy("doc_id", "mark", "segment")
+    origins = written(with_sums.applyInPandas(lambda g: _origins(g, model), "doc_id long, mark long, segment int, chunk int, tables binary, whole binary"), "origins")
+    finals = origins.select("doc_id", "mark", "segment", "whole").groupBy("doc_id", "mark").applyInPandas(_finals, "doc_id long, mark long, segment int, final int")
+    inner = origins.join(finals, ["doc_id", "mark", "segment"]).mapInArrow(_edges, "doc_id long, mark long, chunk int, begin int, end int")
+    bodies = chunks.select("doc_id", "mark", "chunk", "odd", "n", "body").dropDuplicates(["doc_id", "mark", "chunk"])
     coded = bodies.join(inner, ["doc_id", "mark", "chunk"]).mapInArrow(lambda b: _traced(b, model), CODED)
     whole = coded.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("chunk", "n", "score", "ids", "exact")).alias("coded"))
     again = chunks.filter("last").select("doc_id", "mark").join(whole, ["doc_id", "mark"]).mapInArrow(_joined, CODED)

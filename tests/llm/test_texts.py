@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,6 +323,10 @@ def as_unigram(tmp_path_factory):
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
     model.trainer_spec.model_type = 1
+    scores = sentence_pieces.vocabulary(sentence_pieces.MODEL).pieces
+    for p in model.pieces:
+        if p.piece in scores:
+            p.score = scores[p.piece][1]
     path = tmp_path_factory.mktemp("model") / "unigram.model"
     path.write_bytes(model.SerializeToString())
     return sentencepiece.SentencePieceProcessor(model_file=str(path))
@@ -339,9 +344,7 @@ def test_pieces_against_the_library(spark, data, as_unigram):
             assert rows[i].chunks == (0 if giant or not text else -(-(len(text) + 1) // 64))
             assert sentence_pieces.decoded(ids) == text == as_unigram.decode(ids)
             score, want = v.path(sentence_pieces.prepared(text))
-            assert rows[i].score == score
-            if giant:
-                assert ids == list(want)
+            assert rows[i].score == score and ids == list(want)
     lines, equal = [line for text in texts for line in text.split("\n") if line and "  " not in line], 0
     for line in lines:  # the library sums in 32 bits and may miss the best by a little, never pass it
         score, ids = v.path(sentence_pieces.prepared(line))
@@ -371,8 +374,71 @@ def test_chunks_without_a_space(spark, size):
     texts = ["".join(rng.choice(list("thesandingér漢"), 400)), "=" * 333, "a" * 100 + " " * 77 + "b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     v = sentence_pieces.vocabulary(sentence_pieces.MODEL)
-    for r in sentence_pieces.encode(docs, giant=0, size=size, segment=4).collect():
-        assert r.exact and r.score == v.path(sentence_pieces.prepared(texts[r.doc_id]))[0]
+    coded = sentence_pieces.encode(docs, giant=0, size=size, segment=4)
+    for r in sentence_pieces.decode(coded).collect():
+        score, ids = v.path(sentence_pieces.prepared(texts[r.doc_id]))
+        assert r.exact and r.score == score and np.frombuffer(r.ids, "<i4").tolist() == list(ids) and r.decoded == texts[r.doc_id]
+
+
+def chunked(v, text, size, segment=3):
+    """Ids by the steps of encode(), without Spark."""
+    import pandas as pd
+
+    rows = [r for b in sentence_pieces._chunks(iter([_batch(text)]), sentence_pieces.MODEL, size) for r in b.to_pylist()]
+    own = pd.DataFrame(rows)
+    own["segment"] = own["chunk"] // segment
+    segments = pd.concat([sentence_pieces._segment(g) for _, g in own.groupby("segment")])
+    entries = sentence_pieces._entries(segments)
+    origins = pd.concat([sentence_pieces._origins(g.merge(entries, on=["doc_id", "mark", "segment"]), sentence_pieces.MODEL) for _, g in own.groupby("segment")])
+    joined = origins.merge(sentence_pieces._finals(origins), on=["doc_id", "mark", "segment"])
+    edges = pa.Table.from_batches(sentence_pieces._edges(iter(pa.Table.from_pandas(joined).to_batches()))).to_pandas()
+    dealt = own.merge(edges, on=["doc_id", "mark", "chunk"])
+    coded = pa.Table.from_batches(sentence_pieces._traced(iter(pa.Table.from_pandas(dealt).to_batches()), sentence_pieces.MODEL)).to_pandas().sort_values("chunk")
+    return np.frombuffer(b"".join(coded["ids"]), "<i4").tolist()
+
+
+def _batch(text):
+    return pa.RecordBatch.from_pylist([{"doc_id": 1, "mark": 0, "text": text}])
+
+
+class Tied(sentence_pieces.Vocabulary):
+    """Scores by length alone: nearly all paths tie."""
+
+    def __init__(self):
+        import public_tokenizers
+
+        super().__init__(public_tokenizers.path(sentence_pieces.MODEL))
+        self.pieces = {p: (i, -1.0 - len(p)) for p, (i, _) in self.pieces.items()}
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton()
+        for p, (i, score) in self.pieces.items():
+            self.found.add_word(p, (len(p), score, i))
+        self.found.make_automaton()
+        self.unknown = -40.0
+
+
+@pytest.mark.parametrize("kind", ["words", "no spaces", "ties", "ties without spaces"])
+def test_ids_do_not_depend_on_chunks(data, monkeypatch, kind):
+    import pyarrow.parquet as pq
+
+    v = Tied() if "ties" in kind else sentence_pieces.vocabulary(sentence_pieces.MODEL)
+    monkeypatch.setattr(sentence_pieces, "vocabulary", lambda _: v)
+    texts = [t[:1500] for t in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist() if t][:25] + ["aaaa" * 100, "= " * 60 + "=" * 90]
+    if "spaces" in kind:
+        texts = [t.replace(" ", "")[:600] for t in texts]
+    for text in texts:
+        whole = list(v.path(sentence_pieces.prepared(text))[1])
+        assert v.encode(sentence_pieces.prepared(text))[1] == whole
+        for size in (16, 64, 4096):
+            assert chunked(v, text, size) == whole
+
+
+def test_a_literal_mark_is_not_a_round_trip(spark):
+    docs = spark.createDataFrame([(1, "caf▁bar"), (2, "caf bar"), (3, "x ▁" * 9)], "doc_id long, text string")
+    for giant in (0, 10**9):
+        rows = {r.doc_id: r for r in sentence_pieces.decode(sentence_pieces.encode(docs, giant=giant, size=16)).collect()}
+        assert {i: r.exact for i, r in rows.items()} == {1: False, 2: True, 3: False} and rows[1].decoded == "caf bar"
 
 
 def test_max_plus_product_is_associative():
