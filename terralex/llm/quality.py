@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, the byte n-grams inside them and the repetition of a word are hashed to buckets; a document is the average of its buckets'
+Words, pairs of words in a row and the byte n-grams inside words are hashed to buckets; a document is the average of its buckets'
 learned vectors, a softmax layer gives its label's probability. Trained by stochastic gradient descent
 in numpy on a bounded sample of the labelled rows (``SAMPLE`` rows with at most ``SAMPLE_CHARS``
 characters each, taken by a hash of doc_id: documented parameters). With two labels the trained layers
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex.llm.common import encoded, parts, text_of
+from terralex.llm.ngram_join import slices
 
 BITS, DIM, EPOCHS, RATE, SEED = 17, 8, 6, 4.0, 7
 SAMPLE, SAMPLE_CHARS = 3000, 32768
@@ -31,8 +32,6 @@ THRESHOLD, FOLDS = 0.3, 5
 _SPACES = bytes(0x20 if b in (0, 9, 10, 11, 12, 13, 32) else b for b in range(256))
 _M = {n: np.uint32(m) for n, m in {3: 0x9E3779B1, 4: 0x85EBCA77}.items()}
 _M64, _SHIFT, _SHIFT64 = np.uint64(0x9E3779B97F4A7C15), np.uint32(32 - BITS), np.uint64(64 - BITS)
-_SAME = 1
-_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -53,19 +52,14 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     edge = space[:n] & ~inner
     starts = np.flatnonzero(edge) + 1
     stops = np.flatnonzero(inner & ~space[:n]) + 1
-    length = stops - starts
-    code = np.zeros(len(starts), np.uint64)
-    for k in (0, 8):  # a word's hash takes its first 16 bytes and its length
-        eight = four[starts + k].astype(np.uint64) | four[starts + k + 4].astype(np.uint64) << np.uint64(32)
-        code = (code ^ (eight & _LOW[np.clip(length - k, 0, 8)])) * _M64
-        code ^= code >> np.uint64(29)
-    code = (code + length.astype(np.uint64)) * _M64
+    code = slices(joined, starts, stops)  # of all bytes of the word
     first = np.searchsorted(starts, begins)
     yield code >> _SHIFT64, np.ones(len(starts), bool), first
-    same = np.zeros(len(starts), bool)  # a word pair whose second word is the first again is one feature, whatever the word
-    same[1:] = code[1:] == code[:-1]
-    same[first[first < len(same)]] = False
-    yield np.full(len(starts), _SAME), same, first
+    pair = np.zeros(len(starts), np.uint64)  # of the difference of both words' hashes: a word and itself again are one bucket, whatever the word
+    pair[1:] = (code[1:] - code[:-1]) * _M64
+    both = np.ones(len(starts), bool)
+    both[first[first < len(both)]] = False
+    yield pair >> _SHIFT64, both, first
 
 
 def _sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:

@@ -145,6 +145,8 @@ def test_redact(spark):
     assert secret_scan.redact(docs).columns == docs.columns
     assert got[1].text == "é password = '[secret]' and API-KEY: x; apikey:[secret]" and got[1].n_chars == len(got[1].text)
     assert got[7].text is None and got[7].n_chars == 0
+    untouched = secret_scan.redact(spark.createDataFrame([(1, "a [secret] stays", "en", "s", 3)], DOCS)).first()
+    assert untouched.text == "a [secret] stays" and untouched.n_chars == 3
     assert got[8].text == "Token: [secret]"
     assert got[3].text.startswith("[secret] 000")
     assert secret_scan.redact(docs.limit(0)).count() == 0
@@ -300,6 +302,73 @@ def test_quality_on_the_held_out_fold(spark):
     assert len(test) > 50 and sum(y == p for _, y, p in test) >= 0.93 * len(test)
 
 
+def slow_features(text):
+    """Buckets of a text, spelt out."""
+    from terralex.llm.ngram_join import _constants, mix
+
+    modulus, odd = 1 << 64, 0x9E3779B97F4A7C15
+    top = lambda x: ((x * odd) % modulus) >> (64 - quality.BITS)
+    values = [int(v) for v in _constants(256)]
+    found = text.translate(quality._SPACES).split(b" ")
+    found, out, before = [w for w in found if w], [], None
+    for w in found:
+        inner = b" " + w + b" "
+        for n, m in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            out += [((int.from_bytes(inner[k : k + n], "little") * m) % (1 << 32)) >> (32 - quality.BITS) for k in range(len(inner) - n + 1)]
+        power = [pow(odd, k, modulus) for k in range(len(w))]
+        code = int(mix(np.array([sum(values[c] * p for c, p in zip(w, power)) % modulus], np.uint64))[0])
+        out.append(code >> (64 - quality.BITS))
+        if before is not None:
+            out.append(top(code - before))
+        before = code
+    return out
+
+
+TEXTS = [b"the cat sat on the the mat", b"", b"  one\ttwo\n", "süß und lang ".encode() * 3, b"a" * 50 + b" " + b"a" * 49 + b"b", b"x", b"a b"]
+
+
+def test_features_against_a_slow_version():
+    for group in ([t] for t in TEXTS):
+        got = np.concatenate([np.asarray(b)[np.asarray(c, bool)].astype(np.int64) for b, c, _ in quality.features(group)])
+        assert sorted(got.tolist()) == sorted(slow_features(group[0]))
+    weights = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32)
+    scores = quality.Model(weights, 0.25).scores(TEXTS)
+    for text, score in zip(TEXTS, scores):
+        own = slow_features(text)
+        mean = sum(float(weights[k]) for k in own) / max(len(own), 1)
+        assert abs(score - 1 / (1 + np.exp(-mean - 0.25))) < 1e-9
+
+
+def test_words_that_share_a_beginning_differ():
+    one, other = (next(x for k, x in enumerate(quality.features([w])) if k == 2)[0][0] for w in (b"abcdefghijklmnopqrst", b"abcdefghijklmnopqrsz"))
+    assert one != other
+
+
+def test_training_against_a_slow_version(monkeypatch):
+    """The same steps with plain loops: softmax over averaged vectors, one document at a time."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    texts, labels = [t for t in TEXTS if t] * 2, [1, 0, 1, 0, 1, 0] * 2
+    model = quality.train(texts, labels)
+    rng, share = np.random.default_rng(quality.SEED), np.mean(labels)
+    vectors = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BITS, quality.DIM)).astype(np.float32).astype(float)
+    layer, bias, step = np.zeros((quality.DIM, 2)), np.log([1 - share, share]), 0
+    for _ in range(2):
+        for i in rng.permutation(len(texts)):
+            own = slow_features(texts[i])
+            rate = quality.RATE * (1 - step / (2 * len(texts)))
+            step += 1
+            hidden = sum(vectors[k] for k in own) / len(own)
+            p = np.exp(hidden @ layer + bias)
+            error = p / p.sum() - np.eye(2)[labels[i]]
+            back = layer @ error
+            layer = layer - rate * np.outer(hidden, error)
+            bias = bias - 0.02 * rate * error
+            for k in own:
+                vectors[k] -= rate * back / len(own)
+    want = vectors @ (layer[:, 1] - layer[:, 0])
+    assert np.abs(want - model.weights).max() < 1e-4 and abs(model.bias - (bias[1] - bias[0])) < 1e-4
+
+
 def test_quality_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(4, 1, 0), (5, None, 0), (None, 0, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
