@@ -189,11 +189,11 @@ def digests(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def _redacted(batches: Iterator[pa.RecordBatch], text_at: str, mask: str) -> Iterator[pa.RecordBatch]:
+def _redacted(batches: Iterator[pa.RecordBatch], text_at: str, mask: str, n_chars: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts(batch, text_at):
             column, at = part.column(text_at), part.schema.get_field_index(text_at)
-            raw, out = encoded(column), []
+            raw, out, changes = encoded(column), [], []
             for original, b, spans in zip(column.to_pylist(), raw, scan_segment(raw)):
                 pieces, last = [], 0
                 for a, z in sorted((s[3], s[4]) for s in spans):
@@ -201,12 +201,16 @@ def _redacted(batches: Iterator[pa.RecordBatch], text_at: str, mask: str) -> Ite
                         pieces += [original[last:a], mask]
                     last = max(last, z)
                 out.append("".join([*pieces, original[last:]]) if pieces else original)
-            yield part.set_column(at, part.schema.field(at), pa.array(out, column.type))
+                changes.append(bool(pieces))
+            done = part.set_column(at, part.schema.field(at), pa.array(out, column.type))
+            if n_chars is not None:
+                k = part.schema.get_field_index(n_chars)
+                sizes = [len(t) if changed else n for t, changed, n in zip(out, changes, part.column(k).to_pylist())]
+                done = done.set_column(k, part.schema.field(k), pa.array(sizes, part.schema.field(k).type))
+            yield done
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", n_chars: str = "n_chars") -> DataFrame:
     """docs with each secret replaced by mask; n_chars, if there is such a column, follows where the text has changed. No row is dropped."""
-    out = docs.mapInArrow(lambda batches: _redacted(batches, text, mask), docs.schema)
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col(text).contains(mask), F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out
+    counted = n_chars if n_chars in docs.columns else None
+    return docs.mapInArrow(lambda batches: _redacted(batches, text, mask, counted), docs.schema)
