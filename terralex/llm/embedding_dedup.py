@@ -6,8 +6,12 @@ shares a bucket with the target recall (Datar et al.). Identical vectors of a la
 bucket are computed in full and in double precision, block by block (:mod:`terralex.llm.linkage`); a pair
 that shares several buckets counts in the first. No pair is ever a row.
 
+``WIDTH`` and ``HASHES`` are about the cheapest for the threshold and recall: with fewer hashes buckets hold more chance
+neighbours, with more the tables, and so the rows, grow (16 of width 2 need 68 tables, 24 of width 2 need 254, 8 of width 1
+need 87 with twice the rows).
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without a
-label, link with nothing. Vectors of different lengths don't link. Repeated rows are copies of one another.
+label, link with nothing. Vectors of different lengths don't link. Labels may be of any type with a text form. Repeated rows are copies of one another.
 """
 
 from __future__ import annotations
@@ -47,11 +51,15 @@ def buckets_of(vectors: np.ndarray, labels: np.ndarray, tables: int) -> np.ndarr
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     cells = np.floor((unit @ directions + shifts) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(vectors), tables, HASHES)
     out = (cells * odd).sum(axis=2, dtype=np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    out ^= (labels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    out ^= (labels * np.uint64(0x9E3779B97F4A7C15))[:, None]
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
+def _number(label: str) -> int:
+    return int.from_bytes(hashlib.blake2b(label.encode(), digest_size=8).digest(), "little")
+
+
 def _sketched(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels, rows = batch.column("label").to_pylist(), batch.column("embedding").to_pylist()
@@ -66,10 +74,10 @@ def _sketched(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.Rec
                 by_size.setdefault(len(v), []).append((i, v))
         for own in by_size.values():
             at = [i for i, _ in own]
-            buckets = buckets_of(np.array([v for _, v in own]), np.array([labels[i] for i in at], np.int64), tables)
+            buckets = buckets_of(np.array([v for _, v in own]), np.array([_number(labels[i]) for i in at], np.uint64), tables)
             for (i, v), row in zip(own, buckets.tolist()):
                 payload[i], found[i] = v.tobytes(), row
-                keys[i] = hashlib.blake2b(f"{labels[i]}:".encode() + payload[i], digest_size=16).digest()
+                keys[i] = hashlib.blake2b(f"{len(labels[i])}:{labels[i]}".encode() + payload[i], digest_size=16).digest()
         columns = [batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(payload, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["vec_id", "node", "bands", "payload"])
 
@@ -94,7 +102,7 @@ def _member(_node: bytes, payload: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def near_vectors(vectors: DataFrame, tables: int | None = None) -> DataFrame:
     """A row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = written(slim.mapInArrow(lambda b, k=tables or tables_for(): _sketched(b, k), "vec_id long, node binary, bands array<long>, payload binary"), "sketches")
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("payload").alias("payload"))
     classes = written(classes, "classes")

@@ -121,6 +121,8 @@ def test_near_vectors_odd_rows(spark):
     got = sorted((tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=str)
     want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *((i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)), (None, 0, None, True)]
     assert got == sorted(want, key=str)
+    named = spark.createDataFrame([(r[0], r[1], None if r[2] is None else f"label {r[2]}", "x", 1, "y") for r in rows], "vec_id long, embedding array<float>, label string, node string, bands int, payload string")
+    assert sorted((tuple(r) for r in embedding_dedup.near_vectors(named).collect()), key=str) == sorted(want, key=str)
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
