@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralex.sources.scratch import mark, new_path, release, remove, shared_folder, written  # noqa: F401  the operators take them from here
+
 #: Bytes that separate words (all ASCII but digits and letters) become a space, A-Z become a-z.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -25,35 +25,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="terralex-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/terralex/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once, and lost executors cost no more than its unread parts."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that is no longer needed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written with a number of each row, and the number's column. Rows are told apart by it, so texts needn't move to find repeated ones."""
+    row = free_name(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def buckets_for(spark: SparkSession) -> int:
