@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import encoded, parts, text_of, words, written
+from terralex.llm.common import encoded, mark, numbered, parts, release, text_of, words, written
 from terralex.llm.linkage import candidate_groups, linked_classes, links
 
 N, THRESHOLD, RECALL, ROWS, SEED = 5, 0.8, 0.995, 7, 11
@@ -53,17 +53,20 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(ahead, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
 
 
+def slices(b: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of b, each of all its bytes."""
+    ahead, back = _powers(1 << max(12, (len(b) + 1).bit_length()))
+    values = np.frombuffer(b, np.uint8)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_constants(256)[values] * ahead[: len(values)], dtype=np.uint64)))
+    return mix((sums[stops] - sums[starts]) * back[starts])
+
+
 def word_hashes(joined: bytes) -> np.ndarray:
     """64-bit hashes of the words of a text whose words are parted by single spaces."""
     if not joined:
         return np.zeros(0, np.uint64)
-    size = 1 << max(12, (len(joined) + 1).bit_length())
-    ahead, back = _powers(size)
-    b = np.frombuffer(joined, np.uint8)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_constants(256)[b] * ahead[: len(b)], dtype=np.uint64)))
-    gaps = np.flatnonzero(b == 32)
-    starts, stops = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
-    return mix((sums[stops] - sums[starts]) * back[starts])
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return slices(joined, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)])))
 
 
 def shingles(hashes: np.ndarray, n: int = N) -> np.ndarray:
@@ -118,13 +121,14 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int, bands: int) -> Iterator
                 for i, row in zip(filled, band_hashes([shingles(word_hashes(joined[i]), n) for i in filled], bands).view(np.int64).tolist()):
                     found[i] = row
             keys = pa.array([key_of(j) if j else None for j in joined], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), keys, pa.array(found, pa.list_(pa.int64()))], ["doc_id", "row", "node", "bands"])
 
 
-def sketches(docs: DataFrame, n: int = N, bands: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, node (of the word sequence; null without words), bands."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return slim.mapInArrow(lambda b, k=bands or bands_for(): _sketched(b, n, k), "doc_id long, node binary, bands array<long>")
+def sketches(docs: DataFrame, n: int = N, bands: int | None = None, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """doc_id, row (its number, if given), node (of the word sequence; null without words), bands."""
+    number = F.col(row) if row else F.lit(None)
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), number.cast("long").alias("row"), text_of(text).alias("text"))
+    return slim.mapInArrow(lambda b, k=bands or bands_for(): _sketched(b, n, k), "doc_id long, row long, node binary, bands array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -152,20 +156,34 @@ def jaccard_kernel(left: list[np.ndarray], right: list[np.ndarray] | None, _root
     return both >= THRESHOLD * (sizes - both) - 1e-6
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, node), (classes: node, n_links, class_id, class_node)."""
-    rows = written(sketches(docs, n, None, text, doc_id), "sketches")
-    classes = written(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    groups = candidate_groups(classes)
-    wanted = groups.join(classes.select("node", "rep", "copies"), "node")
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), text_of(text).alias("payload"))
-    members = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("root", "node", "copies", "payload", "size")
-
-    def prepare(node: bytes, payload: str) -> np.ndarray | None:
-        joined = normal(payload.encode())
-        return np.unique(shingles(word_hashes(joined), n)) if key_of(joined) == node else None
-
-    return rows.select("doc_id", "node"), linked_classes(classes, links(members, jaccard_kernel, prepare))
+def _prepared(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The n-gram set of each text, once; rows whose text isn't the node's have none."""
+    for batch in batches:
+        for part in parts(batch, "text", 1_000_000):
+            sets = []
+            for node, text in zip(part.column("node").to_pylist(), encoded(part.column("text"))):
+                joined = normal(text)
+                sets.append(np.unique(shingles(word_hashes(joined), n)).tobytes() if key_of(joined) == node else None)
+            out = part.set_column(part.schema.get_field_index("text"), pa.field("payload", pa.binary()), pa.array(sets, pa.binary()))
+            yield out.filter(out.column("payload").is_valid())
+
+
+def jaccard_classes(docs: DataFrame, n: int = N, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, row, node), (classes: node, n_links, class_id, class_node, first: the number of the row that stands for the node)."""
+    rows = written(sketches(docs, n, None, text, doc_id, row), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.min(order)["row"].alias("first"))
+    classes = written(classes, "classes")
+    wanted = candidate_groups(classes).join(classes.select("node", "rep", "first", "copies"), "node")
+    if row:
+        texts = docs.select(F.col(row).alias("number"), text_of(text).alias("text"))
+        members = texts.join(wanted, texts["number"] == wanted["first"])
+    else:
+        texts = docs.select(F.col(doc_id).cast("long").alias("number"), text_of(text).alias("text"))
+        members = texts.join(wanted, texts["number"].eqNullSafe(wanted["rep"]))
+    members = members.select("root", "node", "copies", "size", "text").mapInArrow(lambda b: _prepared(b, n), "root binary, node binary, copies long, size long, payload binary")
+    found = linked_classes(classes, links(members, jaccard_kernel, lambda _node, payload: np.frombuffer(payload, np.uint64)))
+    return rows.select("doc_id", "row", "node"), found.join(classes.select("node", "first"), "node") if row else found
 
 
 def jaccard_join(docs: DataFrame, n: int = N, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -179,17 +197,14 @@ def jaccard_join(docs: DataFrame, n: int = N, text: str = "text", doc_id: str =
     )
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [key_of(j) if (j := normal(t)) else None for t in encoded(batch.column(text))]
-        yield batch.append_column(pa.field("__node", pa.binary()), pa.array(keys, pa.binary()))
-
-
 def drop_near_copies(docs: DataFrame, n: int = N, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each class stays, as it is: that of the smallest doc_id. Rows without words stay."""
-    _, classes = jaccard_classes(docs, n, text, doc_id)
-    stay = classes.filter("node = class_node").select(F.col("node").alias("__stay"), F.col("class_id").alias("__id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(lambda b: _keyed(b, text), f"{schema}, __node binary")
-    one = keyed.filter("__node IS NOT NULL").join(stay, (F.col("__node") == F.col("__stay")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id, "__node"])
-    return one.unionByName(keyed.filter("__node IS NULL")).drop("__node")
+    """One row of each class stays, as it is: that of the smallest doc_id. Rows without words stay.
+
+    Rows are numbered, and texts meet only the numbers of rows that go."""
+    own, row = numbered(docs)
+    begin = mark(docs.sparkSession)
+    rows, classes = jaccard_classes(own, n, text, doc_id, row)
+    stay = classes.filter("node = class_node").select(F.col("first").alias("row"))
+    gone = written(rows.filter("node IS NOT NULL").join(stay, "row", "left_anti").select(F.col("row").alias(row)), "gone")
+    release(docs.sparkSession, begin, mark(docs.sparkSession) - 1)
+    return own.join(gone, row, "left_anti").drop(row)
