@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terralex.llm import exact_dedup, ngram_join, packing, quality, secret_scan
-from terralex.llm.common import written
+from terralex.llm.common import mark, release, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written and read again; what a stage has written for itself goes with its docs."""
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, begin, mark(spark) - 1)
     return STAGES[-1][1](spark, docs, sf_dir)
