@@ -11,6 +11,7 @@ from terralex.functions.geo import Rect
 from terralex.functions.text import matches, packed_id, packed_kind, packed_number
 from terralex.operators import coverage, distance, hits, items, leaves, stats
 from terralex.sources import fixtures
+from terralex.sources.scratch import new_path
 from terralex.sources.world import World, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,14 +97,46 @@ def _line_cells(points: list[tuple[float, float]]) -> str:
 
 
 GAP = "2*6371000*asin(least(1, sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lon-a.lon)/2),2))))"
-CENTRES = "SELECT cell_id, (min_lat+max_lat)/2 AS lat, (min_lon+max_lon)/2 AS lon, min_lat, max_lat, min_lon FROM fx_cell"
+CENTRES = "SELECT cell_id, (min_lat+max_lat)/2 AS lat, (min_lon+max_lon)/2 AS lon FROM fx_cell"
 
 
-def _radius(lat: str) -> str:
-    return f"2*6371000*asin(sqrt(power(sin(radians(lat-{lat})/2),2)+cos(radians(lat))*cos(radians({lat}))*power(sin(radians(lon-min_lon)/2),2)))"
+def _metres(lat: str, lon: str) -> str:
+    return f"2*6371000*asin(least(1, sqrt(power(sin(radians(lat-{lat})/2),2)+cos(radians(lat))*cos(radians({lat}))*power(sin(radians(lon-{lon})/2),2))))"
 
 
-DISCS = f"SELECT *, greatest({_radius('min_lat')}, {_radius('max_lat')}) AS r FROM ({CENTRES}) c"
+def _discs(lat: str, lon: str) -> str:
+    """Discs of cells around a centre, given by the corners a, b, c of a cell's border."""
+    reach = ", ".join(_metres(f"{p}lat", f"{p}lon") for p in "abc")
+    corners = ", ".join(f"{e} AS {p}{c}" for p, pair in zip("abc", fixtures.BORDER) for c, e in zip(("lat", "lon"), pair))
+    sides = ", ".join(f"power({p}lat-{q}lat,2)+power({p}lon-{q}lon,2) AS {p}{q}" for p, q in ("ab", "bc", "ca"))
+    return f"SELECT *, greatest({reach}) AS r, least({reach}) AS inside FROM (SELECT *, {lat} AS lat, {lon} AS lon FROM (SELECT *, {sides} FROM (SELECT cell_id, {corners} FROM fx_cell) k) s) m"
+
+
+TWICE = "2*(alat*(blon-clon)+blat*(clon-alon)+clat*(alon-blon))"
+SQUARES = [f"({p}lat*{p}lat+{p}lon*{p}lon)" for p in "abc"]
+AROUND = (f"({SQUARES[0]}*(blon-clon)+{SQUARES[1]}*(clon-alon)+{SQUARES[2]}*(alon-blon))/({TWICE})", f"({SQUARES[0]}*(clat-blat)+{SQUARES[1]}*(alat-clat)+{SQUARES[2]}*(blat-alat))/({TWICE})")
+DISCS = _discs("(alat+blat+clat)/3", "(alon+blon+clon)/3")
+ANNULI = _discs(*AROUND)
+SMALLEST = _discs(*(f"CASE WHEN ab>=bc+ca THEN (a{c}+b{c})/2 WHEN bc>=ab+ca THEN (b{c}+c{c})/2 WHEN ca>=ab+bc THEN (c{c}+a{c})/2 ELSE {e} END" for c, e in zip(("lat", "lon"), AROUND)))
+
+#: Sides of a region's ring, 0 or more where a place is on the inner side; and that the ring holds a place.
+EDGES = list(zip(fixtures.RING, fixtures.RING[1:] + fixtures.RING[:1]))
+
+
+def _ring_sides(lat: str, lon: str) -> list[str]:
+    return [f"(({b[0]}-({a[0]}))*({lon}-({a[1]}))-({b[1]}-({a[1]}))*({lat}-({a[0]})))" for a, b in EDGES]
+
+
+def _ring_holds(lat: str, lon: str) -> str:
+    return f"least({','.join(_ring_sides(lat, lon))})>=0"
+
+
+def _ring_meets(points: list[tuple[float, float]]) -> str:
+    """No edge of the ring or of the polygon parts them."""
+    corners = [_sides(points, lat, lon) for lat, lon in ((f"({a})", f"({o})") for a, o in fixtures.RING)]
+    theirs = [_ring_sides(f"CAST({lat} AS DOUBLE)", f"CAST({lon} AS DOUBLE)") for lat, lon in points]
+    return " AND ".join(f"greatest({','.join(edge)})>=0" for edge in [*zip(*corners), *zip(*theirs)])
+
 
 TRIANGLE = [(-12.0, -12.0), (8.0, -3.0), (-2.0, 11.0)]
 LINE = [(-20.0, -20.0), (3.0, 4.0), (12.0, -8.0)]
@@ -152,7 +185,7 @@ def osm_id_pack(w):
 
 @query("""
     SELECT item_id, CASE WHEN count(*) = 1 THEN 'POINT (' ELSE 'LINESTRING (' END || string_agg(printf('%.3f', lon) || ' ' || printf('%.3f', lat), ', ' ORDER BY pos) || ')' AS wkt FROM fx_point GROUP BY item_id
-    UNION ALL SELECT region_id, printf('POLYGON ((%.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f))', min_lon, min_lat, max_lon, min_lat, max_lon, max_lat, min_lon, max_lat, min_lon, min_lat) FROM fx_region""")
+    UNION ALL SELECT o.item_id, 'POLYGON ((' || string_agg(printf('%.3f', o.lon) || ' ' || printf('%.3f', o.lat), ', ' ORDER BY o.pos) || ', ' || any_value(printf('%.3f', f.lon) || ' ' || printf('%.3f', f.lat)) || '))' FROM fx_outline o JOIN (SELECT * FROM fx_outline WHERE pos = 0) f ON o.item_id = f.item_id GROUP BY o.item_id""")
 def geometry_text(w):
     return items.geometry_text(w)
 
@@ -234,6 +267,37 @@ def tag_phrase(w):
     return items.of_phrases(w, "Building", "negative")
 
 
+@query("SELECT item_id FROM fx_tag WHERE contains(lower(v), 'building') UNION SELECT t.item_id FROM fx_tag t JOIN fx_phrase p ON t.k=p.k AND t.v=p.v WHERE p.phrase='building'")
+def item_search(w):
+    return items.search(w, "Building")
+
+
+@query("SELECT * FROM fx_item WHERE item_id IN (SELECT item_id FROM fx_tag WHERE k='amenity')")
+def items_of_ids(w):
+    return items.of_ids(w, items.with_key(w, ["amenity"]))
+
+
+@query("""
+    WITH n AS (SELECT DISTINCT k AS path, TRUE AS root FROM fx_tag UNION SELECT DISTINCT k || ':' || v, FALSE FROM fx_tag)
+    SELECT (SELECT COUNT(*) FROM n) AS nodes, (SELECT COUNT(*) FROM n WHERE root) AS roots, (SELECT COUNT(DISTINCT phrase) FROM fx_phrase) AS phrases, (SELECT COUNT(*) FROM (SELECT DISTINCT k, v FROM fx_phrase) p) AS mapped""")
+def tag_stats(w):
+    return items.tag_stats(w)
+
+
+@query("""
+    SELECT 'items' AS name, COUNT(*) AS n FROM fx_item UNION ALL SELECT 'points', COUNT(*) FROM fx_point UNION ALL SELECT 'outlines', COUNT(*) FROM fx_outline UNION ALL SELECT 'item_boxes', COUNT(*) FROM fx_box
+    UNION ALL SELECT 'tag_values', COUNT(DISTINCT v) FROM fx_tag UNION ALL SELECT 'postings', COUNT(*) FROM (SELECT DISTINCT v, item_id FROM fx_tag) t UNION ALL SELECT 'region_sizes', COUNT(DISTINCT region_id) FROM fx_cell_parent""")
+def world_written(w):
+    """A world written to a folder and loaded from it, with the tables that follow from others."""
+    folder = new_path(w.spark, "world")
+    w.write(folder)
+    again, out = World.load(w.spark, folder), None
+    for name in ("items", "points", "outlines", "item_boxes", "tag_values", "postings", "region_sizes"):
+        own = getattr(again, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # ---- elementary queries
 
 
@@ -247,9 +311,9 @@ def leaf_region(w):
     return _shown(leaves.region(w, 7))
 
 
-@query(f"{FULL} fx_cell_parent WHERE region_id = 2 AND cell_id NOT IN (SELECT cell_id FROM fx_cell_parent WHERE region_id IN (SELECT region_id FROM fx_region WHERE parent_id = 2))")
+@query(f"{FULL} fx_cell_parent WHERE region_id = 7 AND cell_id NOT IN (SELECT cell_id FROM fx_cell_parent WHERE region_id IN (SELECT region_id FROM fx_region WHERE parent_id = 7))")
 def leaf_region_exclusive(w):
-    return _shown(leaves.region_exclusive(w, 2))
+    return _shown(leaves.region_exclusive(w, 7))
 
 
 @query(f"{FULL} fx_cell WHERE cell_id IN (3, 17, 399)")
@@ -298,7 +362,7 @@ def leaf_rect_item_boxes(w):
     WITH c AS (SELECT cell_id, {_convex_holds_box(TRIANGLE)} AS whole FROM fx_cell WHERE {_convex_meets_box(TRIANGLE)}),
     v AS (SELECT a.item_id, a.lat, a.lon, coalesce(b.lat, a.lat) AS lat2, coalesce(b.lon, a.lon) AS lon2 FROM (SELECT * FROM fx_point WHERE pos=0) a LEFT JOIN (SELECT * FROM fx_point WHERE pos=1) b ON a.item_id=b.item_id),
     s AS (SELECT item_id, {", ".join(f"{e} AS p{k}" for k, e in enumerate(_sides(TRIANGLE, "lat", "lon")))}, {", ".join(f"{e} AS q{k}" for k, e in enumerate(_sides(TRIANGLE, "lat2", "lon2")))} FROM v),
-    h AS (SELECT item_id FROM s WHERE {_convex_meets_segment(3)} UNION ALL SELECT region_id FROM fx_region WHERE {_convex_meets_box(TRIANGLE)}),
+    h AS (SELECT item_id FROM s WHERE {_convex_meets_segment(3)} UNION ALL SELECT region_id FROM fx_region WHERE {_ring_meets(TRIANGLE)}),
     x AS (SELECT c.cell_id, i.item_id, i.item_id IN (SELECT item_id FROM h) AS hit FROM c JOIN fx_cell_item i ON c.cell_id=i.cell_id AND NOT c.whole),
     f AS (SELECT cell_id FROM c WHERE whole OR cell_id NOT IN (SELECT cell_id FROM x WHERE NOT hit))
     SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM f UNION ALL SELECT cell_id, item_id FROM x WHERE hit AND cell_id NOT IN (SELECT cell_id FROM f)""")
@@ -306,6 +370,30 @@ def leaf_polygon_exact(w):
     return _shown(leaves.polygon(w, TRIANGLE, "poly-item"))
 
 
+@query(f"""
+    WITH c AS (SELECT cell_id, {_convex_holds_box(TRIANGLE)} AS whole FROM fx_cell WHERE {_convex_meets_box(TRIANGLE)}),
+    x AS (SELECT c.cell_id, i.item_id, i.item_id IN (SELECT item_id FROM fx_box WHERE {_convex_meets_box(TRIANGLE)}) AS hit FROM c JOIN fx_cell_item i ON c.cell_id=i.cell_id AND NOT c.whole),
+    f AS (SELECT cell_id FROM c WHERE whole OR cell_id NOT IN (SELECT cell_id FROM x WHERE NOT hit))
+    SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM f UNION ALL SELECT cell_id, item_id FROM x WHERE hit AND cell_id NOT IN (SELECT cell_id FROM f)""")
+def leaf_polygon_item_boxes(w):
+    return _shown(leaves.polygon(w, TRIANGLE, "poly-itembbox"))
+
+
+BOX = [(-12.0, -12.0), (-12.0, 11.0), (8.0, 11.0), (8.0, -12.0)]
+
+
+@query(f"""
+    WITH c AS (SELECT cell_id, min_lat>=-12 AND max_lat<=8 AND min_lon>=-12 AND max_lon<=11 AS whole FROM fx_cell WHERE min_lat<=8 AND max_lat>=-12 AND min_lon<=11 AND max_lon>=-12),
+    v AS (SELECT a.item_id, a.lat, a.lon, coalesce(b.lat, a.lat) AS lat2, coalesce(b.lon, a.lon) AS lon2 FROM (SELECT * FROM fx_point WHERE pos=0) a LEFT JOIN (SELECT * FROM fx_point WHERE pos=1) b ON a.item_id=b.item_id),
+    s AS (SELECT item_id, {", ".join(f"{e} AS p{k}" for k, e in enumerate(_sides(BOX, "lat", "lon")))}, {", ".join(f"{e} AS q{k}" for k, e in enumerate(_sides(BOX, "lat2", "lon2")))} FROM v),
+    h AS (SELECT item_id FROM s WHERE {_convex_meets_segment(4)} UNION ALL SELECT region_id FROM fx_region WHERE {_ring_meets(BOX)}),
+    x AS (SELECT c.cell_id, i.item_id, i.item_id IN (SELECT item_id FROM h) AS hit FROM c JOIN fx_cell_item i ON c.cell_id=i.cell_id AND NOT c.whole),
+    f AS (SELECT cell_id FROM c WHERE whole OR cell_id NOT IN (SELECT cell_id FROM x WHERE NOT hit))
+    SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM f UNION ALL SELECT cell_id, item_id FROM x WHERE hit AND cell_id NOT IN (SELECT cell_id FROM f)""")
+def leaf_polygon_box_items(w):
+    return _shown(leaves.polygon(w, TRIANGLE, "polybbox-item"))
+
+
 @query(f"{FULL} fx_cell WHERE {_convex_meets_box(TRIANGLE)}")
 def leaf_polygon_cells(w):
     return _shown(leaves.polygon(w, TRIANGLE, "poly-cellbbox"))
@@ -318,7 +406,7 @@ def leaf_point_radius(w):
     return _shown(leaves.point(w, 0.0, 0.0, 200000.0))
 
 
-@query("SELECT x.cell_id, x.item_id FROM fx_cell_item x JOIN fx_cell c ON x.cell_id=c.cell_id JOIN fx_region r ON x.item_id=r.region_id WHERE c.min_lat<=1.5 AND 1.5<c.max_lat AND c.min_lon<=-7.25 AND -7.25<c.max_lon")
+@query("SELECT x.cell_id, x.item_id FROM fx_cell_item x JOIN fx_cell c ON x.cell_id=c.cell_id JOIN fx_region r ON x.item_id=r.region_id WHERE c.min_lat<=1.5 AND 1.5<c.max_lat AND c.min_lon<=-7.25 AND -7.25<c.max_lon AND x.item_id IN (SELECT region_id FROM fx_region WHERE " + _ring_holds("1.5", "-7.25") + ")")
 def leaf_point(w):
     return _shown(leaves.point(w, 1.5, -7.25))
 
@@ -335,6 +423,16 @@ def leaf_route(w):
     return _shown(leaves.route(w, LINE))
 
 
+@query(f"{FULL} fx_cell WHERE cell_id IN (3, 17)")
+def leaf_route_cells(w):
+    return _shown(leaves.route(w, LINE, leaves.from_cells(lambda *_: [3, 17])))
+
+
+@query("SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM fx_cell WHERE false")
+def leaf_route_none(w):
+    return _shown(leaves.route(w, LINE, leaves.no_route))
+
+
 # ---- sets of hits
 
 
@@ -429,7 +527,7 @@ def compass_east_of_item(w):
     return _shown(coverage.compass(leaves.item(w, 31), w, "east"))
 
 
-@query(f"{FULL} fx_cell WHERE {_convex_meets_box([(-25, -25), (-15, -25), (25, 15), (25, 25), (15, 25), (-25, -15)])} AND cell_id NOT IN (SELECT cell_id FROM fx_cell_parent WHERE region_id IN (5, 29))")
+@query(f"{FULL} fx_cell WHERE {_convex_meets_box([(-25, -15), (-15, -25), (25, 15), (15, 25)])} AND cell_id NOT IN (SELECT cell_id FROM fx_cell_parent WHERE region_id IN (5, 29))")
 def between_regions(w):
     return _shown(coverage.between(leaves.region(w, 5), leaves.region(w, 29), w))
 
@@ -455,17 +553,23 @@ def cell_dilation(w):
     return _shown(distance.dilate(hits.intersect(leaves.text(w, "automobile", "items"), leaves.region(w, 7)), w, 100_000.0))
 
 
-@query(f"SELECT cell_id, CAST(ROUND(r) AS BIGINT) AS radius, CAST(ROUND(least({_radius('min_lat')}, {_radius('max_lat')})) AS BIGINT) AS inner_radius FROM ({DISCS}) d")
+@query(f"SELECT cell_id, CAST(ROUND(r) AS BIGINT) AS radius, CAST(ROUND(inside) AS BIGINT) AS inner_radius FROM ({ANNULI}) d")
 def annulus(w):
     return distance.discs(w, "annulus").select("cell_id", F.round("radius").cast("bigint").alias("radius"), F.round("inner").cast("bigint").alias("inner_radius"))
 
 
+@query(f"WITH d AS ({ANNULI}) SELECT e.src AS a, e.dst AS b, CAST(ROUND(greatest(0, {GAP}-a.r-b.r)) AS BIGINT) AS metres FROM fx_cell_edge e JOIN d a ON e.src=a.cell_id JOIN d b ON e.dst=b.cell_id")
+def annulus_distance(w):
+    found = distance.between_cells(distance.discs(w, "annulus"), w.cell_edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return found.withColumn("metres", F.round("metres").cast("bigint"))
+
+
 @query(f"WITH a AS (SELECT CAST(1.5 AS DOUBLE) AS lat, CAST(-7.25 AS DOUBLE) AS lon), b AS ({DISCS}) SELECT b.cell_id, CAST(ROUND(greatest(0, {GAP}-b.r)) AS BIGINT) AS metres FROM a, b")
 def point_distance(w):
     return distance.to_point(distance.discs(w), 1.5, -7.25).withColumn("metres", F.round("metres").cast("bigint"))
 
 
-@query(f"SELECT cell_id, CAST(ROUND(r) AS BIGINT) AS radius FROM ({DISCS}) d")
+@query(f"SELECT cell_id, CAST(ROUND(r) AS BIGINT) AS radius FROM ({SMALLEST}) d")
 def min_sphere(w):
     return distance.discs(w, "min_sphere").select("cell_id", F.round("radius").cast("bigint").alias("radius"))
 
@@ -473,7 +577,7 @@ def min_sphere(w):
 # ---- roll-up, counts, rankings
 
 
-@query("SELECT p.region_id, COUNT(DISTINCT p.cell_id) AS cells, COUNT(x.item_id) AS pairs FROM fx_cell_parent p LEFT JOIN fx_cell_item x ON p.cell_id=x.cell_id GROUP BY 1")
+@query("SELECT p.region_id, COUNT(DISTINCT p.cell_id) AS cells, COUNT(x.item_id) AS pairs, COUNT(DISTINCT x.item_id) AS items FROM fx_cell_parent p LEFT JOIN fx_cell_item x ON p.cell_id=x.cell_id GROUP BY 1")
 def region_sizes(w):
     return coverage.region_sizes(w)
 

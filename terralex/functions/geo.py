@@ -129,6 +129,10 @@ class Rect:
     def box(self) -> Rect:
         return self
 
+    @property
+    def first(self) -> Point:
+        return self.min_lat, self.min_lon
+
     @property
     def length(self) -> float:
         return sum(distance(a, b) for a, b in zip(self.corners, self.corners[1:] + self.corners[:1]))
@@ -161,6 +165,10 @@ class Polygon:
     def box(self) -> Rect:
         return Rect.around(self.points)
 
+    @property
+    def first(self) -> Point:
+        return self.points[0]
+
     @property
     def edges(self) -> list[tuple[Point, Point]]:
         return list(zip(self.points, self.points[1:] + self.points[:1]))

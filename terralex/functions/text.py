@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def matches(column: str, query: str) -> Column:
-    """``"x"`` equals x, ``x?`` begins with it, ``?x`` ends with it, else the column contains it. Case doesn't count."""
-    value, text = F.lower(column), query.lower()
+    """``"x"`` equals x, ``x?`` begins with it, ``?x`` ends with it, else the column contains it. The column is in lower case, the query in any."""
+    value, text = F.col(column), query.lower()
     if len(text) > 1 and text[0] == text[-1] == '"':
         return value == text[1:-1]
     if text.endswith("?") and not text.startswith("?"):

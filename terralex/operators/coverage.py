@@ -17,10 +17,8 @@ INSIDE = 0.9  # fixed value: share of its items from which a region counts as hi
 
 
 def region_sizes(world: World) -> DataFrame:
-    """region_id, cells, pairs (of a cell and an item)."""
-    per_cell = world.cell_items.groupBy("cell_id").agg(F.count("*").alias("n"))
-    parents = world.cell_parents.select("cell_id", "region_id")
-    return parents.join(per_cell, "cell_id", "left").groupBy("region_id").agg(F.count("*").alias("cells"), F.sum(F.coalesce("n", F.lit(0))).alias("pairs"))
+    """region_id, cells, pairs (of a cell and an item), items (different ones); stored with a written world."""
+    return world.table("region_sizes")
 
 
 def _cells_of_regions(world: World, regions: DataFrame) -> DataFrame:
@@ -40,9 +38,8 @@ def by_item_coverage(found: DataFrame, world: World, share: float) -> DataFrame:
     if share <= 0:
         return leaves.cells(world, [])
     parents = world.cell_parents.select("cell_id", "region_id")
-    hit = parents.join(hits.pairs(found, world).groupBy("cell_id").agg(F.count("*").alias("n")), "cell_id").groupBy("region_id").agg(F.sum("n").alias("hit"))
-    sizes = parents.join(world.cell_items, "cell_id").select("region_id", "item_id").distinct().groupBy("region_id").agg(F.count("*").alias("items"))
-    return _cells_of_regions(world, hit.join(sizes, "region_id").filter(F.col("hit") > F.col("items") * share))
+    hit = parents.join(hits.counted(found, world), "cell_id").groupBy("region_id").agg(F.sum("n").alias("hit"))
+    return _cells_of_regions(world, hit.join(region_sizes(world), "region_id").filter(F.col("hit") > F.col("items") * share))
 
 
 def inside(found: DataFrame, world: World) -> DataFrame:
@@ -80,7 +77,8 @@ def main_item(found: DataFrame, world: World) -> DataFrame:
 
 
 def dominant(found: DataFrame, world: World) -> Element | None:
-    """The item or region that hits are about; two top-1 queries, so one row each reaches the driver."""
+    """The item or region that hits are about; the hits are written, and one row of each of two top-1 queries reaches the driver."""
+    found = hits.kept(found)
     best = region_ranks(found, world).first()
     if best is None:
         return None
@@ -165,13 +163,62 @@ def diamond(a: Point, b: Point) -> Polygon:
     return Polygon(tuple(clipped([a, destination(centre, angle + 90, half), b, destination(centre, angle - 90, half)])))
 
 
+def _across(box: Rect, sector: int) -> list[Point]:
+    """The two places of a box that lie across a direction, given as an eighth of the circle from north."""
+    lat, lon = box.centre
+    return [
+        [(lat, box.min_lon), (lat, box.max_lon)],
+        [(box.max_lat, box.min_lon), (box.min_lat, box.max_lon)],
+        [(box.max_lat, lon), (box.min_lat, lon)],
+        [(box.max_lat, box.max_lon), (box.min_lat, box.min_lon)],
+    ][sector % 4]
+
+
+def _sector(a: Point, b: Point) -> int:
+    return round(bearing(a, b) / 45) % 8
+
+
+def between_boxes(a: Rect, b: Rect) -> Polygon:
+    """From the places of one box that lie across the way to the other box, to the same places of that."""
+    sector = _sector(a.centre, b.centre)
+    near, far = _across(a, sector), _across(b, sector)
+    return Polygon(tuple(clipped([near[0], far[0], far[1], near[1]])))
+
+
+def box_to_point(box: Rect, point: Point) -> Polygon:
+    """From a box to a point: over an edge the half of the box that faces it, over a corner the diagonal across."""
+    sector = _sector(box.centre, point)
+    one, other = _across(box, sector)
+    if sector % 2:
+        return Polygon(tuple(clipped([one, point, other])))
+    edge = {0: (box.max_lat, None), 2: (None, box.max_lon), 4: (box.min_lat, None), 6: (None, box.min_lon)}[sector]
+    front = [tuple(e if e is not None else x for e, x in zip(edge, p)) for p in (one, other)]
+    return Polygon(tuple(clipped([one, front[0], point, front[1], other])))
+
+
+def between_shapes(left: Rect | list[Point], right: Rect | list[Point]) -> Polygon:
+    """Between two boxes, points (lists of one) or ways."""
+    if isinstance(left, Rect) and isinstance(right, Rect):
+        return between_boxes(left, right)
+    if isinstance(right, Rect):
+        left, right = right, left
+    if isinstance(left, Rect):
+        return box_to_point(left, right[0]) if len(right) == 1 else Polygon(tuple(hull([*left.corners, *right])))
+    return diamond(left[0], right[0]) if len(left) == len(right) == 1 else Polygon(tuple(hull([*left, *right])))
+
+
+def _shape(world: World, element: Element, boxed: bool) -> Rect | list[Point]:
+    points = _outline(world, element)
+    return Rect.around(points) if boxed or _is_region(world, element) else points
+
+
 def between(one: DataFrame, other: DataFrame, world: World) -> DataFrame:
-    """What lies between two dominant elements: the hull of both outlines; between two regions, cells that are in neither."""
+    """What lies between two dominant elements; boxes count where one is a region; between two regions, cells that are in neither."""
     a, b = dominant(one, world), dominant(other, world)
     if a is None or b is None or a == b:
         return leaves.cells(world, [])
-    left, right = _outline(world, a), _outline(world, b)
-    shape = diamond(left[0], right[0]) if len(left) == len(right) == 1 else Polygon(tuple(hull(left + right)))
+    boxed = "region" in (a.kind, b.kind)
+    shape = between_shapes(_shape(world, a, boxed), _shape(world, b, boxed))
     if a.kind == b.kind == "region":
         own = leaves.region(world, a.id).unionByName(leaves.region(world, b.id))
         return leaves.area(world, shape, "poly-cellbbox").join(own, "cell_id", "left_anti")

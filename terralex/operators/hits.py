@@ -2,7 +2,8 @@
 
 A row per cell and item, ``cell_id, item_id``; a cell of which every item is hit has one row without an item.
 A hit cell is one or the other, never both. Long rows instead of an array per cell keep a cell with very
-many items spread over tasks: each operator is a union or an equi-join on cell, or on cell and item.
+many items spread over tasks. A set operator marks the rows of both sides and groups them by cell and item once; what
+is full is a row of that table too, and meets the other rows of its cell in one join.
 """
 
 from __future__ import annotations
@@ -10,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralex.sources.scratch import written
 from terralex.sources.world import World
 
 
+def kept(hits: DataFrame) -> DataFrame:
+    """Hits written once, for a query that reads them several times."""
+    return written(hits, "hits")
+
+
 def full_cells(hits: DataFrame) -> DataFrame:
     return hits.filter("item_id IS NULL").select("cell_id")
 
@@ -35,37 +42,53 @@ def of_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("cell_id", "item_id").distinct()
 
 
+LEFT, RIGHT = 1, 2
+
+
+def _marked(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell_id, item_id, own: the sides that have the pair, full: those that have the whole cell or 0), (cell_id, full)."""
+    both = a.withColumn("side", F.lit(LEFT)).unionByName(b.withColumn("side", F.lit(RIGHT)))
+    once = both.groupBy("cell_id", "item_id").agg(F.bit_or("side").alias("own"))
+    whole = once.filter("item_id IS NULL").select("cell_id", F.col("own").alias("full"))
+    pairs = partial(once).join(whole, "cell_id", "left").withColumn("full", F.coalesce("full", F.lit(0)))
+    return pairs, whole
+
+
+def _rows(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    return pairs.select("cell_id", "item_id").unionByName(whole.select("cell_id", F.lit(None).cast("bigint").alias("item_id")))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells or items that either hits; full wins."""
-    both = a.unionByName(b).distinct()
-    return partial(both).join(full_cells(both), "cell_id", "left_anti").unionByName(both.filter("item_id IS NULL"))
+    pairs, whole = _marked(a, b)
+    return _rows(pairs.filter("full = 0"), whole)
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """What both hit."""
-    fa, fb, pa, pb = full_cells(a), full_cells(b), partial(a), partial(b)
-    return (
-        of_cells(fa.join(fb, "cell_id", "left_semi"))
-        .unionByName(pa.join(fb, "cell_id", "left_semi"))
-        .unionByName(pb.join(fa, "cell_id", "left_semi"))
-        .unionByName(pa.join(pb, ["cell_id", "item_id"], "left_semi"))
-    )
+    pairs, whole = _marked(a, b)
+    return _rows(pairs.filter("own | full = 3"), whole.filter("full = 3"))
+
+
+def _less(a: DataFrame, b: DataFrame, world: World, sides: tuple[int, ...]) -> DataFrame:
+    """What one of these sides hits and the other doesn't. A full cell of which the other hits items is spelt out but for them."""
+    pairs, whole = _marked(a, b)
+    wanted = ", ".join(map(str, sides))
+    alone = whole.filter(f"full IN ({wanted})")
+    met = pairs.filter(f"full IN ({wanted})")  # items of the other side
+    cut = met.select("cell_id").distinct()
+    spelt = world.cell_items.select("cell_id", "item_id").join(cut, "cell_id", "left_semi").join(met, ["cell_id", "item_id"], "left_anti")
+    return _rows(pairs.filter(f"full = 0 AND own IN ({wanted})"), alone.join(cut, "cell_id", "left_anti")).unionByName(spelt)
 
 
 def difference(a: DataFrame, b: DataFrame, world: World) -> DataFrame:
     """What a hits and b doesn't, cell by cell: an item of several cells can stay through one that b misses."""
-    fa, fb, pb = full_cells(a), full_cells(b), partial(b)
-    cut = world.cell_items.select("cell_id", "item_id").join(fa, "cell_id", "left_semi").join(cells_of(pb), "cell_id", "left_semi").join(pb, ["cell_id", "item_id"], "left_anti")
-    return (
-        of_cells(fa.join(cells_of(b), "cell_id", "left_anti"))
-        .unionByName(cut)
-        .unionByName(partial(a).join(fb, "cell_id", "left_anti").join(pb, ["cell_id", "item_id"], "left_anti"))
-    )
+    return _less(a, b, world, (LEFT,))
 
 
 def symmetric(a: DataFrame, b: DataFrame, world: World) -> DataFrame:
     """What exactly one of both hits."""
-    return difference(a, b, world).unionByName(difference(b, a, world))
+    return _less(a, b, world, (LEFT, RIGHT))
 
 
 def to_full(hits: DataFrame) -> DataFrame:
@@ -85,13 +108,18 @@ def flatten(hits: DataFrame, world: World) -> DataFrame:
 
 
 def listed(hits: DataFrame) -> DataFrame:
-    """A row per cell: cell_id, full_match, n_items (0 if full). For lists of items use rows: a cell may have any number."""
-    return hits.groupBy("cell_id").agg(F.max(F.col("item_id").isNull()).alias("full_match"), F.count("item_id").alias("n_items"))
+    """A row per cell: cell_id, full_match, own (listed items, 0 if full). For lists of items use rows: a cell may have any number."""
+    return hits.groupBy("cell_id").agg(F.max(F.col("item_id").isNull()).alias("full_match"), F.count("item_id").alias("own"))
+
+
+def counted(hits: DataFrame, world: World) -> DataFrame:
+    """A row per cell: cell_id, full_match, n (hit items, of a full cell all). The hits are read once."""
+    return listed(hits).join(world.table("cell_sizes"), "cell_id", "left").select(
+        "cell_id", "full_match", F.when(F.col("full_match"), F.coalesce("n_items", F.lit(0))).otherwise(F.col("own")).alias("n")
+    )
 
 
 def by_region(hits: DataFrame, world: World) -> DataFrame:
     """Roll-up along the hierarchy: region_id, cells hit, full cells, pairs of hit cell and item."""
-    sizes = pairs(hits, world).groupBy("cell_id").agg(F.count("*").alias("n"))
-    cells = listed(hits).join(sizes, "cell_id", "left")
     parents = world.cell_parents.select("cell_id", "region_id")
-    return parents.join(cells, "cell_id").groupBy("region_id").agg(F.count("*").alias("cells"), F.sum(F.col("full_match").cast("bigint")).alias("full_cells"), F.sum(F.coalesce("n", F.lit(0))).alias("pairs"))
+    return parents.join(counted(hits, world), "cell_id").groupBy("region_id").agg(F.count("*").alias("cells"), F.sum(F.col("full_match").cast("bigint")).alias("full_cells"), F.sum("n").alias("pairs"))

@@ -9,9 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.functions.geo import Rect, Shape, box_columns
+from terralex.functions.geo import Point, Rect, Shape, box_columns
 from terralex.functions.text import matches
-from terralex.sources.world import World
+from terralex.sources.world import PARTS, World, rings
 
 
 def lookup(world: World, *item_ids: int) -> DataFrame:
@@ -29,14 +29,16 @@ def all_tags(world: World) -> DataFrame:
 
 
 def geometry_text(world: World) -> DataFrame:
-    """item_id, wkt: points, ways and the boxes of regions as well-known text, to a thousandth of a degree. A way's vertices meet in one row."""
+    """item_id, wkt: points, ways and areas as well-known text, to a thousandth of a degree. A way's vertices meet in one row."""
     place = F.format_string("%.3f %.3f", "lon", "lat")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("place")))), lambda p: p["place"])
     lines = world.points.groupBy("item_id").agg(ordered.alias("places")).select(
         "item_id", F.concat(F.when(F.size("places") == 1, "POINT (").otherwise("LINESTRING ("), F.array_join("places", ", "), F.lit(")")).alias("wkt")
     )
-    corners = ("min_lon", "min_lat", "max_lon", "min_lat", "max_lon", "max_lat", "min_lon", "max_lat", "min_lon", "min_lat")
-    areas = world.regions.select(F.col("region_id").alias("item_id"), F.format_string(f"POLYGON (({', '.join(['%.3f %.3f'] * 5)}))", *corners).alias("wkt"))
+    closed = F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("place")))), lambda p: p["place"])
+    own = rings(world).groupBy("item_id", "ring").agg(closed.alias("places")).select("item_id", "ring", F.concat(F.lit("("), F.array_join(F.concat("places", F.slice("places", 1, 1)), ", "), F.lit(")")).alias("text"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("ring", "text"))), lambda r: r["text"])
+    areas = own.groupBy("item_id").agg(F.concat(F.lit("POLYGON ("), F.array_join(each, ", "), F.lit(")")).alias("wkt"))
     return lines.unionByName(areas)
 
 
@@ -47,8 +49,7 @@ def broken_tags(world: World) -> DataFrame:
 
 def boxes(world: World) -> DataFrame:
     """item_id and bounding box of every item with a shape."""
-    found = world.points.groupBy("item_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))
-    return found.unionByName(world.regions.select(F.col("region_id").alias("item_id"), *box_columns()))
+    return world.table("item_boxes")
 
 
 def boundary(world: World) -> DataFrame:
@@ -62,16 +63,41 @@ def segments(world: World) -> DataFrame:
     return world.points.withColumn("to_lat", F.lead("lat").over(order)).withColumn("to_lon", F.lead("lon").over(order)).filter("to_lat IS NOT NULL").select("item_id", "lat", "lon", "to_lat", "to_lon")
 
 
+def ring_segments(world: World, near: DataFrame | None = None) -> DataFrame:
+    """item_id, lat, lon, to_lat, to_lon of each segment of the rings of areas (of those in near), each ring closed."""
+    own = rings(world) if near is None else rings(world).join(near.select("item_id"), "item_id", "left_semi")
+    order = Window.partitionBy("item_id", "ring").orderBy("pos")
+    whole = Window.partitionBy("item_id", "ring").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
+    return own.withColumn("to_lat", following("lat")).withColumn("to_lon", following("lon")).select("item_id", "lat", "lon", "to_lat", "to_lon")
+
+
+def _held(segments_: DataFrame, point: Point) -> DataFrame:
+    """Areas whose rings lie an odd number of times east of the point."""
+    lat, lon = (f"CAST({float(x)!r} AS DOUBLE)" for x in point)
+    crossed = f"(lat <= {lat}) <> (to_lat <= {lat}) AND {lon} < lon + ({lat} - lat) * (to_lon - lon) / (to_lat - lat)"
+    return segments_.filter(crossed).groupBy("item_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("item_id")
+
+
+def holding(world: World, point: Point) -> DataFrame:
+    """Areas that hold the point."""
+    lat, lon = point
+    near = boxes(world).filter((F.col("min_lat") <= lat) & (F.lit(lat) <= F.col("max_lat")) & (F.col("min_lon") <= lon) & (F.lit(lon) <= F.col("max_lon")))
+    return _held(ring_segments(world, near), point)
+
+
 def meeting(world: World, shape: Shape, exact: bool = True) -> DataFrame:
-    """Items whose shape meets the query's; exact=False compares boxes of items. Boxes are tested first."""
+    """Items whose shape meets the query's; exact=False compares boxes of items. Boxes are tested first.
+
+    Exact: a vertex lies in the query, a segment of a way or ring crosses it, or an area holds all of the query, so its first vertex."""
     box = box_columns()
     near = boxes(world).filter(F.expr(shape.box.meets_box(box)))
     if not exact:
         return near.filter(F.expr(shape.meets_box(box))).select("item_id")
     lone = world.points.filter(F.expr(shape.contains("lat", "lon"))).select("item_id")
-    lines = segments(world).filter(F.expr(shape.meets_segment(("lat", "lon"), ("to_lat", "to_lon")))).select("item_id")
-    areas = world.regions.filter(F.expr(shape.meets_box(box))).select(F.col("region_id").alias("item_id"))
-    return lone.unionByName(lines).unionByName(areas).distinct()
+    around = ring_segments(world, near)
+    lines = segments(world).unionByName(around).filter(F.expr(shape.meets_segment(("lat", "lon"), ("to_lat", "to_lon")))).select("item_id")
+    return lone.unionByName(lines).unionByName(_held(around, shape.first)).distinct()
 
 
 def in_rect(world: World, rect: Rect, among: DataFrame | None = None) -> DataFrame:
@@ -81,8 +107,9 @@ def in_rect(world: World, rect: Rect, among: DataFrame | None = None) -> DataFra
 
 
 def with_value(world: World, query: str) -> DataFrame:
-    """Items with a tag whose value matches."""
-    return world.tags.filter(matches("v", query)).select("item_id").distinct()
+    """Items with a tag whose value matches. The dictionary holds each value once; only the parts of the index that its matches name are read."""
+    found = world.table("tag_values").filter(matches("low", query)).select("value_id", F.pmod("value_id", F.lit(PARTS)).cast("int").alias("part"))
+    return world.table("postings").join(found, ["part", "value_id"], "left_semi").select("item_id").distinct()
 
 
 def with_key(world: World, keys: Iterable[str]) -> DataFrame:
@@ -144,3 +171,17 @@ def of_phrases(world: World, *phrases: str) -> DataFrame:
     """Items whose tags any of the phrases stands for; case doesn't count."""
     named = world.phrases.filter(F.col("phrase").isin(*(p.lower() for p in phrases))).select("k", "v")
     return world.tags.join(named, ["k", "v"], "left_semi").select("item_id").distinct()
+
+
+def search(world: World, query: str) -> DataFrame:
+    """Items with a matching value, or whose tags the query as a phrase stands for, where the world has phrases."""
+    found = with_value(world, query)
+    return found if world.phrases is None else found.unionByName(of_phrases(world, query.strip('"?'))).distinct()
+
+
+def tag_stats(world: World) -> DataFrame:
+    """One row: nodes of the tag tree, roots, phrases and the tags that phrases stand for."""
+    nodes = tag_nodes(world).agg(F.count("*").alias("nodes"), F.count(F.when(F.col("parent_path").isNull(), 1)).alias("roots"))
+    if world.phrases is None:
+        return nodes.withColumn("phrases", F.lit(0).cast("bigint")).withColumn("mapped", F.lit(0).cast("bigint"))
+    return nodes.crossJoin(world.phrases.agg(F.countDistinct("phrase").alias("phrases"), F.countDistinct("k", "v").alias("mapped")))  # one row each

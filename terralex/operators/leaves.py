@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralex.functions.geo import Point, Polygon, Rect, Shape, box_columns, segment_meets_box
-from terralex.functions.text import matches
 from terralex.operators import hits, items
 from terralex.sources.world import World
 
@@ -21,7 +20,7 @@ LONG = 20  # a perimeter of so many diagonals counts by its length
 
 def text(world: World, query: str, scope: Literal["all", "items", "regions"] = "all") -> DataFrame:
     """Items by tag value as partial hits, regions by tag value as their full cells. An empty query hits nothing."""
-    found = world.tags.filter(matches("v", query) if query.strip('"?') else F.lit(False)).select("item_id").distinct()
+    found = items.with_value(world, query) if query.strip('"?') else world.items.select("item_id").limit(0)
     regions = world.regions.select(F.col("region_id").alias("item_id"))
     single = hits.of_pairs(world.cell_items.join(found.join(regions, "item_id", "left_anti"), "item_id", "left_semi"))
     whole = hits.of_cells(world.cell_parents.join(found.select(F.col("item_id").alias("region_id")), "region_id", "left_semi"))
@@ -44,8 +43,11 @@ def region_exclusive(world: World, region_id: int) -> DataFrame:
     return region(world, region_id).join(theirs, "cell_id", "left_anti")
 
 
-def cells(world: World, cell_ids: Iterable[int]) -> DataFrame:
-    return hits.of_cells(world.cells.filter(F.col("cell_id").isin(*cell_ids)))
+def cells(world: World, cell_ids: Iterable[int] | DataFrame) -> DataFrame:
+    """Cells by id: a few, or a table of any size with a cell_id."""
+    if not isinstance(cell_ids, DataFrame):
+        return hits.of_cells(world.cells.filter(F.col("cell_id").isin(*cell_ids)))
+    return hits.of_cells(world.cells.join(cell_ids.select("cell_id"), "cell_id", "left_semi"))
 
 
 def cell_at(world: World, lat: float, lon: float) -> DataFrame:
@@ -99,7 +101,7 @@ def point(world: World, lat: float, lon: float, radius: float = 0.0, accuracy: A
     """With a radius the square around; else the polygons of the place's cell that hold the place."""
     if radius > 0:
         return area(world, Rect.square((lat, lon), radius), accuracy)
-    holds = world.regions.filter((F.col("min_lat") <= lat) & (F.lit(lat) <= F.col("max_lat")) & (F.col("min_lon") <= lon) & (F.lit(lon) <= F.col("max_lon"))).select(F.col("region_id").alias("item_id"))
+    holds = items.holding(world, (lat, lon))
     return hits.of_pairs(world.cell_items.join(hits.cells_of(cell_at(world, lat, lon)), "cell_id", "left_semi").join(holds, "item_id", "left_semi"))
 
 
@@ -135,8 +137,8 @@ def no_route(world: World, begin: Point, end: Point, flags: int = 0, radius: flo
     return cells(world, []).limit(0)
 
 
-def from_cells(find: Callable[[Point, Point, int, float], Iterable[int]]) -> Router:
-    """A router that gives a list of cells."""
+def from_cells(find: Callable[[Point, Point, int, float], Iterable[int] | DataFrame]) -> Router:
+    """A router that gives a list or a table of cells."""
     return lambda world, begin, end, flags=0, radius=0.0: cells(world, find(begin, end, flags, radius))
 
 

@@ -6,10 +6,27 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralex.sources.world import World
+from terralex.sources.scratch import exists, new_path
+from terralex.sources.world import DERIVED, World
 
 SOURCES = ("region", "nation", "customer", "supplier", "orders")
 
+#: A region's ring in its box, latitude and longitude: five corners, in the order in which longitude runs ahead of latitude.
+HIGH, WIDE = "(max_lat-min_lat)", "(max_lon-min_lon)"
+RING = [
+    ("min_lat", f"min_lon+CAST(0.2 AS DOUBLE)*{WIDE}"),
+    (f"min_lat+CAST(0.3 AS DOUBLE)*{HIGH}", "min_lon"),
+    ("max_lat", f"min_lon+CAST(0.5 AS DOUBLE)*{WIDE}"),
+    (f"min_lat+CAST(0.6 AS DOUBLE)*{HIGH}", "max_lon"),
+    ("min_lat", "max_lon"),
+]
+#: A cell's border in its box: a triangle, obtuse in every other cell.
+BORDER = [
+    ("min_lat", "min_lon"),
+    ("max_lat", f"min_lon+CASE WHEN cell_id%2=0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END*{WIDE}"),
+    (f"min_lat+CASE WHEN cell_id%2=0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END*{HIGH}", f"min_lon+CASE WHEN cell_id%2=0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END*{WIDE}"),
+]
+
 VIEWS = {
     "fx_item": """
         SELECT CAST(r_regionkey AS BIGINT) AS item_id, 3 AS osm_type, TRUE AS is_region, 'POLYGON' AS shape, 0 AS score FROM region
@@ -25,6 +42,8 @@ VIEWS = {
     "fx_region": """
         SELECT CAST(r_regionkey AS BIGINT) AS region_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS name, CAST(-25.0+10*r_regionkey AS DOUBLE) AS min_lat, CAST(-15.0+10*r_regionkey AS DOUBLE) AS max_lat, CAST(-25.0 AS DOUBLE) AS min_lon, CAST(25.0 AS DOUBLE) AS max_lon FROM region
         UNION ALL SELECT CAST(5+n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT), n_name, CAST(-25.0+10*(n_nationkey%5) AS DOUBLE), CAST(-15.0+10*(n_nationkey%5) AS DOUBLE), CAST(-25.0+10*FLOOR(n_nationkey/5.0) AS DOUBLE), CAST(-15.0+10*FLOOR(n_nationkey/5.0) AS DOUBLE) FROM nation""",
+    "fx_outline": " UNION ALL ".join(f"SELECT region_id AS item_id, 0 AS ring, {k} AS pos, {lat} AS lat, {lon} AS lon FROM fx_region" for k, (lat, lon) in enumerate(RING)),
+    "fx_border": " UNION ALL ".join(f"SELECT cell_id, {k} AS pos, {lat} AS lat, {lon} AS lon FROM fx_cell" for k, (lat, lon) in enumerate(BORDER)),
     "fx_grid": """
         SELECT CAST(n_nationkey*16+g.gx*4+g.gy AS BIGINT) AS cell_id, n_nationkey, CAST(-25.0+10*(n_nationkey%5)+2.5*g.gx AS DOUBLE) AS min_lat, CAST(-25.0+10*FLOOR(n_nationkey/5.0)+2.5*g.gy AS DOUBLE) AS min_lon FROM nation CROSS JOIN (SELECT x.v AS gx,y.v AS gy FROM (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) y) g""",
     "fx_cell": """
@@ -78,23 +97,31 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {sources}, {text[5:]}")
 
 
-NAMES = {"items": "item", "points": "point", "regions": "region", "cells": "cell", "cell_edges": "cell_edge", "cell_parents": "cell_parent", "cell_items": "cell_item", "tags": "tag"}
+NAMES = {
+    "items": "item", "points": "point", "regions": "region", "cells": "cell", "cell_edges": "cell_edge", "cell_parents": "cell_parent", "cell_items": "cell_item", "tags": "tag",
+    "phrases": "phrase", "outlines": "outline", "borders": "border",
+}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 class FixtureWorld(World):
-    """A world whose tables are planned when they are first used."""
+    """A world whose tables are written when they are first used, once in an application, and then read as those of any world."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.__dict__["source"] = spark, sf_dir
 
-    def __getattr__(self, name: str) -> DataFrame:
-        if name not in NAMES:
-            raise AttributeError(name)
-        return self.__dict__.setdefault(name, view(*self.source, f"fx_{NAMES[name]}"))
-
-    @property
-    def phrases(self) -> DataFrame:
-        return view(*self.source, "fx_phrase")
+    def __getattribute__(self, name: str):
+        return FixtureWorld._stored_table(self, name) if name in NAMES or name in DERIVED else super().__getattribute__(name)
+
+    def _stored_table(self, name: str) -> DataFrame:
+        spark, sf_dir = self.source
+        key = spark.sparkContext.applicationId, sf_dir, name
+        if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
+            table = DERIVED[name](self) if name in DERIVED else view(spark, sf_dir, f"fx_{NAMES[name]}")
+            path = new_path(spark, f"world-{name}")
+            table.write.partitionBy(*["part"] * (name == "postings")).parquet(path)
+            _stored[key] = path
+        return spark.read.parquet(_stored[key])
 
 
 def world(spark: SparkSession, sf_dir: str) -> World:

@@ -5,11 +5,19 @@ items          item_id, osm_type, is_region, shape (POINT, WAY, POLYGON), score
 points         item_id, pos, lat, lon: vertices of points and ways
 regions        region_id (an item's id too), parent_id, name, min_lat, max_lat, min_lon, max_lon
 cells          cell_id, min_lat, max_lat, min_lon, max_lon
+outlines       item_id, ring, pos, lat, lon: vertices of the rings of areas and regions; what an odd number of rings holds is
+               inside, so a hole is one more ring. A region without rings is its box (optional)
+borders        cell_id, pos, lat, lon: vertices of a cell's border; a cell without any has the corners of its box (optional)
 cell_edges     src, dst: neighbours, both ways
 cell_parents   cell_id, region_id, direct: closure of the hierarchy, distinct
 cell_items     cell_id, item_id: distinct
 tags           item_id, k, v: a key may repeat
-phrases        phrase, k, v
+phrases        phrase, k, v (optional)
+item_boxes     item_id, min_lat, max_lat, min_lon, max_lon (these and the next ones follow from the others, and are written with them)
+cell_sizes     cell_id, n_items
+region_sizes   region_id, cells, pairs, items
+tag_values     value_id, v, low: the dictionary of values
+postings       part, value_id, item_id: the text index
 =============  =====================================================================================
 """
 
@@ -21,6 +29,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parts of the text index; which one holds a value follows from the value's number.
+PARTS = 32
+OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "cell_sizes", "region_sizes", "tag_values", "postings")
+
+
+def rings(world: World) -> DataFrame:
+    """item_id, ring, pos, lat, lon of all areas; regions without rings as their boxes."""
+    ids = world.regions.select(F.col("region_id").alias("item_id"), "min_lat", "max_lat", "min_lon", "max_lon")
+    if world.outlines is not None:
+        ids = ids.join(world.outlines.select("item_id").distinct(), "item_id", "left_anti")
+    corners = [("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon")]
+    boxes = ids.select("item_id", F.lit(0).alias("ring"), F.posexplode(F.array(*(F.struct(F.col(a).alias("lat"), F.col(o).alias("lon")) for a, o in corners))).alias("pos", "p")).select("item_id", "ring", "pos", "p.lat", "p.lon")
+    return boxes if world.outlines is None else world.outlines.select("item_id", "ring", "pos", "lat", "lon").unionByName(boxes)
+
+
+def cell_borders(world: World) -> DataFrame:
+    """cell_id, pos, lat, lon; cells without a border as their boxes."""
+    ids = world.cells if world.borders is None else world.cells.join(world.borders.select("cell_id").distinct(), "cell_id", "left_anti")
+    corners = [("min_lat", "min_lon"), ("min_lat", "max_lon"), ("max_lat", "max_lon"), ("max_lat", "min_lon")]
+    boxes = ids.select("cell_id", F.posexplode(F.array(*(F.struct(F.col(a).alias("lat"), F.col(o).alias("lon")) for a, o in corners))).alias("pos", "p")).select("cell_id", "pos", "p.lat", "p.lon")
+    return boxes if world.borders is None else world.borders.select("cell_id", "pos", "lat", "lon").unionByName(boxes)
+
+
+def _item_boxes(world: World) -> DataFrame:
+    vertices = world.points.select("item_id", "lat", "lon").unionByName(rings(world).select("item_id", "lat", "lon"))
+    return vertices.groupBy("item_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))
+
+
+def _cell_sizes(world: World) -> DataFrame:
+    return world.cell_items.groupBy("cell_id").agg(F.count("*").alias("n_items"))
+
+
+def _region_sizes(world: World) -> DataFrame:
+    """region_id, cells, pairs (of a cell and an item), items (different ones)."""
+    parents = world.cell_parents.select("cell_id", "region_id")
+    cells = parents.join(world.table("cell_sizes"), "cell_id", "left").groupBy("region_id").agg(F.count("*").alias("cells"), F.sum(F.coalesce("n_items", F.lit(0))).alias("pairs"))
+    items = parents.join(world.cell_items, "cell_id").select("region_id", "item_id").distinct().groupBy("region_id").agg(F.count("*").alias("items"))
+    return cells.join(items, "region_id", "left").select("region_id", "cells", "pairs", F.coalesce("items", F.lit(0)).alias("items"))
+
+
+def _tag_values(world: World) -> DataFrame:
+    """value_id, v, low (in lower case): each value once, sorted, so that readers skip what can't match."""
+    return world.tags.filter("v IS NOT NULL").select("v").distinct().select(F.xxhash64("v").alias("value_id"), "v", F.lower("v").alias("low")).sort("low")
+
+
+def _postings(world: World) -> DataFrame:
+    """part, value_id, item_id: the items of a value, in the part of the value."""
+    pairs = world.tags.filter("v IS NOT NULL").select(F.xxhash64("v").alias("value_id"), "item_id").distinct()
+    return pairs.withColumn("part", F.pmod("value_id", F.lit(PARTS)).cast("int")).repartition("part").sortWithinPartitions("part", "value_id", "item_id")
+
+
+#: Tables that follow from others, in an order in which they can be made.
+DERIVED = {"item_boxes": _item_boxes, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings}
+
+
 @dataclass(frozen=True)
 class World:
     items: DataFrame
@@ -32,13 +95,20 @@ class World:
     cell_items: DataFrame
     tags: DataFrame
     phrases: DataFrame | None = None
+    outlines: DataFrame | None = None
+    borders: DataFrame | None = None
+    item_boxes: DataFrame | None = None
+    cell_sizes: DataFrame | None = None
+    region_sizes: DataFrame | None = None
+    tag_values: DataFrame | None = None
+    postings: DataFrame | None = None
 
     @classmethod
     def names(cls) -> list[str]:
         return [f.name for f in fields(cls)]
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, optional: tuple[str, ...] = ("phrases",)) -> World:
+    def load(cls, spark: SparkSession, folder: str, optional: tuple[str, ...] = OPTIONAL) -> World:
         """Tables of a folder. A missing table fails, unless it is optional."""
         found = {}
         for name in cls.names():
@@ -50,9 +120,16 @@ class World:
         return cls(**found)
 
     def write(self, folder: str, mode: str = "errorifexists") -> None:
+        """All tables, also those that follow from others."""
         for name in self.names():
-            if (table := getattr(self, name)) is not None:
-                table.write.mode(mode).parquet(f"{folder}/{name}")
+            if (table := self.table(name)) is not None:
+                by = ["part"] if name == "postings" else []
+                table.write.mode(mode).partitionBy(*by).parquet(f"{folder}/{name}")
+
+    def table(self, name: str) -> DataFrame | None:
+        """A table; one that follows from others is planned where it isn't stored."""
+        found = getattr(self, name)
+        return DERIVED[name](self) if found is None and name in DERIVED else found
 
     def views(self, prefix: str = "") -> None:
         for name in self.names():
