@@ -9,7 +9,7 @@
    bytes, so many that each stays that small; their strings can be equal in whole or in part.
    An anchor with over ``HOT`` contexts is hot: its strings are dealt one by one, by their own hash, so no task
    holds a hot anchor; of equal strings in a slice only the earliest is dealt.
-3. Shards: a bucket is cut into shards of ``SHARD`` bytes. A suffix array by Larsson-Sadakane refinement (only
+3. Shards: a bucket's contexts, those with equal bytes once, are cut into shards of ``SHARD`` bytes. A suffix array by Larsson-Sadakane refinement (only
    groups that aren't sorted yet are sorted again, by the rank half way), Kasai's common prefixes over neighbours,
    and the earliest start of each run of suffixes that share ``LENGTH`` bytes. Shards of a bucket are
    merged by binary search of one's strings in the other's suffix array. All repeats that a batch
@@ -425,26 +425,46 @@ def _runs(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, last: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "mark", "from", "to"])
 
 
+def _distinct(contexts: np.ndarray, data: bytes, known: dict[bytes, int], at: int) -> np.ndarray:
+    """A number for each context, equal for those with equal bytes, also among known ones, which begin at ``at``."""
+    sizes = contexts["count"].astype(np.int64) + LENGTH - 1
+    stops = np.cumsum(sizes).tolist()
+    return np.array([known.setdefault(data[x:y], k) for k, (x, y) in enumerate(zip([0, *stops], stops), at)], np.int64)
+
+
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Contexts with equal bytes are sorted once, as the earliest of them; all of a later one's strings repeat."""
     for _, (blobs, texts) in _by_bucket(batches, "contexts", "bytes"):
-        made, held, size = [], [], 0
+        filled, numbers, pieces, at = [], [], {}, 0
         for blob, text in zip(blobs, texts):
+            own = np.frombuffer(blob, CONTEXT)
             if text is None:
-                known = np.frombuffer(blob, CONTEXT)
-                at = known["at"].astype(np.int64)
-                yield _runs(known["doc"], known["mark"].astype(np.int64), at, at)
+                start = own["at"].astype(np.int64)
+                yield _runs(own["doc"], own["mark"].astype(np.int64), start, start)
                 continue
-            held.append((np.frombuffer(blob, CONTEXT), text))
-            size += len(text)
-            if size >= limit:
-                made.append(Part(np.concatenate([c for c, _ in held]), b"".join(t for _, t in held)))
-                held, size = [], 0
-        if held:
-            made.append(Part(np.concatenate([c for c, _ in held]), b"".join(t for _, t in held)))
+            numbers.append(_distinct(own, text, pieces, at))
+            filled.append(own)
+            at += len(own)
+        if not filled:
+            continue
+        contexts, numbers = np.concatenate(filled), np.concatenate(numbers)
+        order = np.lexsort((contexts["at"], contexts["mark"], contexts["doc"], numbers))
+        new = np.ones(len(order), bool)
+        new[1:] = numbers[order][1:] != numbers[order][:-1]
+        heads = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        again = order[(contexts[order] != contexts[heads])]
+        start = contexts["at"][again].astype(np.int64)
+        yield _runs(contexts["doc"][again], contexts["mark"][again].astype(np.int64), start, start + contexts["count"][again] - 1)
+        firsts, texts = contexts[order[new]], list(pieces)  # both by number
+        sizes, made = np.cumsum(firsts["count"].astype(np.int64) + LENGTH - 1), []
+        cuts = [0, *np.searchsorted(sizes, np.arange(limit, sizes[-1], limit)).tolist(), len(firsts)]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                made.append(Part(firsts[a:z], b"".join(texts[a:z])))
         _merge(made)
         for part in made:
-            at = part.at[part.repeats]
-            yield _runs(part.doc[part.repeats], part.mark[part.repeats].astype(np.int64), at, at)
+            start = part.at[part.repeats]
+            yield _runs(part.doc[part.repeats], part.mark[part.repeats].astype(np.int64), start, start)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
