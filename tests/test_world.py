@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terralex.functions.circles import min_annulus, min_circle
 from terralex.functions.geo import Polygon, Rect, hull, segment_meets_box
-from terralex.operators import coverage, hits, items, leaves
+from terralex.functions.geo import distance as geo_distance
+from terralex.operators import coverage, distance, hits, items, leaves
 from terralex.sources.world import World, read_phrases, validate
 
 
@@ -37,12 +40,88 @@ def test_write_and_load(spark, small, tmp_path):
     small.write(str(tmp_path / "world"))
     again = World.load(spark, str(tmp_path / "world"))
     assert again.phrases is None
-    for name in World.names()[:-1]:
+    for name in World.names()[:8]:
         assert sorted(map(repr, getattr(again, name).collect())) == sorted(map(repr, getattr(small, name).collect()))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         World.load(spark, str(tmp_path / "nowhere"))
 
 
+def test_what_follows_is_written_too(spark, small, tmp_path):
+    small.write(str(tmp_path / "world"))
+    again = World.load(spark, str(tmp_path / "world"))
+    assert {(r.region_id, r.cells, r.pairs, r["items"]) for r in again.region_sizes.collect()} == {(1, 4, 4, 3), (2, 2, 3, 3), (3, 2, 1, 1)}
+    assert {(r.cell_id, r.n_items) for r in again.cell_sizes.collect()} == {(0, 1), (1, 2), (2, 1)}
+    assert {r.low for r in again.tag_values.collect()} == {"cafe", "bar", "cafe road", "west cafe"}
+    plan = items.with_value(again, "cafe?")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "StartsWith(low,cafe)" in plan
+    assert sorted(r.item_id for r in items.with_value(again, "cafe?").collect()) == [10, 12]
+
+
+@pytest.fixture(scope="module")
+def shaped(spark, small):
+    """The small world with an area that has a hole, an island in it, and a region with a ring of its own."""
+    square = lambda a, b: [(a, a), (a, b), (b, b), (b, a)]
+    rings = [(20, 0, square(20.0, 30.0)), (20, 1, square(22.0, 28.0)), (20, 2, square(24.0, 26.0)), (3, 0, [(0.0, 2.0), (0.0, 4.0), (1.0, 4.0)])]
+    outlines = spark.createDataFrame([(i, r, k, *p) for i, r, points in rings for k, p in enumerate(points)], "item_id long, ring int, pos int, lat double, lon double")
+    return World(**{n: getattr(small, n) for n in World.names()} | {"outlines": outlines, "items": small.items.unionByName(spark.createDataFrame([(20, 2, False, "POLYGON", 1)], small.items.schema))})
+
+
+def test_areas_with_holes(shaped):
+    held = lambda lat, lon: sorted(r.item_id for r in items.holding(shaped, (lat, lon)).collect())
+    assert held(21.0, 25.0) == [20] and held(23.0, 25.0) == [] and held(25.0, 25.0) == [20] and held(40.0, 25.0) == []
+    assert held(0.2, 3.5) == [1, 3] and held(0.9, 2.2) == [1]  # the box of region 3 holds both, its ring one
+    met = lambda *box: 20 in {r.item_id for r in items.meeting(shaped, Rect(*box)).collect()}
+    assert met(21, 21.5, 24, 25) and not met(22.5, 23.5, 23, 25) and met(24.5, 25.5, 24.5, 25.5) and met(10, 40, 10, 40) and met(19, 20, 19, 20)
+    whole = {r.item_id for r in items.meeting(shaped, Polygon(((21.0, 21.0), (21.0, 21.5), (21.5, 21.2)))).collect()}
+    assert whole == {20}  # it lies inside, no vertex and no segment meets it
+    text = {r.item_id: r.wkt for r in items.geometry_text(shaped).collect()}
+    assert text[20].count("(") == 4 and text[3] == "POLYGON ((2.000 0.000, 4.000 0.000, 4.000 1.000, 2.000 0.000))"
+
+
+def test_smallest_circles_and_annuli():
+    r = np.random.default_rng(0)
+    area = lambda c, p: (lambda q: q.max() - q.min())(((p - c) ** 2).sum(axis=1))
+    for n in (1, 2, 3, 4, 6, 25):
+        points = r.uniform(0, 1, (n, 2))
+        centre, ring = min_circle(points), min_annulus(points)
+        for step in r.normal(0, 1e-2, (80, 2)):
+            assert np.hypot(*(points - centre - step).T).max() >= np.hypot(*(points - centre).T).max() - 1e-9
+            assert n < 3 or area(ring + step, points) >= area(ring, points) - 1e-7
+    assert min_circle(np.array([[0.0, 0.0], [0.0, 2.0], [0.0, 1.0]])).tolist() == [0.0, 1.0] == min_annulus(np.array([[0.0, 0.0], [0.0, 2.0], [0.0, 1.0]])).tolist()
+
+
+def test_metrics_differ(small, spark):
+    borders = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 1.0, 1.0), (0, 2, 0.3, 0.9)], "cell_id long, pos int, lat double, lon double")
+    world = World(**{n: getattr(small, n) for n in World.names()} | {"borders": borders})
+    found = {m: {r.cell_id: r for r in distance.discs(world, m).collect()} for m in ("center", "sphere", "min_sphere", "annulus")}
+    assert len({round(f[0].radius) for f in found.values()}) == 4
+    assert abs(found["annulus"][0].radius - found["annulus"][0].inner) < 50 < found["sphere"][0].radius - found["sphere"][0].inner
+    assert found["min_sphere"][0].radius < found["annulus"][0].radius and found["min_sphere"][1].radius > 0
+
+
+def test_near_cells_of_very_different_sizes(spark):
+    """All pairs, also of small cells beside a huge one, against plain arithmetic."""
+    r = random.Random(3)
+    cells = [(i, r.uniform(-80, 80), r.uniform(-180, 180), r.choice([0.0, 500.0, 3e4, 9e5]), 0.0) for i in range(150)] + [(900, 0.0, 179.9, 5e6, 0.0), (901, 0.0, -179.9, 10.0, 0.0)]
+    discs = spark.createDataFrame(cells, "cell_id long, lat double, lon double, radius double, inner double")
+    near = discs.filter("cell_id % 3 = 0")
+    gap = lambda a, b: max(0.0, geo_distance((a[1], a[2]), (b[1], b[2])) - a[3] - b[3])
+    want = {(a[0], b[0]) for a in cells for b in cells if a[0] % 3 == 0 and a[0] != b[0] and gap(a, b) <= 400_000}
+    got = [(x.a, x.b) for x in distance.within(near, discs, 400_000.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_shapes_between():
+    a, b = Rect(0, 1, 0, 1), Rect(10, 12, 0, 2)
+    assert coverage.between_boxes(a, b).points == ((0.5, 0), (11, 0), (11, 2), (0.5, 1))
+    assert coverage.between_boxes(Rect(0, 1, 0, 1), Rect(10, 11, 10, 11)).points == ((1, 0), (11, 10), (10, 11), (0, 1))
+    assert coverage.box_to_point(a, (0.5, 9.0)).points == ((1, 0.5), (1, 1), (0.5, 9.0), (0, 1), (0, 0.5))
+    assert set(coverage.box_to_point(a, (-8.0, -8.0)).points) == {(1, 0), (0, 1), (-8.0, -8.0)}
+    way = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]
+    assert set(coverage.between_shapes(way, [(5.0, 5.0)]).points) <= {*way, (5.0, 5.0)} and len(coverage.between_shapes([(0.0, 0.0)], [(1.0, 1.0)]).points) == 4
+    assert set(coverage.between_shapes(way, a).points) <= {*way, *a.corners}
+
+
 def test_validate_counts_what_is_broken(spark, small):
     assert {r.violations for r in validate(small).collect()} == {0}
     broken = World(**{n: getattr(small, n) for n in World.names()} | {"cell_items": small.cell_items.unionByName(spark.createDataFrame([(0, 10), (77, 10), (0, 99)], "cell_id long, item_id long"))})
