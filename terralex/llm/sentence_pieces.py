@@ -40,6 +40,7 @@ from terralex.llm.common import text_of, written
 MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 700_000
 OFFSET, GRAIN = 100, 1 << 20
 SPACE = "▁"
+_FIRST = itemgetter(0)
 NEVER = float("-inf")
 #: What lies between two places where every path has an edge.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -63,15 +64,16 @@ def graded(score: float) -> float:
 
 
 class Words(dict):
-    """Best paths of words: a new one is worked out, and kept if it is short; emptied when full."""
+    """Best paths of words as (sum, ids in little-endian 32 bits, decoded bytes): a new one is worked out, and kept if it is short; emptied when full."""
 
-    def __init__(self, path: Callable[[str], tuple]):
-        self.path = path
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
 
-    def __missing__(self, text: str) -> tuple[float, tuple]:
+    def __missing__(self, text: str) -> tuple[float, bytes, bytes]:
         if len(self) >= CACHE:
             self.clear()
-        found = self.path(text)
+        score, ids = self.vocabulary.path(text)
+        found = score, np.array(ids, "<i4").tobytes(), self.vocabulary.decode(ids)
         if len(text) <= 48:
             self[text] = found
         return found
@@ -102,7 +104,7 @@ class Vocabulary:
         self.found.make_automaton()
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.parts_at_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
-        self.words = Words(self.path)
+        self.words = Words(self)
 
     def steps(self, text: str, at: int) -> Iterator[tuple[int, float]]:
         """(end, score) of the pieces that begin here; a character that is no piece as an unknown one."""
@@ -135,13 +137,19 @@ class Vocabulary:
             end = at
         return best[n], tuple(reversed(ids))
 
-    def encode(self, text: str) -> tuple[float, list[int]]:
-        """Sum and ids of a stretch of text with edges at both ends."""
-        score, ids = 0.0, []
-        for own in map(self.words.__getitem__, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)):
-            score += own[0]
-            ids += own[1]
-        return score, ids
+    def _words(self, text: str) -> list[tuple]:
+        return list(map(self.words.__getitem__, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)))
+
+    def encode(self, text: str) -> tuple[float, bytes, bytes]:
+        """Sum, ids and decoded bytes of a stretch of text with edges at both ends."""
+        if not text:
+            return 0.0, b"", b""
+        scores, ids, raw = zip(*self._words(text))
+        return sum(scores), b"".join(ids), b"".join(raw)
+
+    def worth(self, text: str) -> float:
+        """The sum alone."""
+        return sum(map(_FIRST, self._words(text)), 0.0)
 
     def matrix(self, text: str, size: int) -> np.ndarray:
         """State x state: best sums over a chunk of ``size`` characters; text also holds what pieces may reach behind it."""
@@ -153,9 +161,7 @@ class Vocabulary:
         first, last = self._edge(text, n, size, text.find), self._edge(text, n, size, text.rfind)
         if first < 0:
             return packed(self._sweep(text, 0, size)), None
-        head = self._sweep(text, 0, first)[:, 0]
-        tail = self._sweep(text, last, size)[0]
-        return packed(head + self.encode(text[first:last])[0], tail), text[:first]
+        return packed(self._head(text, first) + self.worth(text[first:last]), self._tail(text, last, size)), text[:first]
 
     def origins(self, text: str, size: int, sums: np.ndarray, meet: bool) -> np.ndarray:
         """For each state behind a chunk of ``size`` characters the state in front of it on the path that counts; -1: no path. sums: best sums up to the states in front.
@@ -185,6 +191,22 @@ class Vocabulary:
             least, most = (at + 1, most) if find == text.find else (least, at - 1)
         return -1
 
+    def _head(self, text: str, first: int) -> np.ndarray:
+        """Best sums from each state in front to a place where all paths meet."""
+        best = [NEVER] * first + [0.0]
+        for at in range(first - 1, -1, -1):
+            best[at] = max((score + best[stop] for stop, score in self.steps(text, at) if stop <= first), default=NEVER)
+        return np.array(best[: self.longest])
+
+    def _tail(self, text: str, last: int, size: int) -> np.ndarray:
+        """Best sums from a place where all paths meet to each state behind."""
+        best = [0.0] + [NEVER] * (size - last + self.longest)
+        for at in range(size - last):
+            if best[at] > NEVER:
+                for stop, score in self.steps(text, last + at):
+                    best[stop - last] = max(best[stop - last], best[at] + score)
+        return np.array(best[size - last : size - last + self.longest])
+
     def _sweep(self, text: str, begin: int, end: int) -> np.ndarray:
         """Best sums from begin + i to end + j by pieces that begin before end."""
         n = self.longest
@@ -267,8 +289,8 @@ def _small(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordB
         rows = []
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
             own = prepared(text)
-            score, ids = v.encode(own)
-            rows.append((doc, mark, 0, len(own), score, np.array(ids, "<i4").tobytes(), v.decode(ids)[1:] == text.encode()))
+            score, ids, raw = v.encode(own)
+            rows.append((doc, mark, 0, len(own), score, ids, raw[1:] == text.encode()))
         yield _rows(rows)
 
 
@@ -370,8 +392,8 @@ def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
         rows = []
         for doc, mark, chunk, odd, n, body, begin, end in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "chunk", "odd", "n", "body", "begin", "end"))):
             own = body[begin : n + end]
-            score, ids = v.encode(own)
-            rows.append((doc, mark, chunk, len(own), score, np.array(ids, "<i4").tobytes(), not odd and v.decode(ids) == own.replace(SPACE, " ").encode()))
+            score, ids, raw = v.encode(own)
+            rows.append((doc, mark, chunk, len(own), score, ids, not odd and raw == own.replace(SPACE, " ").encode()))
         yield _rows(rows)
 
 
