@@ -25,12 +25,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from heapq import merge
+from itertools import groupby
 from math import isqrt, log
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +58,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return values.reshape(isqrt(len(values)), -1)
 
 
+def tree_of(pieces: dict[str, tuple[int, float]]) -> dict:
+    """character -> (the same behind it, score, id); the id of what is no piece is -1."""
+    inner: dict = {"": {}}
+    for p in sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)}):
+        i, score = pieces.get(p, (-1, NEVER))
+        inner[p] = {}
+        inner[p[:-1]][p[-1]] = inner[p], score, i
+    return inner[""]
+
+
 def graded(score: float) -> float:
     return round(score * GRAIN) / GRAIN
 
@@ -72,8 +81,7 @@ class Words(dict):
     def __missing__(self, text: str) -> tuple[float, bytes, bytes]:
         if len(self) >= CACHE:
             self.clear()
-        score, ids = self.vocabulary.path(text)
-        found = score, np.array(ids, "<i4").tobytes(), self.vocabulary.decode(ids)
+        found = self.vocabulary.coded(text)
         if len(text) <= 48:
             self[text] = found
         return found
@@ -83,7 +91,6 @@ class Vocabulary:
     """Pieces, scores, and best paths."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -98,44 +105,51 @@ class Vocabulary:
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         self.longest = max(map(len, self.pieces))
         self.single = {p for p in self.pieces if len(p) == 1}
-        self.found = ahocorasick.Automaton()
-        for p, (i, score) in self.pieces.items():
-            self.found.add_word(p, (len(p), score, i))
-        self.found.make_automaton()
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.coded_ids = [i.to_bytes(4, "little") for i in range(len(names))]
+        self.tree = tree_of(self.pieces)
         self.parts_at_spaces = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
         self.words = Words(self)
 
     def steps(self, text: str, at: int) -> Iterator[tuple[int, float]]:
         """(end, score) of the pieces that begin here; a character that is no piece as an unknown one."""
-        pieces, starts, single = self.pieces, self.starts, False
-        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            part = text[at:end]
-            if part not in starts:
+        node, end = self.tree, at
+        for c in text[at : at + self.longest]:
+            if (found := node.get(c)) is None:
                 break
-            if (found := pieces.get(part)) is not None:
-                single |= end == at + 1
-                yield end, found[1]
-        if not single:
+            node, score, i = found
+            end += 1
+            if i >= 0:
+                yield end, score
+        if text[at] not in self.single:
             yield at + 1, self.unknown
 
-    def path(self, text: str) -> tuple[float, tuple]:
+    def path(self, text: str) -> tuple[float, list[int]]:
         """Best path from the text's begin to its end: sum and ids."""
-        n = len(text)
+        n, tree, single, unknown, longest = len(text), self.tree, self.single, self.unknown, self.longest
         best, back = [0.0] + [NEVER] * n, [None] * (n + 1)
-        found = self.found.iter(text)  # by last character, the longest first
-        if not self.single.issuperset(text):
-            found = merge(found, ((k, (1, self.unknown, -1)) for k, c in enumerate(text) if c not in self.single), key=itemgetter(0))
-        for last, (size, score, i) in found:
-            at = last + 1 - size
-            if (score := best[at] + score) > best[last + 1]:
-                best[last + 1], back[last + 1] = score, (at, i)
+        for at in range(n):
+            sum_, node, end = best[at], tree, at
+            for c in text[at : at + longest]:
+                if (found := node.get(c)) is None:
+                    break
+                node, score, i = found
+                end += 1
+                if i >= 0 and sum_ + score > best[end]:
+                    best[end], back[end] = sum_ + score, (at, i)
+            if text[at] not in single and sum_ + unknown > best[at + 1]:
+                best[at + 1], back[at + 1] = sum_ + unknown, (at, -1)
         ids, end = [], n
         while end:
             at, i = back[end]
             ids += (i,) if i >= 0 else [self.bytes[b] for b in reversed(text[at:end].encode())]
             end = at
-        return best[n], tuple(reversed(ids))
+        ids.reverse()
+        return best[n], ids
+
+    def coded(self, text: str) -> tuple[float, bytes, bytes]:
+        """The same with ids in little-endian 32 bits, and the decoded bytes."""
+        score, ids = self.path(text)
+        return score, b"".join(map(self.coded_ids.__getitem__, ids)), self.decode(ids)
 
     def _words(self, text: str) -> list[tuple]:
         return list(map(self.words.__getitem__, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)))
@@ -295,12 +309,31 @@ def _small(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordB
 
 
 CODED = "doc_id long, mark long, chunk int, n long, score double, ids binary, exact boolean"
-_NAMES = [x.split()[0] for x in CODED.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.bool_()]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _rows(rows: list[tuple], schema: str = CODED) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], list(names))
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)], _NAMES)
+def _by_key(batches: Iterator[pa.RecordBatch], keys: int, function: Callable[[list], list], schema: str) -> Iterator[pa.RecordBatch]:
+    found = []
+    for _, group in groupby((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:keys]):
+        found += function(list(group))
+        if len(found) >= 256:
+            yield _rows(found, schema)
+            found = []
+    yield _rows(found, schema)
+
+
+def _grouped(df: DataFrame, keys: int, function: Callable[[list], list], schema: str) -> DataFrame:
+    """What function makes of the rows with equal values in the first columns, in order of the next one.
+
+    Groups are many and small, but not their work: so they are dealt by number, not by bytes, and meet as Arrow batches, without a pandas frame each."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *df.columns[:keys]).sortWithinPartitions(*df.columns[: keys + 1])
+    return dealt.mapInArrow(lambda b: _by_key(b, keys, function, schema), schema)
 
 
 CHUNKS = "doc_id long, mark long, chunk int, last boolean, odd boolean, n int, body string, matrix binary, head string, meet boolean"
@@ -309,8 +342,6 @@ CHUNKS = "doc_id long, mark long, chunk int, last boolean, odd boolean, n int, b
 def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterator[pa.RecordBatch]:
     """head: the text in which paths from all states meet, or the whole body where they don't."""
     v = vocabulary(model)
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.bool_())
     for batch in batches:
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
             odd, text, rows = SPACE in text, prepared(text), []
@@ -320,61 +351,57 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterato
                 matrix, head = v.packed(own, n)
                 rows.append((doc, mark, k, at + n == len(text), odd, n, own, matrix, own if head is None else head, head is not None))
                 if len(rows) == 256 or rows[-1][3]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    yield _rows(rows, CHUNKS)
                     rows = []
 
 
-def _matrices(group: pd.DataFrame) -> list[np.ndarray]:
-    return [unpacked(m) for m in group["matrix"]]
+SEGMENTS, ENTRIES = "doc_id long, mark long, segment int, matrix binary", "doc_id long, mark long, segment int, sums binary"
+ORIGINS = "doc_id long, mark long, segment int, chunk int, tables binary, whole binary"
+FINALS, EDGES = "doc_id long, mark long, segment int, final int", "doc_id long, mark long, chunk int, begin int, end int"
 
 
-def _segment(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk")
-    one = group.iloc[:1][["doc_id", "mark", "segment"]].copy()
-    one["matrix"] = [packed(product(_matrices(group)))]
-    return one
+def _segment(rows: list[tuple]) -> list[tuple]:
+    """rows (doc_id, mark, segment, chunk, matrix) of a segment."""
+    return [(*rows[0][:3], packed(product([unpacked(r[4]) for r in rows])))]
 
 
-def _entries(group: pd.DataFrame) -> pd.DataFrame:
-    """Best sums in front of each segment of a document."""
-    group = group.sort_values("segment")
-    matrices, sums = _matrices(group), []
-    own = np.full(len(matrices[0]), NEVER)
-    own[0] = 0.0
-    for m in matrices:
-        sums.append(own.tobytes())
-        own = behind(own, m)
-    return group[["doc_id", "mark", "segment"]].assign(sums=sums)
+def _entries(rows: list[tuple]) -> list[tuple]:
+    """Best sums in front of each segment of a document; rows (doc_id, mark, segment, matrix)."""
+    found, sums = [], None
+    for *key, data in rows:
+        m = unpacked(data)
+        if sums is None:
+            sums = np.full(len(m), NEVER)
+            sums[0] = 0.0
+        found.append((*key, sums.tobytes()))
+        sums = behind(sums, m)
+    return found
 
 
-def _origins(group: pd.DataFrame, model: str) -> pd.DataFrame:
-    """Of a segment: where each chunk's path comes from, for any state that it ends in, and the same for the whole segment."""
-    v, group = vocabulary(model), group.sort_values("chunk")
-    sums, tables = np.frombuffer(group["sums"].iloc[0]), []
-    for n, head, meet, m in zip(group["n"], group["head"], group["meet"], _matrices(group)):
-        tables.append(v.origins(head, len(head) if meet else int(n), sums, bool(meet)))
-        sums = behind(sums, m)
+def _origins(rows: list[tuple], model: str) -> list[tuple]:
+    """Of a segment: where each chunk's path comes from, for any state that it ends in, and the same for the whole segment.
+    rows (doc_id, mark, segment, chunk, matrix, n, head, meet); the first has the sums in front in place of a matrix."""
+    v, sums, tables = vocabulary(model), np.frombuffer(rows[0][4]), []
+    for *_, data, n, head, meet in rows[1:]:
+        tables.append(v.origins(head, len(head) if meet else n, sums, meet))
+        sums = behind(sums, unpacked(data))
     whole = np.arange(v.longest, dtype=np.int16)
     for table in reversed(tables):
         whole = through(table, whole)
-    one = group.iloc[:1][["doc_id", "mark", "segment", "chunk"]].copy()
-    one["tables"], one["whole"] = [np.array(tables, np.int16).tobytes()], [whole.astype(np.int16).tobytes()]
-    return one
+    return [(*rows[1][:4], np.array(tables, np.int16).tobytes(), whole.astype(np.int16).tobytes())]
 
 
-def _finals(group: pd.DataFrame) -> pd.DataFrame:
-    """The state in which the path ends each segment of a document."""
-    group = group.sort_values("segment")
-    finals, state = [], 0
-    for whole in reversed(group["whole"].tolist()):
-        finals.append(state)
+def _finals(rows: list[tuple]) -> list[tuple]:
+    """The state in which the path ends each segment of a document; rows (doc_id, mark, segment, whole)."""
+    found, state = [], 0
+    for *key, whole in reversed(rows):
+        found.append((*key, state))
         state = int(np.frombuffer(whole, np.int16)[state])
-    return group[["doc_id", "mark", "segment"]].assign(final=finals[::-1])
+    return found
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """begin and end state of each chunk."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
     for batch in batches:
         rows = []
         for doc, mark, chunk, tables, whole, state in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "chunk", "tables", "whole", "final"))):
@@ -383,7 +410,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begin = int(own[k][state])
                 rows.append((doc, mark, chunk + k, begin, state))
                 state = begin
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "mark", "chunk", "begin", "end"])
+        yield _rows(rows, EDGES)
 
 
 def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -414,14 +441,12 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     small = slim.filter(F.length("text") <= giant).mapInArrow(lambda b: _small(b, model), CODED)
     large = slim.filter(F.length("text") > giant)
     chunks = written(large.mapInArrow(lambda b: _chunks(b, model, size), CHUNKS).withColumn("segment", (F.col("chunk") / segment).cast("int")), "chunks")
-    slices = chunks.select("doc_id", "mark", "segment", "chunk", "n", "matrix", "head", "meet").dropDuplicates(["doc_id", "mark", "chunk"])
-    matrices = slices.select("doc_id", "mark", "segment", "chunk", "matrix")
-    segments = matrices.groupBy("doc_id", "mark", "segment").applyInPandas(_segment, "doc_id long, mark long, segment int, matrix binary")
-    entries = segments.groupBy("doc_id", "mark").applyInPandas(_entries, "doc_id long, mark long, segment int, sums binary")
-    with_sums = slices.join(entries, ["doc_id", "mark", "segment"]).groupBy("doc_id", "mark", "segment")
-    origins = written(with_sums.applyInPandas(lambda g: _origins(g, model), "doc_id long, mark long, segment int, chunk int, tables binary, whole binary"), "origins")
-    finals = origins.select("doc_id", "mark", "segment", "whole").groupBy("doc_id", "mark").applyInPandas(_finals, "doc_id long, mark long, segment int, final int")
-    inner = origins.join(finals, ["doc_id", "mark", "segment"]).mapInArrow(_edges, "doc_id long, mark long, chunk int, begin int, end int")
+    slices = chunks.select("doc_id", "mark", "segment", "chunk", "matrix", "n", "head", "meet").dropDuplicates(["doc_id", "mark", "chunk"])
+    segments = _grouped(slices.select("doc_id", "mark", "segment", "chunk", "matrix"), 3, _segment, SEGMENTS)
+    entries = _grouped(segments, 2, _entries, ENTRIES).select("doc_id", "mark", "segment", F.lit(-1).alias("chunk"), F.col("sums").alias("matrix"))
+    origins = written(_grouped(slices.unionByName(entries, allowMissingColumns=True), 3, lambda rows: _origins(rows, model), ORIGINS), "origins")
+    finals = _grouped(origins.select("doc_id", "mark", "segment", "whole"), 2, _finals, FINALS)
+    inner = origins.join(finals, ["doc_id", "mark", "segment"]).mapInArrow(_edges, EDGES)
     bodies = chunks.select("doc_id", "mark", "chunk", "odd", "n", "body").dropDuplicates(["doc_id", "mark", "chunk"])
     coded = bodies.join(inner, ["doc_id", "mark", "chunk"]).mapInArrow(lambda b: _traced(b, model), CODED)
     whole = coded.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("chunk", "n", "score", "ids", "exact")).alias("coded"))

@@ -451,19 +451,20 @@ def test_chunks_without_a_space(spark, size):
 
 def chunked(v, text, size, segment=3):
     """Ids by the steps of encode(), without Spark."""
-    import pandas as pd
-
-    rows = [r for b in sentence_pieces._chunks(iter([_batch(text)]), sentence_pieces.MODEL, size) for r in b.to_pylist()]
-    own = pd.DataFrame(rows)
-    own["segment"] = own["chunk"] // segment
-    segments = pd.concat([sentence_pieces._segment(g) for _, g in own.groupby("segment")])
-    entries = sentence_pieces._entries(segments)
-    origins = pd.concat([sentence_pieces._origins(g.merge(entries, on=["doc_id", "mark", "segment"]), sentence_pieces.MODEL) for _, g in own.groupby("segment")])
-    joined = origins.merge(sentence_pieces._finals(origins), on=["doc_id", "mark", "segment"])
-    edges = pa.Table.from_batches(sentence_pieces._edges(iter(pa.Table.from_pandas(joined).to_batches()))).to_pandas()
-    dealt = own.merge(edges, on=["doc_id", "mark", "chunk"])
-    coded = pa.Table.from_batches(sentence_pieces._traced(iter(pa.Table.from_pandas(dealt).to_batches()), sentence_pieces.MODEL)).to_pandas().sort_values("chunk")
-    return np.frombuffer(b"".join(coded["ids"]), "<i4").tolist()
+    own = [r for b in sentence_pieces._chunks(iter([_batch(text)]), sentence_pieces.MODEL, size) for r in b.to_pylist()]
+    parts = [own[k : k + segment] for k in range(0, len(own), segment)]
+    segments = [sentence_pieces._segment([(1, 0, k, r["chunk"], r["matrix"]) for r in part])[0] for k, part in enumerate(parts)]
+    origins = []
+    for (*key, sums), part in zip(sentence_pieces._entries(segments), parts):
+        rows = [(*key, r["chunk"], r["matrix"], r["n"], r["head"], r["meet"]) for r in part]
+        origins += sentence_pieces._origins([(*key, -1, sums, None, None, None), *rows], sentence_pieces.MODEL)
+    finals = {k: state for *_, k, state in sentence_pieces._finals([(*o[:3], o[5]) for o in origins])}
+    joined = [(o[0], o[1], o[3], o[4], o[5], finals[o[2]]) for o in origins]
+    inner = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "mark", "chunk", "tables", "whole", "final"), r)) for r in joined])
+    edges = {r["chunk"]: r for b in sentence_pieces._edges(iter([inner])) for r in b.to_pylist()}
+    dealt = pa.RecordBatch.from_pylist([{**r, "begin": edges[r["chunk"]]["begin"], "end": edges[r["chunk"]]["end"]} for r in own])
+    coded = sorted((r for b in sentence_pieces._traced(iter([dealt]), sentence_pieces.MODEL) for r in b.to_pylist()), key=lambda r: r["chunk"])
+    return np.frombuffer(b"".join(r["ids"] for r in coded), "<i4").tolist()
 
 
 def _batch(text):
@@ -478,12 +479,7 @@ class Tied(sentence_pieces.Vocabulary):
 
         super().__init__(public_tokenizers.path(sentence_pieces.MODEL))
         self.pieces = {p: (i, -1.0 - len(p)) for p, (i, _) in self.pieces.items()}
-        import ahocorasick
-
-        self.found = ahocorasick.Automaton()
-        for p, (i, score) in self.pieces.items():
-            self.found.add_word(p, (len(p), score, i))
-        self.found.make_automaton()
+        self.tree = sentence_pieces.tree_of(self.pieces)
         self.unknown = -40.0
 
 
