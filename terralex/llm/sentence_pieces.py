@@ -8,7 +8,8 @@ the piece over it reaches behind it, so a chunk is a matrix of best scores from
 associatively under (max, +): per segment of ``SEGMENT`` chunks in parallel, then over segments. That gives the best
 sums at each edge, and with them each chunk tells from which state its path comes for any state it ends in; these
 tables combine too, from the end. Then each chunk traces its own path back, independently. Inside a chunk, paths from
-all states meet where no piece can cross (a word begins), so only its edges need all states.
+all states meet where no piece can cross (a word begins), so only its edges need all states; what lies between
+two such places is coded once, when the chunk is cut, and its ids move on in place of its text.
 
 The vocabulary is the public file named in ``MODEL`` (a parameter). Scores of a unigram model are taken as they are.
 A BPE model has ranks instead: a piece of rank r gets ``-log(r + OFFSET)``, as its frequency falls about so (Zipf). The best
@@ -27,7 +28,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 from math import isqrt, log
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,6 @@ from terralex.llm.common import text_of, written
 MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 700_000
 OFFSET, GRAIN = 100, 1 << 20
 SPACE = "▁"
-_FIRST = itemgetter(0)
 NEVER = float("-inf")
 #: What lies between two places where every path has an edge.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -161,21 +160,15 @@ class Vocabulary:
         scores, ids, raw = zip(*self._words(text))
         return sum(scores), b"".join(ids), b"".join(raw)
 
-    def worth(self, text: str) -> float:
-        """The sum alone."""
-        return sum(map(_FIRST, self._words(text)), 0.0)
-
-    def matrix(self, text: str, size: int) -> np.ndarray:
-        """State x state: best sums over a chunk of ``size`` characters; text also holds what pieces may reach behind it."""
-        return unpacked(self.packed(text, size)[0])
-
-    def packed(self, text: str, size: int) -> tuple[bytes, str | None]:
-        """The matrix of a chunk, and the text up to a place where all paths meet. There it is the sum of a column and a row, and they are kept instead; without such a place the text is None."""
+    def packed(self, text: str, size: int) -> tuple[bytes, int, int, tuple[float, bytes, bytes]]:
+        """The matrix of a chunk, the first and last place where all paths meet, and what encode() gives between them.
+        There the matrix is the sum of a column and a row, and they are kept instead; without such a place first is -1."""
         n = self.longest
         first, last = self._edge(text, n, size, text.find), self._edge(text, n, size, text.rfind)
         if first < 0:
-            return packed(self._sweep(text, 0, size)), None
-        return packed(self._head(text, first) + self.worth(text[first:last]), self._tail(text, last, size)), text[:first]
+            return packed(self._sweep(text, 0, size)), -1, -1, (0.0, b"", b"")
+        core = self.encode(text[first:last])
+        return packed(self._head(text, first) + core[0], self._tail(text, last, size)), first, last, core
 
     def origins(self, text: str, size: int, sums: np.ndarray, meet: bool) -> np.ndarray:
         """For each state behind a chunk of ``size`` characters the state in front of it on the path that counts; -1: no path. sums: best sums up to the states in front.
@@ -336,11 +329,12 @@ def _grouped(df: DataFrame, keys: int, function: Callable[[list], list], schema:
     return dealt.mapInArrow(lambda b: _by_key(b, keys, function, schema), schema)
 
 
-CHUNKS = "doc_id long, mark long, chunk int, last boolean, odd boolean, n int, body string, matrix binary, head string, meet boolean"
+CHUNKS = "doc_id long, mark long, chunk int, last boolean, odd boolean, n int, matrix binary, head string, meet boolean, core_n int, core_score double, core_ids binary, core_exact boolean, tail string"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterator[pa.RecordBatch]:
-    """head: the text in which paths from all states meet, or the whole body where they don't."""
+    """head: the text up to where all paths meet; core_*: what lies between the first and the last such place, coded; tail: the text behind.
+    Without such a place head is the whole text, and the rest is empty."""
     v = vocabulary(model)
     for batch in batches:
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
@@ -348,8 +342,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterato
             for k, at in enumerate(range(0, len(text), size)):
                 own = text[at : at + size + v.longest]
                 n = min(size, len(text) - at)
-                matrix, head = v.packed(own, n)
-                rows.append((doc, mark, k, at + n == len(text), odd, n, own, matrix, own if head is None else head, head is not None))
+                matrix, first, last, (score, ids, raw) = v.packed(own, n)
+                core, tail = (own[first:last], own[last:]) if first >= 0 else ("", "")
+                exact = raw == core.replace(SPACE, " ").encode()
+                rows.append((doc, mark, k, at + n == len(text), odd, n, matrix, own[:first] if first >= 0 else own, first >= 0, len(core), score, ids, exact, tail))
                 if len(rows) == 256 or rows[-1][3]:
                     yield _rows(rows, CHUNKS)
                     rows = []
@@ -413,14 +409,19 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows, EDGES)
 
 
+TRACED = ["doc_id", "mark", "chunk", "odd", "n", "head", "meet", "core_n", "core_score", "core_ids", "core_exact", "tail"]
+
+
 def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """The path of each chunk from its begin to its end; between the places where all paths meet it is known."""
     v = vocabulary(model)
     for batch in batches:
         rows = []
-        for doc, mark, chunk, odd, n, body, begin, end in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "chunk", "odd", "n", "body", "begin", "end"))):
-            own = body[begin : n + end]
-            score, ids, raw = v.encode(own)
-            rows.append((doc, mark, chunk, len(own), score, ids, not odd and raw == own.replace(SPACE, " ").encode()))
+        for doc, mark, chunk, odd, n, head, meet, core_n, core_score, core_ids, core_exact, tail, begin, end in zip(*(batch.column(c).to_pylist() for c in [*TRACED, "begin", "end"])):
+            front, back = (head[begin:], tail[: n + end - len(head) - core_n]) if meet else (head[begin : n + end], "")
+            (score, ids, raw), (more, others, rest) = v.encode(front), v.encode(back)
+            exact = core_exact and raw == front.replace(SPACE, " ").encode() and rest == back.replace(SPACE, " ").encode()
+            rows.append((doc, mark, chunk, n + end - begin, score + core_score + more, ids + core_ids + others, exact and not odd))
         yield _rows(rows)
 
 
@@ -447,7 +448,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = GIANT, size: int =
     origins = written(_grouped(slices.unionByName(entries, allowMissingColumns=True), 3, lambda rows: _origins(rows, model), ORIGINS), "origins")
     finals = _grouped(origins.select("doc_id", "mark", "segment", "whole"), 2, _finals, FINALS)
     inner = origins.join(finals, ["doc_id", "mark", "segment"]).mapInArrow(_edges, EDGES)
-    bodies = chunks.select("doc_id", "mark", "chunk", "odd", "n", "body").dropDuplicates(["doc_id", "mark", "chunk"])
+    bodies = chunks.select(*TRACED).dropDuplicates(["doc_id", "mark", "chunk"])
     coded = bodies.join(inner, ["doc_id", "mark", "chunk"]).mapInArrow(lambda b: _traced(b, model), CODED)
     whole = coded.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("chunk", "n", "score", "ids", "exact")).alias("coded"))
     again = chunks.filter("last").select("doc_id", "mark").join(whole, ["doc_id", "mark"]).mapInArrow(_joined, CODED)
