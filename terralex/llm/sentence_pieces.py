@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from terralex.llm.common import text_of, written
 
-MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 700_000
+MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 200_000
 OFFSET, GRAIN = 100, 1 << 20
 SPACE = "▁"
 NEVER = float("-inf")
@@ -72,16 +72,18 @@ def graded(score: float) -> float:
 
 
 class Words(dict):
-    """Best paths of words as (sum, ids in little-endian 32 bits, decoded bytes): a new one is worked out, and kept if it is short; emptied when full."""
+    """Best paths of words as (sum, ids in little-endian 32 bits, whether they decode to the word): a new one is worked out, and kept if it is short.
+    At most ``CACHE`` words and as many of the time before, of which those met again stay."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
-    def __missing__(self, text: str) -> tuple[float, bytes, bytes]:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self.vocabulary.coded(text)
+    def __missing__(self, text: str) -> tuple[float, bytes, bool]:
+        found = self.before.get(text) or self.vocabulary.coded(text)
         if len(text) <= 48:
+            if len(self) >= CACHE:
+                self.before = dict(self)
+                self.clear()
             self[text] = found
         return found
 
@@ -145,28 +147,28 @@ class Vocabulary:
         ids.reverse()
         return best[n], ids
 
-    def coded(self, text: str) -> tuple[float, bytes, bytes]:
-        """The same with ids in little-endian 32 bits, and the decoded bytes."""
+    def coded(self, text: str) -> tuple[float, bytes, bool]:
+        """The same with ids in little-endian 32 bits, and whether decoding them gives the text back."""
         score, ids = self.path(text)
-        return score, b"".join(map(self.coded_ids.__getitem__, ids)), self.decode(ids)
+        return score, b"".join(map(self.coded_ids.__getitem__, ids)), self.decode(ids) == text.replace(SPACE, " ").encode()
 
     def _words(self, text: str) -> list[tuple]:
         return list(map(self.words.__getitem__, WORD.findall(text) if self.parts_at_spaces else [text] * bool(text)))
 
-    def encode(self, text: str) -> tuple[float, bytes, bytes]:
-        """Sum, ids and decoded bytes of a stretch of text with edges at both ends."""
+    def encode(self, text: str) -> tuple[float, bytes, bool]:
+        """Sum and ids of a stretch of text with edges at both ends, and whether they decode to it: ids decode one by one, so they do where each word's do."""
         if not text:
-            return 0.0, b"", b""
-        scores, ids, raw = zip(*self._words(text))
-        return sum(scores), b"".join(ids), b"".join(raw)
+            return 0.0, b"", True
+        scores, ids, exact = zip(*self._words(text))
+        return sum(scores), b"".join(ids), all(exact)
 
-    def packed(self, text: str, size: int) -> tuple[bytes, int, int, tuple[float, bytes, bytes]]:
+    def packed(self, text: str, size: int) -> tuple[bytes, int, int, tuple[float, bytes, bool]]:
         """The matrix of a chunk, the first and last place where all paths meet, and what encode() gives between them.
         There the matrix is the sum of a column and a row, and they are kept instead; without such a place first is -1."""
         n = self.longest
         first, last = self._edge(text, n, size, text.find), self._edge(text, n, size, text.rfind)
         if first < 0:
-            return packed(self._sweep(text, 0, size)), -1, -1, (0.0, b"", b"")
+            return packed(self._sweep(text, 0, size)), -1, -1, (0.0, b"", True)
         core = self.encode(text[first:last])
         return packed(self._head(text, first) + core[0], self._tail(text, last, size)), first, last, core
 
@@ -296,8 +298,8 @@ def _small(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordB
         rows = []
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
             own = prepared(text)
-            score, ids, raw = v.encode(own)
-            rows.append((doc, mark, 0, len(own), score, ids, raw[1:] == text.encode()))
+            score, ids, exact = v.encode(own)
+            rows.append((doc, mark, 0, len(own), score, ids, exact and SPACE not in text))
         yield _rows(rows)
 
 
@@ -342,9 +344,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterato
             for k, at in enumerate(range(0, len(text), size)):
                 own = text[at : at + size + v.longest]
                 n = min(size, len(text) - at)
-                matrix, first, last, (score, ids, raw) = v.packed(own, n)
+                matrix, first, last, (score, ids, exact) = v.packed(own, n)
                 core, tail = (own[first:last], own[last:]) if first >= 0 else ("", "")
-                exact = raw == core.replace(SPACE, " ").encode()
                 rows.append((doc, mark, k, at + n == len(text), odd, n, matrix, own[:first] if first >= 0 else own, first >= 0, len(core), score, ids, exact, tail))
                 if len(rows) == 256 or rows[-1][3]:
                     yield _rows(rows, CHUNKS)
@@ -419,9 +420,8 @@ def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
         rows = []
         for doc, mark, chunk, odd, n, head, meet, core_n, core_score, core_ids, core_exact, tail, begin, end in zip(*(batch.column(c).to_pylist() for c in [*TRACED, "begin", "end"])):
             front, back = (head[begin:], tail[: n + end - len(head) - core_n]) if meet else (head[begin : n + end], "")
-            (score, ids, raw), (more, others, rest) = v.encode(front), v.encode(back)
-            exact = core_exact and raw == front.replace(SPACE, " ").encode() and rest == back.replace(SPACE, " ").encode()
-            rows.append((doc, mark, chunk, n + end - begin, score + core_score + more, ids + core_ids + others, exact and not odd))
+            (score, ids, exact), (more, others, also) = v.encode(front), v.encode(back)
+            rows.append((doc, mark, chunk, n + end - begin, score + core_score + more, ids + core_ids + others, exact and core_exact and also and not odd))
         yield _rows(rows)
 
 
