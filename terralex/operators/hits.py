@@ -3,12 +3,12 @@
 A row per cell and item, ``cell_id, item_id``; a cell of which every item is hit has one row without an item.
 A hit cell is one or the other, never both. Long rows instead of an array per cell keep a cell with very
 many items spread over tasks. A set operator marks the rows of both sides and groups them by cell and item once; what
-is full is a row of that table too, and meets the other rows of its cell in one join.
+is full is a row of that table too, and meets the other rows of its cell in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralex.sources.scratch import written
@@ -43,42 +43,41 @@ def of_pairs(pairs: DataFrame) -> DataFrame:
 
 
 LEFT, RIGHT = 1, 2
+#: Parts of a cell in a set operator; its full row goes to each, so items of a large cell are spread over tasks.
+SALTS = 8
 
 
-def _marked(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cell_id, item_id, own: the sides that have the pair, full: those that have the whole cell or 0), (cell_id, full)."""
+def _marked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """cell_id, item_id, own (the sides that have the row), full (the sides that have the whole cell, or 0): both sides grouped once, their full rows told to the items by a window."""
     both = a.withColumn("side", F.lit(LEFT)).unionByName(b.withColumn("side", F.lit(RIGHT)))
     once = both.groupBy("cell_id", "item_id").agg(F.bit_or("side").alias("own"))
-    whole = once.filter("item_id IS NULL").select("cell_id", F.col("own").alias("full"))
-    pairs = partial(once).join(whole, "cell_id", "left").withColumn("full", F.coalesce("full", F.lit(0)))
-    return pairs, whole
-
-
-def _rows(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    return pairs.select("cell_id", "item_id").unionByName(whole.select("cell_id", F.lit(None).cast("bigint").alias("item_id")))
+    every = F.array(*map(F.lit, range(SALTS)))
+    dealt = once.withColumn("salt", F.explode(F.when(F.col("item_id").isNull(), every).otherwise(F.array(F.pmod(F.hash("item_id"), F.lit(SALTS))))))
+    full = F.max(F.when(F.col("item_id").isNull(), F.col("own"))).over(Window.partitionBy("cell_id", "salt"))
+    return dealt.withColumn("full", F.coalesce(full, F.lit(0))).filter("item_id IS NOT NULL OR salt = 0").drop("salt")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells or items that either hits; full wins."""
-    pairs, whole = _marked(a, b)
-    return _rows(pairs.filter("full = 0"), whole)
+    return _marked(a, b).filter("item_id IS NULL OR full = 0").select("cell_id", "item_id")
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """What both hit."""
-    pairs, whole = _marked(a, b)
-    return _rows(pairs.filter("own | full = 3"), whole.filter("full = 3"))
+    return _marked(a, b).filter("IF(item_id IS NULL, full, own | full) = 3").select("cell_id", "item_id")
 
 
 def _less(a: DataFrame, b: DataFrame, world: World, sides: tuple[int, ...]) -> DataFrame:
-    """What one of these sides hits and the other doesn't. A full cell of which the other hits items is spelt out but for them."""
-    pairs, whole = _marked(a, b)
-    wanted = ", ".join(map(str, sides))
-    alone = whole.filter(f"full IN ({wanted})")
-    met = pairs.filter(f"full IN ({wanted})")  # items of the other side
-    cut = met.select("cell_id").distinct()
-    spelt = world.cell_items.select("cell_id", "item_id").join(cut, "cell_id", "left_semi").join(met, ["cell_id", "item_id"], "left_anti")
-    return _rows(pairs.filter(f"full = 0 AND own IN ({wanted})"), alone.join(cut, "cell_id", "left_anti")).unionByName(spelt)
+    """What one of these sides hits and the other doesn't. A full cell of which the other hits items is spelt out but for them.
+
+    The marked rows are used two times, in plans that Spark shuffles once: for full cells of one side, with the number of items that the other hits,
+    and for items, which are kept where neither side is full and else taken from what is spelt out."""
+    marked, one = _marked(a, b), f"full IN ({', '.join(map(str, sides))})"
+    cells = marked.filter(one).groupBy("cell_id").agg(F.count("item_id").alias("met"))
+    there = world.cell_items.select(F.col("cell_id").alias("in_cell"), "item_id")
+    spelt = cells.join(there, F.expr("cell_id = in_cell AND met > 0"), "left").filter("met = 0 OR item_id IS NOT NULL").select("cell_id", "item_id", F.lit(True).alias("kept"), F.lit(False).alias("lost"))
+    own = marked.filter("item_id IS NOT NULL").select("cell_id", "item_id", F.expr(f"full = 0 AND own IN ({', '.join(map(str, sides))})").alias("kept"), F.expr(one).alias("lost"))
+    return spelt.unionByName(own).groupBy("cell_id", "item_id").agg(F.bool_or("kept").alias("kept"), F.bool_or("lost").alias("lost")).filter("kept AND NOT lost").select("cell_id", "item_id")
 
 
 def difference(a: DataFrame, b: DataFrame, world: World) -> DataFrame:
