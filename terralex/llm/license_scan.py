@@ -14,7 +14,7 @@ each. Score is the largest covered share of any template, and 1 where a base phr
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -149,14 +149,11 @@ def chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     matches = sorted(matches, key=lambda m: (m[0] + m[2], m[0], m[1]))
     ends = [m[0] + m[2] for m in matches]
     best, back, covered, top = [], [], [], []  # top: the match whose chain is worth most among the matches so far
-    first_end = 0
     for i, (start, at, n) in enumerate(matches):
         before = bisect_right(ends, start, 0, i) - 1
         before = top[before] if before >= 0 else -1
         value, prior, own = (best[before] if before >= 0 else 0.0) + n - OPEN, (before, False), n
-        while ends[first_end] < start - GAP:
-            first_end += 1
-        for j in range(first_end, i):
+        for j in range(bisect_left(ends, start - GAP, 0, i), i):
             over = max(0, ends[j] - start, matches[j][1] + matches[j][2] - at)
             gap, skip = start + over - ends[j], at + over - matches[j][1] - matches[j][2]
             if over < n and ends[j] < ends[i] and 0 <= gap <= GAP and 0 <= skip <= GAP and (new := best[j] + n - over - SKIP * (gap + skip)) > value:
