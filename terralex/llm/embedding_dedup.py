@@ -11,7 +11,7 @@ neighbours, with more the tables, and so the rows, grow (16 of width 2 need 68 t
 need 87 with twice the rows).
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without a
-label, link with nothing. Vectors of different lengths don't link. Labels may be of any type with a text form. Repeated rows are copies of one another.
+label, link with nothing. Each vector is first scaled by the power of two of its largest component, which changes no cosine, so squares neither overflow nor vanish. Vectors of different lengths don't link. Labels may be of any type with a text form. Repeated rows are copies of one another.
 """
 
 from __future__ import annotations
@@ -71,6 +71,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.Rec
                 continue
             v = np.array(row, np.float64) + 0.0  # -0.0 is 0.0
             if np.isfinite(v).all() and v.any():
+                v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
                 by_size.setdefault(len(v), []).append((i, v))
         for own in by_size.values():
             at = [i for i, _ in own]
