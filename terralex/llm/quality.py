@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, pairs of words in a row and the byte n-grams inside words are hashed to buckets; a document is the average of its buckets'
+Words, pairs of words in a row (by the difference of their hashes, so all words that repeat at once share a bucket) and the byte n-grams inside words are hashed to buckets; a document is the average of its buckets'
 learned vectors, a softmax layer gives its label's probability. Trained by stochastic gradient descent
 in numpy on a bounded sample of the labelled rows (``SAMPLE`` rows with at most ``SAMPLE_CHARS``
 characters each, taken by a hash of doc_id: documented parameters). With two labels the trained layers
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terralex.llm.common import encoded, parts, text_of
+from terralex.llm.common import encoded, free_name, parts, text_of
 from terralex.llm.ngram_join import slices
 
 BITS, DIM, EPOCHS, RATE, SEED = 17, 8, 6, 4.0, 7
@@ -125,16 +126,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([r["text"].encode() for r in rows], [r["quality"] for r in rows])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, text_at: str) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model, text_at: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts(batch, text_at, 1_000_000):
-            yield part.append_column(pa.field("__score", pa.float64()), pa.array(model.value.scores(encoded(part.column(text_at)))))
+            yield part.append_column(pa.field(name, pa.float64()), pa.array(model.value.scores(encoded(part.column(text_at)))))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs and a column __score; the model is a table of 2 ** BITS floats, whatever the data."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda b, m=docs.sparkSession.sparkContext.broadcast(model): _scored(b, m, text), f"{schema}, __score double")
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "__score") -> DataFrame:
+    """docs and a column of scores, whose name docs must not have; the model is a table of 2 ** BITS floats, whatever the data."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(lambda b, m=docs.sparkSession.sparkContext.broadcast(model): _scored(b, m, text, name), schema)
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,4 +148,5 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score THRESHOLD or more, as they are."""
-    return score(docs, model).filter(F.col("__score") >= THRESHOLD).drop("__score")
+    name = free_name(docs, "__score")
+    return score(docs, model, name=name).filter(F.col(name) >= THRESHOLD).drop(name)
