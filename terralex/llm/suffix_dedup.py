@@ -19,7 +19,7 @@
 Rows move as packed arrays; texts are shuffled once, for two joins.
 
 Defined results: a null text is empty. Rows that repeat doc_id and text are one document and get the same
-result; rows that share only doc_id are ordered by a hash of the text; a null doc_id comes last. Cut text
+result; rows that share only doc_id are ordered by the SHA-256 of the text; a null doc_id comes last. Cut text
 is bytes, as a cut may fall inside a character.
 """
 
@@ -41,8 +41,8 @@ HOT, SLICE = 4096, 8192
 WINDOW = LENGTH - GRAM + 1
 LAST = (1 << 63) - 1
 
-SPOT = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
-CONTEXT = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("at", "<u4"), ("count", "u1")])
+SPOT = np.dtype([("hash", "<u4"), ("hash2", "<u2"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<u4"), ("count", "u1")])
+CONTEXT = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("at", "<u4"), ("count", "u1")])
 #: What packed spots are: anchors to be counted, or repeats that a batch shows.
 COUNT, REPEATS = range(2)
 
@@ -491,6 +491,19 @@ def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def marked(slim: DataFrame) -> DataFrame:
+    """doc_id, doc, text with mark: together with doc it tells different texts apart, in the order of their SHA-256. It is 0 throughout where no two rows share doc;
+    else different pairs of doc and SHA-256 are numbered by a range sort, and the texts are written with their numbers."""
+    shared = written(slim.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "shared")
+    if shared.isEmpty():
+        return slim.withColumn("mark", F.lit(0).cast("long")).select("doc_id", "doc", "mark", "text")
+    hashed = slim.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    pairs = hashed.select("doc", "sha").join(shared, "doc", "left_semi").distinct()
+    numbers = written(pairs.repartitionByRange("doc", "sha").sortWithinPartitions("doc", "sha").withColumn("mark", F.monotonically_increasing_id()), "marks")
+    found = hashed.join(numbers, ["doc", "sha"], "left").select("doc_id", "doc", F.coalesce("mark", F.lit(0)).alias("mark"), "text")
+    return written(found, "marked")
+
+
 RANGE = "doc long, mark long, `from` int, `to` int"
 
 
@@ -499,7 +512,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, shard: int = SHARD,
     spark = docs.sparkSession
     buckets, n = buckets_for(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    named = slim.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("mark"), "text")
+    named = marked(slim.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))))
 
     scanned = named.select("doc", "mark", "text").mapInArrow(lambda b: _scan(b, buckets), "bucket int, kind int, spots binary")
     compared = scanned.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _compared(b, hot), SPOT_SCHEMA)
