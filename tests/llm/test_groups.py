@@ -310,3 +310,27 @@ def test_suffix_array_sorts_strings():
     whole = [i for i in order.tolist() if i + 100 <= len(data)]
     strings = [data[i : i + 100] for i in whole]
     assert strings == sorted(strings)
+
+
+def test_near_vectors_of_extreme_lengths(spark):
+    """Squares of these components overflow or vanish."""
+    rows = [(1, [1e200, 0.0], 1), (2, [2e200, 0.0], 1), (3, [1e-200, 0.0], 1), (4, [1e308, 1e308], 2), (5, [1e-308, 1e-308], 2), (6, [5e-324, 0.0], 1), (7, [0.0, 3.0], 1)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (1, 4), 5: (1, 4), 7: (0, 7)}
+
+
+def test_remove_repeats_of_texts_that_share_no_id(spark):
+    """Different texts without an id, or with one id, are different documents, also where a short hash of them is the same."""
+    tail = "y" * 16 + "shared words of a passage that is long enough to be found again " * 2
+    words_of = spark.range(300_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("head"))
+    hashed = words_of.select("head", F.xxhash64(F.concat("head", F.lit(tail))).bitwiseAND(0xFFFFFFFF).alias("h"))
+    pair = hashed.groupBy("h").agg(F.sort_array(F.collect_list("head")).alias("heads")).filter("size(heads) > 1").orderBy("h").first().heads
+    texts = [pair[0] + tail, pair[1] + tail]
+    for ids in ((None, None), (5, 5), (None, (1 << 63) - 1)):
+        rows = [(0, tail), *zip(ids, texts)]
+        order = {t: k for k, t in enumerate(sorted(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest()))}
+        got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)).collect())
+        assert sorted(r for _, r in got) == [0, len(tail), len(tail)] and len(order) == 2
+    alone = [(i, t) for i, t in zip((None, None), texts)] + [(None, texts[0])]
+    got = sorted(r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, "", "", 0) for i, t in alone], DOCS)).collect())
+    assert got in ([0, 0, len(tail)], [0, len(tail), len(tail)])  # the repeated row is one document

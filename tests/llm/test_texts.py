@@ -239,6 +239,16 @@ def test_chains_against_brute_force():
         assert all(a[1] <= b[0] for a, b in zip(made, made[1:]))
         assert sum(n for *_, n in made) - license_scan.OPEN * len(made) >= best_chains(matches) - 1e-9
     assert license_scan.chains([]) == []
+    assert license_scan.chains([(0, 0, 15), (50, 200, 10), (20, 20, 41)]) == [(0, 61, 56)]
+
+
+def test_chains_of_long_matches_against_brute_force():
+    """Matches whose starts aren't in the order of their ends."""
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        matches = [(int(rng.integers(0, 60)), int(rng.integers(0, 60)), int(rng.choice([5, 12, 45]))) for _ in range(rng.integers(2, 7))]
+        made = license_scan.chains(matches)
+        assert sum(n for *_, n in made) - license_scan.OPEN * len(made) >= best_chains(matches) - 1e-9
 
 
 def brute_matches(run, sequence):
@@ -590,3 +600,24 @@ def test_warc_of_no_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").limit(0)
     archives = written(warc.write_archives(warc.with_revisits(pages), new_path(spark, "warc")), "archives")
     assert warc.read_archives(archives).count() == 0
+
+
+def test_a_score_column_may_clash(spark):
+    """Documents that have columns of the names that the scores use keep them."""
+    docs = spark.createDataFrame([(1, "good words", "a", 2.0), (2, None, "b", None)], "doc_id long, text string, `__score` string, `__score_` double")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, quality.fit(docs, labels))
+    assert kept.columns == docs.columns and {r["__score"] for r in kept.collect()} <= {"a", "b"}
+
+
+def test_own_columns_of_other_meaning_are_left_alone(spark):
+    """The scans of texts read doc_id and text alone, whatever else documents have."""
+    rows = [(i, t) for i, t in enumerate([None, "", "under the MIT license", "password = hunter22", "a b c"])]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("row", "spans", "score", "n_words", "mark", "bucket", "ids", "start", "seq", "kind", "part", "size", "labels")
+    odd = plain.select("*", *(F.lit("x").alias(n) for n in names))
+    runs = (license_scan.scan_licences, lambda d: secret_scan.digests(secret_scan.secret_spans(d)), packing.pack, lambda d: sentence_pieces.summary(sentence_pieces.encode(d)))
+    for run in runs:
+        one, two = run(plain), run(odd)
+        columns = [c for c in one.columns if c in two.columns and c not in ("sequence_id", "offset")]
+        assert sorted(map(repr, one.select(columns).collect())) == sorted(map(repr, two.select(columns).collect()))
