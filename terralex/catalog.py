@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terralex.functions.geo import Rect
 from terralex.functions.text import matches, packed_id, packed_kind, packed_number
-from terralex.operators import coverage, distance, hits, items, leaves, stats
+from terralex.operators import coverage, distance, hits, items, leaves, places, stats
 from terralex.sources import fixtures
 from terralex.sources.scratch import new_path
 from terralex.sources.world import World, validate
@@ -19,11 +20,11 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of a world under its name; sql names the fixture views."""
+def query(sql: str | None = None, without: tuple[str, ...] = ()):
+    """Registers a function of a world under its name; sql names the fixture views. without: tables that the world shall not have."""
 
     def register(f: Callable[[World], DataFrame]) -> Callable:
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures.world(spark, sf_dir))
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures.world(spark, sf_dir, without))
         if sql:
             _SQL[f.__name__] = fixtures.with_views(sql)
         return f
@@ -321,11 +322,35 @@ def leaf_cells(w):
     return _shown(leaves.cells(w, [3, 17, 399, 4000]))
 
 
-@query(f"{FULL} fx_cell WHERE min_lat <= 1.5 AND 1.5 < max_lat AND min_lon <= -7.25 AND -7.25 < max_lon")
+@query(f"{FULL} fx_cell WHERE min_lat <= 1.5 AND 1.5 < max_lat AND min_lon <= -7.25 AND -7.25 < max_lon", without=("borders",))
 def leaf_cell(w):
+    """Of a world whose cells are their boxes."""
     return _shown(leaves.cell_at(w, 1.5, -7.25))
 
 
+#: Corners of a cell's triangle: a lies lowest, b highest.
+CORNERS = ", ".join(f"{e} AS {p}{c}" for p, pair in zip("abc", fixtures.BORDER) for c, e in zip(("lat", "lon"), pair))
+
+
+def _in_triangle(lat: str, lon: str) -> str:
+    """On each edge's inner side; what lies on an edge is in it if the triangle is to the right of it."""
+    side = lambda p, q, lat, lon: f"(({q}lon-{p}lon)*({lat}-{p}lat)-({q}lat-{p}lat)*({lon}-{p}lon))"
+    return " AND ".join(f"({side(p, q, lat, lon)}>0)=({side(p, q, f'{r}lat', f'{r}lon')}>0)" for p, q, r in ("abc", "acb", "cba"))
+
+
+@query(f"WITH t AS (SELECT cell_id, {CORNERS} FROM fx_cell) {FULL} t WHERE {_in_triangle('1.5', '-6.0')}")
+def leaf_cell_border(w):
+    return _shown(leaves.cell_at(w, 1.5, -6.0))
+
+
+@query(f"""
+    WITH t AS (SELECT cell_id, {CORNERS}, min_lat, max_lat, min_lon, max_lon FROM fx_cell)
+    SELECT item_id, pos, cell_id FROM fx_point p JOIN t ON p.lat BETWEEN min_lat AND max_lat AND p.lon BETWEEN min_lon AND max_lon AND {_in_triangle('p.lat', 'p.lon')}""")
+def point_cells(w):
+    """The cells of all vertices of points and ways."""
+    return places.locate(w, w.points.select("item_id", "pos", "lat", "lon")).select("item_id", "pos", "cell_id")
+
+
 @query(f"""
     WITH f AS (SELECT cell_id FROM fx_cell_parent WHERE region_id IN (SELECT item_id FROM fx_tag WHERE contains(lower(v), 'nation_1'))),
     p AS (SELECT cell_id, item_id FROM fx_cell_item WHERE item_id IN (SELECT item_id FROM fx_tag WHERE contains(lower(v), 'nation_1')) AND item_id NOT IN (SELECT region_id FROM fx_region))
@@ -406,7 +431,7 @@ def leaf_point_radius(w):
     return _shown(leaves.point(w, 0.0, 0.0, 200000.0))
 
 
-@query("SELECT x.cell_id, x.item_id FROM fx_cell_item x JOIN fx_cell c ON x.cell_id=c.cell_id JOIN fx_region r ON x.item_id=r.region_id WHERE c.min_lat<=1.5 AND 1.5<c.max_lat AND c.min_lon<=-7.25 AND -7.25<c.max_lon AND x.item_id IN (SELECT region_id FROM fx_region WHERE " + _ring_holds("1.5", "-7.25") + ")")
+@query("SELECT x.cell_id, x.item_id FROM fx_cell_item x JOIN fx_cell c ON x.cell_id=c.cell_id JOIN fx_region r ON x.item_id=r.region_id WHERE c.min_lat<=1.5 AND 1.5<c.max_lat AND c.min_lon<=-7.25 AND -7.25<c.max_lon AND x.item_id IN (SELECT region_id FROM fx_region WHERE " + _ring_holds("1.5", "-7.25") + ")", without=("borders",))
 def leaf_point(w):
     return _shown(leaves.point(w, 1.5, -7.25))
 
@@ -418,6 +443,39 @@ def leaf_path(w):
     return _shown(leaves.path(w, LINE, 50_000.0))
 
 
+SHORT_LINE = [(-2.512, -2.510), (-2.499, -2.496), (-2.490, -2.488)]
+
+
+def _corridor_cells(points: list[tuple[float, float]], radius: float) -> str:
+    """Triangles of which an edge comes near a leg, on the plane around the line's middle; none of them holds the line and is further off."""
+    lats, lons = zip(*points)
+    grow = math.degrees(radius / 6_371_000)
+    wider = grow / math.cos(math.radians(max(map(abs, lats)) + grow))
+    lat0, lon0 = (min(lats) - grow + max(lats) + grow) / 2, (min(lons) - wider + max(lons) + wider) / 2
+    metre = math.radians(1) * 6_371_000
+    flat = lambda lat, lon: (f"(({lon}-({lon0}))*{metre * math.cos(math.radians(lat0))})", f"(({lat}-({lat0}))*{metre})")
+    corner = {p: (f"x_{p}", f"y_{p}") for p in "abc"}
+    placed = ", ".join(f"{v} AS {c}_{p}" for p in "abc" for c, v in zip("xy", flat(f"{p}lat", f"{p}lon")))
+
+    def apart(p, a, b):
+        along = f"(({p[0]}-{a[0]})*({b[0]}-{a[0]})+({p[1]}-{a[1]})*({b[1]}-{a[1]}))/(power({b[0]}-{a[0]},2)+power({b[1]}-{a[1]},2))"
+        share = f"greatest(0,least(1,{along}))"
+        return f"sqrt(power({p[0]}-{a[0]}-{share}*({b[0]}-{a[0]}),2)+power({p[1]}-{a[1]}-{share}*({b[1]}-{a[1]}),2))"
+
+    turn = lambda a, b, p: f"sign(({b[0]}-{a[0]})*({p[1]}-{a[1]})-({b[1]}-{a[1]})*({p[0]}-{a[0]}))"
+    tests = []
+    for p, q in zip(points, points[1:]):
+        p, q = flat(*p), flat(*q)
+        for a, b in ((corner[x], corner[y]) for x, y in ("ab", "bc", "ca")):
+            tests.append(f"least({apart(p, a, b)},{apart(q, a, b)},{apart(a, p, q)},{apart(b, p, q)})<={radius} OR ({turn(p, q, a)}<>{turn(p, q, b)} AND {turn(a, b, p)}<>{turn(a, b, q)})")
+    return f"SELECT cell_id FROM (SELECT *, {placed} FROM (SELECT cell_id, {CORNERS} FROM fx_cell) k) f WHERE {' OR '.join(tests)} OR ({_in_triangle(*map(str, points[0]))})"
+
+
+@query(f"{FULL} ({_corridor_cells(SHORT_LINE, 1500.0)}) t")
+def leaf_path_corridor(w):
+    return _shown(leaves.path(w, SHORT_LINE, 1500.0))
+
+
 @query(f"{FULL} ({_line_cells(LINE)}) t")
 def leaf_route(w):
     return _shown(leaves.route(w, LINE))

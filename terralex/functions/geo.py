@@ -113,6 +113,12 @@ class Rect:
         e = d / max(0.01, cos(radians(centre[0])))
         return cls(centre[0] - d, centre[0] + d, centre[1] - e, centre[1] + e)
 
+    def grown(self, metres: float) -> Rect:
+        """By at least so many metres to each side."""
+        d = degrees(metres / EARTH)
+        e = d / max(0.01, cos(radians(min(90.0, max(abs(self.min_lat), abs(self.max_lat)) + d))))
+        return Rect(self.min_lat - d, self.max_lat + d, self.min_lon - e, self.max_lon + e)
+
     @property
     def centre(self) -> Point:
         return (self.min_lat + self.max_lat) / 2, (self.min_lon + self.max_lon) / 2
@@ -154,6 +160,10 @@ class Rect:
     def meets_segment(self, p: tuple[str, str], q: tuple[str, str]) -> str:
         return segment_meets_box(p, q, self._values())
 
+    def touches(self, box: Rect) -> bool:
+        """On the driver: the closed boxes share a point."""
+        return self.min_lat <= box.max_lat and box.min_lat <= self.max_lat and self.min_lon <= box.max_lon and box.min_lon <= self.max_lon
+
 
 @dataclass(frozen=True)
 class Polygon:
@@ -208,5 +218,21 @@ class Polygon:
             tests.append(f"({boxes_meet(own(p, q), own(a, b))} AND {side(p, q, a)}*{side(p, q, b)}<=0 AND {side(a, b, p)}*{side(a, b, q)}<=0)")
         return "(" + " OR ".join(tests) + ")"
 
+    def touches(self, box: Rect) -> bool:
+        """On the driver: a box shares a point with the polygon. Boxes within rounding of it count."""
+        slack = 1e-9
+        box = Rect(box.min_lat - slack, box.max_lat + slack, box.min_lon - slack, box.max_lon + slack)
+        if not self.box.touches(box):
+            return False
+        lat, lon = box.first
+        turns = sum((a[0] <= lat) != (b[0] <= lat) and lon < a[1] + (lat - a[0]) * (b[1] - a[1]) / (b[0] - a[0]) for a, b in self.edges)
+        if turns % 2:
+            return True
+        for a, b in self.edges:
+            sides = [(b[0] - a[0]) * (o - a[1]) - (b[1] - a[1]) * (p - a[0]) for p, o in box.corners]
+            if Rect.around((a, b)).touches(box) and min(sides) <= 0 <= max(sides):
+                return True
+        return False
+
 
 Shape = Rect | Polygon

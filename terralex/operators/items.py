@@ -6,9 +6,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralex.functions.curve import BEYOND
 from terralex.functions.geo import Point, Rect, Shape, box_columns
 from terralex.functions.text import matches
 from terralex.sources.world import PARTS, World, rings
@@ -57,47 +58,34 @@ def boundary(world: World) -> DataFrame:
     return boxes(world).agg(F.min("min_lat").alias("min_lat"), F.max("max_lat").alias("max_lat"), F.min("min_lon").alias("min_lon"), F.max("max_lon").alias("max_lon"))
 
 
-def segments(world: World) -> DataFrame:
-    """item_id, lat, lon, to_lat, to_lon of each segment of a way."""
-    order = Window.partitionBy("item_id").orderBy("pos")
-    return world.points.withColumn("to_lat", F.lead("lat").over(order)).withColumn("to_lon", F.lead("lon").over(order)).filter("to_lat IS NOT NULL").select("item_id", "lat", "lon", "to_lat", "to_lon")
-
-
-def ring_segments(world: World, near: DataFrame | None = None) -> DataFrame:
-    """item_id, lat, lon, to_lat, to_lon of each segment of the rings of areas (of those in near), each ring closed."""
-    own = rings(world) if near is None else rings(world).join(near.select("item_id"), "item_id", "left_semi")
-    order = Window.partitionBy("item_id", "ring").orderBy("pos")
-    whole = Window.partitionBy("item_id", "ring").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
-    return own.withColumn("to_lat", following("lat")).withColumn("to_lon", following("lon")).select("item_id", "lat", "lon", "to_lat", "to_lon")
-
-
-def _held(segments_: DataFrame, point: Point) -> DataFrame:
-    """Areas whose rings lie an odd number of times east of the point."""
+def _held(world: World, areas: DataFrame, point: Point) -> DataFrame:
+    """Of these areas (item_id) those whose rings lie an odd number of times east of the point."""
     lat, lon = (f"CAST({float(x)!r} AS DOUBLE)" for x in point)
+    east = world.near("segments", Rect(point[0], point[0], point[1], BEYOND)).filter("kind = 2").join(areas.select("item_id"), "item_id", "left_semi")
     crossed = f"(lat <= {lat}) <> (to_lat <= {lat}) AND {lon} < lon + ({lat} - lat) * (to_lon - lon) / (to_lat - lat)"
-    return segments_.filter(crossed).groupBy("item_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("item_id")
+    return east.filter(crossed).groupBy("item_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("item_id")
+
+
+def _boxes_at(world: World, point: Point) -> DataFrame:
+    lat, lon = point
+    spot = Rect(lat, lat, lon, lon)
+    return world.near("item_boxes", spot).filter(F.expr(spot.meets_box(box_columns())))
 
 
 def holding(world: World, point: Point) -> DataFrame:
     """Areas that hold the point."""
-    lat, lon = point
-    near = boxes(world).filter((F.col("min_lat") <= lat) & (F.lit(lat) <= F.col("max_lat")) & (F.col("min_lon") <= lon) & (F.lit(lon) <= F.col("max_lon")))
-    return _held(ring_segments(world, near), point)
+    return _held(world, _boxes_at(world, point), point)
 
 
 def meeting(world: World, shape: Shape, exact: bool = True) -> DataFrame:
-    """Items whose shape meets the query's; exact=False compares boxes of items. Boxes are tested first.
+    """Items whose shape meets the query's; exact=False compares boxes of items. Of a stored world only ranges of the curve near the shape are read.
 
-    Exact: a vertex lies in the query, a segment of a way or ring crosses it, or an area holds all of the query, so its first vertex."""
-    box = box_columns()
-    near = boxes(world).filter(F.expr(shape.box.meets_box(box)))
+    Exact: a lone point lies in the query, a segment of a way or ring meets it, or an area holds all of the query, so its first vertex."""
     if not exact:
-        return near.filter(F.expr(shape.meets_box(box))).select("item_id")
-    lone = world.points.filter(F.expr(shape.contains("lat", "lon"))).select("item_id")
-    around = ring_segments(world, near)
-    lines = segments(world).unionByName(around).filter(F.expr(shape.meets_segment(("lat", "lon"), ("to_lat", "to_lon")))).select("item_id")
-    return lone.unionByName(lines).unionByName(_held(around, shape.first)).distinct()
+        return world.near("item_boxes", shape).filter(F.expr(shape.meets_box(box_columns()))).select("item_id")
+    test = f"IF(kind = 0, {shape.contains('lat', 'lon')}, {shape.meets_segment(('lat', 'lon'), ('to_lat', 'to_lon'))})"
+    met = world.near("segments", shape).filter(F.expr(test)).select("item_id")
+    return met.unionByName(_held(world, _boxes_at(world, shape.first), shape.first)).distinct()
 
 
 def in_rect(world: World, rect: Rect, among: DataFrame | None = None) -> DataFrame:

@@ -8,13 +8,14 @@ from typing import Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.functions.geo import Point, Polygon, Rect, Shape, box_columns, segment_meets_box
-from terralex.operators import hits, items
+from terralex.functions.geo import Point, Polygon, Rect, Shape, box_columns, distance, segment_meets_box
+from terralex.operators import hits, items, places
 from terralex.sources.world import World
 
 Accuracy = Literal["auto", "poly-item", "poly-itembbox", "polybbox-item", "polybbox-itembbox", "poly-cell", "poly-cellbbox", "polybbox-cell", "polybbox-cellbbox"]
 #: Sizes in metres from which the next coarser accuracy is chosen.
 SIZES = (("poly-item", 1_000.0), ("poly-itembbox", 2_000.0), ("poly-cellbbox", 250_000.0), ("polybbox-cellbbox", float("inf")))
+SHORT = 5_000.0  # fixed value, metres: length and radius below which a path is a corridor
 LONG = 20  # a perimeter of so many diagonals counts by its length
 
 
@@ -51,8 +52,8 @@ def cells(world: World, cell_ids: Iterable[int] | DataFrame) -> DataFrame:
 
 
 def cell_at(world: World, lat: float, lon: float) -> DataFrame:
-    """The cell of a place; a cell has its lower edges."""
-    return hits.of_cells(world.cells.filter((F.col("min_lat") <= lat) & (F.lit(lat) < F.col("max_lat")) & (F.col("min_lon") <= lon) & (F.lit(lon) < F.col("max_lon"))))
+    """The cell whose border holds a place (its box, where it has no border); a cell has its lower edges."""
+    return hits.of_cells(places.cells_at(world, lat, lon))
 
 
 def accuracy_for(shape: Shape) -> str:
@@ -62,6 +63,21 @@ def accuracy_for(shape: Shape) -> str:
     return next(name for name, most in SIZES if size < most)
 
 
+def met_cells(world: World, shape: Shape) -> DataFrame:
+    """cell_id, inside: cells whose box the shape meets, and whether it encloses it.
+
+    Of a stored world down the hierarchy: a region whose cells' boxes all lie in the shape gives them without a test, of a region
+    that the shape meets otherwise the direct cells are tested, and cells of others aren't read. Regions and their cells are found by ranges of the curve."""
+    box = box_columns()
+    tested = lambda name: world.near(name, shape).filter(F.expr(shape.meets_box(box))).select("cell_id", F.expr(shape.encloses_box(box)).alias("inside"))
+    if world.region_cells is None:
+        return tested("cell_boxes")
+    covers = world.near("region_covers", shape).filter(F.expr(shape.meets_box(box))).select("region_id", F.expr(shape.encloses_box(box)).alias("enclosed"))
+    own = world.near("region_cells", shape).join(covers, "region_id").filter("enclosed OR direct")
+    own = own.filter(F.expr(f"enclosed OR {shape.meets_box(box)}")).select("cell_id", F.expr(f"enclosed OR {shape.encloses_box(box)}").alias("inside"))
+    return own.unionByName(tested("stray_cells")).groupBy("cell_id").agg(F.bool_or("inside").alias("inside"))
+
+
 def area(world: World, shape: Shape, accuracy: Accuracy = "auto") -> DataFrame:
     """What lies in a polygon or rectangle.
 
@@ -71,11 +87,9 @@ def area(world: World, shape: Shape, accuracy: Accuracy = "auto") -> DataFrame:
     if accuracy not in ("poly-item", "poly-itembbox", "polybbox-item", "polybbox-itembbox", "poly-cell", "poly-cellbbox", "polybbox-cell", "polybbox-cellbbox"):
         accuracy = accuracy_for(shape)
     own = shape.box if accuracy.startswith("polybbox") else shape
-    box = box_columns()
-    met = world.cells.filter(F.expr(own.meets_box(box)))
+    marked = met_cells(world, own)
     if "cell" in accuracy:
-        return hits.of_cells(met)
-    marked = met.select("cell_id", F.expr(own.encloses_box(box)).alias("inside"))
+        return hits.of_cells(marked)
     inside, edge = marked.filter("inside").select("cell_id"), marked.filter("NOT inside").select("cell_id")
     found = items.meeting(world, own, exact="bbox" not in accuracy.partition("-")[2])
     there = world.cell_items.join(edge, "cell_id", "left_semi").select("cell_id", "item_id")
@@ -109,11 +123,12 @@ def crossed(world: World, points: list[Point]) -> DataFrame:
     """Full cells that a line meets."""
     literal = lambda p: (f"CAST({p[0]!r} AS DOUBLE)", f"CAST({p[1]!r} AS DOUBLE)")
     tests = [segment_meets_box(literal(a), literal(b), box_columns()) for a, b in zip(points, points[1:])]
-    return hits.of_cells(world.cells.filter(F.expr(" OR ".join(tests))))
+    return hits.of_cells(world.near("cell_boxes", Rect.around(points)).filter(F.expr(" OR ".join(tests))))
 
 
 def path(world: World, points: list[Point], radius: float = 0.0) -> DataFrame:
-    """Along a line: one point is a place; else the cells that the line meets, and those within radius metres of them."""
+    """Along a line: one point is a place. A short line of three points or more (it and the radius below SHORT) has the cells whose borders come within
+    radius metres of it; any other the cells that it meets, and those within radius metres of these."""
     from terralex.operators.distance import dilate
 
     points = [(float(a), float(b)) for a, b in points]
@@ -121,6 +136,8 @@ def path(world: World, points: list[Point], radius: float = 0.0) -> DataFrame:
         return cells(world, []).limit(0)
     if len(points) == 1:
         return point(world, *points[0], radius)
+    if len(points) > 2 and 0 < radius < SHORT and sum(distance(a, b) for a, b in zip(points, points[1:])) < SHORT:
+        return hits.of_cells(places.corridor(world, points, radius))
     found = crossed(world, points)
     return dilate(found, world, radius) if radius > 0 else found
 

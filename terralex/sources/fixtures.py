@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from terralex.sources.scratch import exists, new_path
-from terralex.sources.world import DERIVED, World
+from terralex.sources.world import DERIVED, World, stored
 
 SOURCES = ("region", "nation", "customer", "supplier", "orders")
 
@@ -101,28 +101,31 @@ NAMES = {
     "items": "item", "points": "point", "regions": "region", "cells": "cell", "cell_edges": "cell_edge", "cell_parents": "cell_parent", "cell_items": "cell_item", "tags": "tag",
     "phrases": "phrase", "outlines": "outline", "borders": "border",
 }
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str, tuple[str, ...]], str] = {}
 
 
 class FixtureWorld(World):
     """A world whose tables are written when they are first used, once in an application, and then read as those of any world."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.__dict__["source"] = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> None:
+        self.__dict__["source"] = spark, sf_dir, without
 
     def __getattribute__(self, name: str):
         return FixtureWorld._stored_table(self, name) if name in NAMES or name in DERIVED else super().__getattribute__(name)
 
     def _stored_table(self, name: str) -> DataFrame:
-        spark, sf_dir = self.source
-        key = spark.sparkContext.applicationId, sf_dir, name
+        spark, sf_dir, without = self.source
+        if name in without:
+            return None
+        key = spark.sparkContext.applicationId, sf_dir, name, without if name in DERIVED else ()
         if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
             table = DERIVED[name](self) if name in DERIVED else view(spark, sf_dir, f"fx_{NAMES[name]}")
             path = new_path(spark, f"world-{name}")
-            table.write.partitionBy(*["part"] * (name == "postings")).parquet(path)
+            stored(table, name, path)
             _stored[key] = path
         return spark.read.parquet(_stored[key])
 
 
-def world(spark: SparkSession, sf_dir: str) -> World:
-    return FixtureWorld(spark, sf_dir)
+def world(spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> World:
+    """without: optional tables that the world shall not have."""
+    return FixtureWorld(spark, sf_dir, without)

@@ -1,4 +1,4 @@
-"""The tables of a world: a Parquet folder each, read lazily.
+"""The tables of a world: a Parquet folder each, read lazily. Those with a place (:mod:`terralex.functions.curve`) are stored in its order.
 
 =============  =====================================================================================
 items          item_id, osm_type, is_region, shape (POINT, WAY, POLYGON), score
@@ -13,7 +13,13 @@ cell_parents   cell_id, region_id, direct: closure of the hierarchy, distinct
 cell_items     cell_id, item_id: distinct
 tags           item_id, k, v: a key may repeat
 phrases        phrase, k, v (optional)
-item_boxes     item_id, min_lat, max_lat, min_lon, max_lon (these and the next ones follow from the others, and are written with them)
+item_boxes     item_id, min_lat, max_lat, min_lon, max_lon, place (these and the next ones follow from the others, and are written with them)
+segments       item_id, kind (0 lone point, 1 part of a way, 2 part of a ring), lat, lon, to_lat, to_lon, place
+cell_boxes     cell_id, min_lat, max_lat, min_lon, max_lon, place
+cell_rings     cell_id, ring (vertices of the border in order), its box, place
+region_covers  region_id, parent_id, place and box of all its cells' boxes
+region_cells   region_id, cell_id, direct, box of the cell, place of the region's cover
+stray_cells    cell_id, box and place of cells that lie directly in no region
 cell_sizes     cell_id, n_items
 region_sizes   region_id, cells, pairs, items
 tag_values     value_id, v, low: the dictionary of values
@@ -25,13 +31,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terralex.functions.curve import NAME, laid_out, near, with_place
+from terralex.functions.geo import BOX, Shape
+from terralex.sources.scratch import exists
 
 #: Parts of the text index; which one holds a value follows from the value's number.
 PARTS = 32
-OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "cell_sizes", "region_sizes", "tag_values", "postings")
+OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "segments", "cell_boxes", "cell_rings", "region_covers", "region_cells", "stray_cells", "cell_sizes", "region_sizes", "tag_values", "postings")
 
 
 def rings(world: World) -> DataFrame:
@@ -54,7 +63,50 @@ def cell_borders(world: World) -> DataFrame:
 
 def _item_boxes(world: World) -> DataFrame:
     vertices = world.points.select("item_id", "lat", "lon").unionByName(rings(world).select("item_id", "lat", "lon"))
-    return vertices.groupBy("item_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))
+    return with_place(vertices.groupBy("item_id").agg(*_around("lat", "lon")))
+
+
+def _around(lat: str, lon: str) -> list[Column]:
+    return [F.min(lat).alias("min_lat"), F.max(lat).alias("max_lat"), F.min(lon).alias("min_lon"), F.max(lon).alias("max_lon")]
+
+
+def _segments(world: World) -> DataFrame:
+    """Lone points, and each piece of ways and of rings, which are closed."""
+    way = Window.partitionBy("item_id").orderBy("pos")
+    ahead, first = (lambda c: F.lead(c).over(way)), F.lag("pos").over(way).isNull()
+    lines = world.points.select("item_id", F.when(first & ahead("pos").isNull(), 0).otherwise(1).alias("kind"), "lat", "lon", ahead("lat").alias("to_lat"), ahead("lon").alias("to_lon"))
+    lines = lines.filter("kind = 0 OR to_lat IS NOT NULL").withColumn("to_lat", F.coalesce("to_lat", "lat")).withColumn("to_lon", F.coalesce("to_lon", "lon"))
+    ring = Window.partitionBy("item_id", "ring").orderBy("pos")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
+    areas = rings(world).select("item_id", F.lit(2).alias("kind"), "lat", "lon", following("lat").alias("to_lat"), following("lon").alias("to_lon"))
+    boxed = lines.unionByName(areas).withColumns({"min_lat": F.least("lat", "to_lat"), "max_lat": F.greatest("lat", "to_lat"), "min_lon": F.least("lon", "to_lon"), "max_lon": F.greatest("lon", "to_lon")})
+    return with_place(boxed).drop(*BOX)
+
+
+def _cell_boxes(world: World) -> DataFrame:
+    return with_place(world.cells.select("cell_id", *BOX))
+
+
+def _cell_rings(world: World) -> DataFrame:
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    return with_place(cell_borders(world).groupBy("cell_id").agg(ring.alias("ring"), *_around("lat", "lon")))
+
+
+def _region_covers(world: World) -> DataFrame:
+    held = world.cell_parents.select("cell_id", "region_id").join(world.cells, "cell_id").groupBy("region_id").agg(
+        F.min("min_lat").alias("min_lat"), F.max("max_lat").alias("max_lat"), F.min("min_lon").alias("min_lon"), F.max("max_lon").alias("max_lon")
+    )
+    return with_place(held.join(world.regions.select("region_id", "parent_id"), "region_id", "left"))
+
+
+def _region_cells(world: World) -> DataFrame:
+    covers = world.table("region_covers").select("region_id", "place")
+    return world.cell_parents.select("region_id", "cell_id", "direct").join(covers, "region_id").join(world.cells.select("cell_id", *BOX), "cell_id").select("region_id", "cell_id", "direct", *BOX, "place")
+
+
+def _stray_cells(world: World) -> DataFrame:
+    return world.table("cell_boxes").join(world.cell_parents.filter("direct").select("cell_id"), "cell_id", "left_anti")
 
 
 def _cell_sizes(world: World) -> DataFrame:
@@ -81,7 +133,15 @@ def _postings(world: World) -> DataFrame:
 
 
 #: Tables that follow from others, in an order in which they can be made.
-DERIVED = {"item_boxes": _item_boxes, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings}
+DERIVED = {
+    "item_boxes": _item_boxes, "segments": _segments, "cell_boxes": _cell_boxes, "cell_rings": _cell_rings, "region_covers": _region_covers, "region_cells": _region_cells, "stray_cells": _stray_cells, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings,
+}
+
+
+def stored(table: DataFrame, name: str, folder: str, mode: str = "errorifexists") -> None:
+    """Writes a table in the layout in which it is read."""
+    table = laid_out(table) if name in DERIVED and NAME in table.columns else table
+    table.write.mode(mode).partitionBy(*["part"] * (name == "postings")).parquet(folder)
 
 
 @dataclass(frozen=True)
@@ -98,6 +158,12 @@ class World:
     outlines: DataFrame | None = None
     borders: DataFrame | None = None
     item_boxes: DataFrame | None = None
+    segments: DataFrame | None = None
+    cell_boxes: DataFrame | None = None
+    cell_rings: DataFrame | None = None
+    region_covers: DataFrame | None = None
+    region_cells: DataFrame | None = None
+    stray_cells: DataFrame | None = None
     cell_sizes: DataFrame | None = None
     region_sizes: DataFrame | None = None
     tag_values: DataFrame | None = None
@@ -112,25 +178,28 @@ class World:
         """Tables of a folder. A missing table fails, unless it is optional."""
         found = {}
         for name in cls.names():
-            try:
+            if name not in optional or exists(spark, f"{folder}/{name}"):
                 found[name] = spark.read.parquet(f"{folder}/{name}")
-            except Exception as error:
-                if name not in optional or "PATH_NOT_FOUND" not in str(error):
-                    raise
         return cls(**found)
 
     def write(self, folder: str, mode: str = "errorifexists") -> None:
-        """All tables, also those that follow from others."""
+        """All tables, also those that follow from others, from what is already written."""
+        written = self
         for name in self.names():
-            if (table := self.table(name)) is not None:
-                by = ["part"] if name == "postings" else []
-                table.write.mode(mode).partitionBy(*by).parquet(f"{folder}/{name}")
+            if (table := written.table(name)) is not None:
+                stored(table, name, f"{folder}/{name}", mode)
+                written = World(**{n: getattr(written, n) for n in self.names()} | {name: self.spark.read.parquet(f"{folder}/{name}")})
 
     def table(self, name: str) -> DataFrame | None:
         """A table; one that follows from others is planned where it isn't stored."""
         found = getattr(self, name)
         return DERIVED[name](self) if found is None and name in DERIVED else found
 
+    def near(self, name: str, shape: Shape) -> DataFrame:
+        """Of a stored table the rows whose place is near the shape; all of one that is planned, or has no places."""
+        found = getattr(self, name)
+        return self.table(name) if found is None else near(found, shape)
+
     def views(self, prefix: str = "") -> None:
         for name in self.names():
             if (table := getattr(self, name)) is not None:
