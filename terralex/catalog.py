@@ -650,6 +650,19 @@ def clustered_counts(w):
     return hits.by_region(_building(w), w)
 
 
+@query(f"""
+    SELECT p.region_id, any_value(r.parent_id) AS parent_id, COUNT(DISTINCT h.cell_id) AS cells, COUNT(*) AS pairs, COUNT(DISTINCT h.cell_id) FILTER (direct) AS own_cells, COUNT(*) FILTER (direct) AS own_pairs
+    FROM ({BUILDING}) h JOIN fx_cell_parent p ON h.cell_id=p.cell_id JOIN fx_region r ON p.region_id=r.region_id GROUP BY 1""")
+def clustered_subset(w):
+    return hits.sub_hierarchy(_building(w), w)
+
+
+@query("SELECT DISTINCT item_id FROM fx_tag WHERE contains(lower(v), 'ation_1') UNION SELECT item_id FROM fx_tag WHERE suffix(lower(v), 'y')")
+def tag_value_trigrams(w):
+    """A part of a value by its trigrams, and an end too short for them."""
+    return items.with_value(w, "ATION_1").unionByName(items.with_value(w, "?y")).distinct()
+
+
 def stat(sql: str | None = None):
     """Registers a function of the larger table of tags."""
 

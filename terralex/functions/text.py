@@ -18,6 +18,30 @@ def matches(column: str, query: str) -> Column:
     return value.contains(text.strip("?"))
 
 
+#: Marks of a value's begin and end in its trigrams.
+BEGIN, END = "\x02", "\x03"
+
+
+def needed_trigrams(query: str) -> list[str]:
+    """Trigrams that each matching value has, with the marks around it; none where the query is too short to need any."""
+    text = query.lower()
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        text = BEGIN + text[1:-1] + END
+    elif text.endswith("?") and not text.startswith("?"):
+        text = BEGIN + text[:-1]
+    elif text.startswith("?") and not text.endswith("?"):
+        text = text[1:] + END
+    else:
+        text = text.strip("?")
+    return sorted({text[i : i + 3] for i in range(len(text) - 2)})
+
+
+def trigrams(column: str) -> Column:
+    """The different trigrams of a value, with the marks around it."""
+    marked = f"concat(chr(2), {column}, chr(3))"
+    return F.expr(f"IF(length({marked}) < 3, array(), array_distinct(transform(sequence(1, greatest(1, length({marked}) - 2)), i -> substr({marked}, i, 3))))")
+
+
 def packed_id(number: Column, kind: Column) -> Column:
     """Number and kind (0 to 3) in one long."""
     return F.shiftleft(number, 2).bitwiseOR(kind.cast("bigint"))

@@ -122,3 +122,13 @@ def by_region(hits: DataFrame, world: World) -> DataFrame:
     """Roll-up along the hierarchy: region_id, cells hit, full cells, pairs of hit cell and item."""
     parents = world.cell_parents.select("cell_id", "region_id")
     return parents.join(counted(hits, world), "cell_id").groupBy("region_id").agg(F.count("*").alias("cells"), F.sum(F.col("full_match").cast("bigint")).alias("full_cells"), F.sum("n").alias("pairs"))
+
+
+def sub_hierarchy(hits: DataFrame, world: World) -> DataFrame:
+    """The hierarchy cut down to regions with a hit cell: region_id, parent_id, cells and pairs (of a hit cell and an item) in the whole region, own_cells and own_pairs of those that lie
+    directly in it. As cells lie in all regions above theirs, the parent of a region that is left is left too; roots have none."""
+    own = F.col("direct").cast("bigint")
+    sums = world.cell_parents.join(counted(hits, world), "cell_id").groupBy("region_id").agg(
+        F.count("*").alias("cells"), F.sum("n").alias("pairs"), F.sum(own).alias("own_cells"), F.sum(own * F.col("n")).alias("own_pairs")
+    )
+    return sums.join(world.regions.select("region_id", "parent_id"), "region_id", "left").select("region_id", "parent_id", "cells", "pairs", "own_cells", "own_pairs")

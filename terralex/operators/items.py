@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from terralex.functions.curve import BEYOND
 from terralex.functions.geo import Point, Rect, Shape, box_columns
-from terralex.functions.text import matches
-from terralex.sources.world import PARTS, World, rings
+from terralex.functions.text import BEGIN, matches, needed_trigrams
+from terralex.operators.places import nested_rings
+from terralex.sources.world import World, rings
 
 
 def lookup(world: World, *item_ids: int) -> DataFrame:
@@ -30,7 +31,8 @@ def all_tags(world: World) -> DataFrame:
 
 
 def geometry_text(world: World) -> DataFrame:
-    """item_id, wkt: points, ways and areas as well-known text, to a thousandth of a degree. A way's vertices meet in one row."""
+    """item_id, wkt: points, ways and areas as well-known text, to a thousandth of a degree; an area of several outer rings is a MULTIPOLYGON, holes follow the ring that they are cut from.
+    An item's vertices meet in one row."""
     place = F.format_string("%.3f %.3f", "lon", "lat")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("place")))), lambda p: p["place"])
     lines = world.points.groupBy("item_id").agg(ordered.alias("places")).select(
@@ -38,8 +40,12 @@ def geometry_text(world: World) -> DataFrame:
     )
     closed = F.transform(F.array_sort(F.collect_list(F.struct("pos", place.alias("place")))), lambda p: p["place"])
     own = rings(world).groupBy("item_id", "ring").agg(closed.alias("places")).select("item_id", "ring", F.concat(F.lit("("), F.array_join(F.concat("places", F.slice("places", 1, 1)), ", "), F.lit(")")).alias("text"))
-    each = F.transform(F.array_sort(F.collect_list(F.struct("ring", "text"))), lambda r: r["text"])
-    areas = own.groupBy("item_id").agg(F.concat(F.lit("POLYGON ("), F.array_join(each, ", "), F.lit(")")).alias("wkt"))
+    nested = own if world.outlines is None else own.join(nested_rings(world.outlines), ["item_id", "ring"], "left")
+    nested = nested.withColumn("within", F.coalesce("within", "ring") if "within" in nested.columns else F.col("ring"))
+    listed = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "text"))), lambda r: r["text"]), ", ")
+    outer = nested.groupBy("item_id", "within").agg(F.concat(F.lit("("), listed((F.col("ring") != F.col("within")).alias("hole"), "ring"), F.lit(")")).alias("text"))
+    areas = outer.groupBy("item_id").agg(F.count("*").alias("n"), listed("within").alias("all"))
+    areas = areas.select("item_id", F.when(F.col("n") == 1, F.concat(F.lit("POLYGON "), "all")).otherwise(F.concat(F.lit("MULTIPOLYGON ("), "all", F.lit(")"))).alias("wkt"))
     return lines.unionByName(areas)
 
 
@@ -94,10 +100,22 @@ def in_rect(world: World, rect: Rect, among: DataFrame | None = None) -> DataFra
     return found if among is None else found.join(among.select("item_id"), "item_id", "left_semi")
 
 
+def values_like(world: World, query: str) -> DataFrame:
+    """Rows of a stored dictionary whose value matches. What a value begins with is found by its order, anything else of three letters or more by the
+    trigrams that it must have, so only values with all of them are read and compared; shorter queries compare all values."""
+    values, grams = world.tag_values, needed_trigrams(query)
+    if grams and world.value_grams is not None and not grams[0].startswith(BEGIN):
+        having = world.value_grams.filter(F.col("gram").isin(*grams)).groupBy("chunk", "value_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+        values = values.join(having.select("chunk", "value_id"), ["chunk", "value_id"], "left_semi")
+    return values.filter(matches("low", query))
+
+
 def with_value(world: World, query: str) -> DataFrame:
-    """Items with a tag whose value matches. The dictionary holds each value once; only the parts of the index that its matches name are read."""
-    found = world.table("tag_values").filter(matches("low", query)).select("value_id", F.pmod("value_id", F.lit(PARTS)).cast("int").alias("part"))
-    return world.table("postings").join(found, ["part", "value_id"], "left_semi").select("item_id").distinct()
+    """Items with a tag whose value matches. Of a stored world only the parts of the index that the matching values name are read."""
+    if world.postings is None or world.tag_values is None:
+        return world.tags.filter(F.col("v").isNotNull()).withColumn("low", F.lower("v")).filter(matches("low", query)).select("item_id").distinct()
+    found = values_like(world, query).select("value_id", F.explode(F.sequence("first_part", "last_part")).alias("part"))
+    return world.postings.join(found, ["part", "value_id"], "left_semi").select("item_id").distinct()
 
 
 def with_key(world: World, keys: Iterable[str]) -> DataFrame:

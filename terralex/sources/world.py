@@ -22,8 +22,9 @@ region_cells   region_id, cell_id, direct, box of the cell, place of the region'
 stray_cells    cell_id, box and place of cells that lie directly in no region
 cell_sizes     cell_id, n_items
 region_sizes   region_id, cells, pairs, items
-tag_values     value_id, v, low: the dictionary of values
+tag_values     value_id, v, low, n, first_part, last_part, chunk: the dictionary of values, and the parts of the index that hold their items
 postings       part, value_id, item_id: the text index
+value_grams    gram, value_id, chunk: trigrams of values, for queries that don't say how a value begins
 =============  =====================================================================================
 """
 
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 
 from terralex.functions.curve import NAME, laid_out, near, with_place
 from terralex.functions.geo import BOX, Shape
-from terralex.sources.scratch import exists
+from terralex.functions.text import trigrams
+from terralex.sources.scratch import exists, written
 
-#: Parts of the text index; which one holds a value follows from the value's number.
-PARTS = 32
-OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "segments", "cell_boxes", "cell_rings", "region_covers", "region_cells", "stray_cells", "cell_sizes", "region_sizes", "tag_values", "postings")
+#: Rows of a part of the text index, about, and how many parts there are at most.
+PART_ROWS, MOST_PARTS = 1 << 20, 4096
+OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "segments", "cell_boxes", "cell_rings", "region_covers", "region_cells", "stray_cells", "cell_sizes", "region_sizes", "tag_values", "postings", "value_grams")
 
 
 def rings(world: World) -> DataFrame:
@@ -122,26 +124,48 @@ def _region_sizes(world: World) -> DataFrame:
 
 
 def _tag_values(world: World) -> DataFrame:
-    """value_id, v, low (in lower case): each value once, sorted, so that readers skip what can't match."""
-    return world.tags.filter("v IS NOT NULL").select("v").distinct().select(F.xxhash64("v").alias("value_id"), "v", F.lower("v").alias("low")).sort("low")
+    """value_id, v, low (in lower case), n (its items), first_part, last_part, chunk: each value once. Ids follow the order of low, so readers skip what can't match.
+
+    The index is cut by the running number of its rows into parts of about PART_ROWS (more where that made over MOST_PARTS), so a frequent value has several parts and rare ones share one."""
+    counts = world.tags.filter("v IS NOT NULL").select("v", "item_id").distinct().groupBy("v").agg(F.count("*").alias("n")).withColumn("low", F.lower("v"))
+    ordered = counts.repartitionByRange("low", "v").sortWithinPartitions("low", "v").withColumn("chunk", F.spark_partition_id()).withColumn("value_id", F.monotonically_increasing_id())
+    ordered = written(ordered, "values")
+    ahead = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    chunks = ordered.groupBy("chunk").agg(F.sum("n").alias("rows"))
+    rows = max(PART_ROWS, -(-(chunks.agg(F.sum("rows")).first()[0] or 0) // MOST_PARTS))
+    chunks = chunks.select("chunk", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("chunk").orderBy("value_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(chunks, "chunk")
+    part = lambda more: F.floor((F.col("before") + F.col("own") + more) / rows).cast("int")
+    placed = placed.select("value_id", "v", "low", "n", part(F.lit(0)).alias("first_part"), part(F.col("n") - 1).alias("last_part"), "chunk")
+    return placed.repartition("chunk").sortWithinPartitions("chunk", "value_id")
 
 
 def _postings(world: World) -> DataFrame:
-    """part, value_id, item_id: the items of a value, in the part of the value."""
-    pairs = world.tags.filter("v IS NOT NULL").select(F.xxhash64("v").alias("value_id"), "item_id").distinct()
-    return pairs.withColumn("part", F.pmod("value_id", F.lit(PARTS)).cast("int")).repartition("part").sortWithinPartitions("part", "value_id", "item_id")
+    """part, value_id, item_id: the items of a value, dealt over its parts."""
+    values = world.table("tag_values").select("v", "value_id", "first_part", "last_part")
+    part = F.col("first_part") + F.pmod(F.xxhash64("item_id"), F.col("last_part") - F.col("first_part") + 1).cast("int")
+    pairs = world.tags.filter("v IS NOT NULL").select("v", "item_id").distinct().join(values, "v").select(part.alias("part"), "value_id", "item_id")
+    parts = (values.agg(F.max("last_part")).first()[0] or 0) + 1
+    return pairs.repartition(parts, "part").sortWithinPartitions("part", "value_id", "item_id")
+
+
+def _value_grams(world: World) -> DataFrame:
+    """gram, value_id, chunk: the values that have a trigram, in the order of trigrams."""
+    grams = world.table("tag_values").select(F.explode(trigrams("low")).alias("gram"), "value_id", "chunk")
+    return grams.repartitionByRange("gram", "value_id").sortWithinPartitions("gram", "value_id")
 
 
 #: Tables that follow from others, in an order in which they can be made.
 DERIVED = {
-    "item_boxes": _item_boxes, "segments": _segments, "cell_boxes": _cell_boxes, "cell_rings": _cell_rings, "region_covers": _region_covers, "region_cells": _region_cells, "stray_cells": _stray_cells, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings,
+    "item_boxes": _item_boxes, "segments": _segments, "cell_boxes": _cell_boxes, "cell_rings": _cell_rings, "region_covers": _region_covers, "region_cells": _region_cells, "stray_cells": _stray_cells, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings, "value_grams": _value_grams,
 }
 
 
 def stored(table: DataFrame, name: str, folder: str, mode: str = "errorifexists") -> None:
     """Writes a table in the layout in which it is read."""
     table = laid_out(table) if name in DERIVED and NAME in table.columns else table
-    table.write.mode(mode).partitionBy(*["part"] * (name == "postings")).parquet(folder)
+    table.write.mode(mode).partitionBy(*{"postings": ["part"], "tag_values": ["chunk"]}.get(name, [])).parquet(folder)
 
 
 @dataclass(frozen=True)
@@ -168,6 +192,7 @@ class World:
     region_sizes: DataFrame | None = None
     tag_values: DataFrame | None = None
     postings: DataFrame | None = None
+    value_grams: DataFrame | None = None
 
     @classmethod
     def names(cls) -> list[str]:

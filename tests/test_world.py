@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from terralex.functions.circles import min_annulus, min_circle
 from terralex.functions.geo import Polygon, Rect, hull, segment_meets_box
 from terralex.functions.geo import distance as geo_distance
-from terralex.operators import coverage, distance, hits, items, leaves
+from terralex.operators import coverage, distance, hits, items, leaves, places
+from terralex.sources import world as world_module
 from terralex.sources.world import World, read_phrases, validate
 
 
@@ -75,7 +76,8 @@ def test_areas_with_holes(shaped):
     whole = {r.item_id for r in items.meeting(shaped, Polygon(((21.0, 21.0), (21.0, 21.5), (21.5, 21.2)))).collect()}
     assert whole == {20}  # it lies inside, no vertex and no segment meets it
     text = {r.item_id: r.wkt for r in items.geometry_text(shaped).collect()}
-    assert text[20].count("(") == 4 and text[3] == "POLYGON ((2.000 0.000, 4.000 0.000, 4.000 1.000, 2.000 0.000))"
+    ring = lambda a, b: f"({a}.000 {a}.000, {b}.000 {a}.000, {b}.000 {b}.000, {a}.000 {b}.000, {a}.000 {a}.000)"
+    assert text[20] == f"MULTIPOLYGON (({ring(20, 30)}, {ring(22, 28)}), ({ring(24, 26)}))" and text[3] == "POLYGON ((2.000 0.000, 4.000 0.000, 4.000 1.000, 2.000 0.000))"
 
 
 def test_smallest_circles_and_annuli():
@@ -237,3 +239,39 @@ def test_hull_holds_its_points():
     assert len({t > 0 for t in turns}) == 1 and set(ring) <= set(dots)
     assert all(_winding(Polygon(tuple(ring)), *d) for d in dots if d not in ring)
     assert hull([(1.0, 1.0)] * 3) == [(1.0, 1.0)]
+
+
+def test_two_islands_and_a_lake(shaped, spark):
+    square = lambda a, o, d: [(a, o), (a, o + d), (a + d, o + d), (a + d, o)]
+    rings_ = {(40, 7): square(0, 0, 10), (40, 2): square(50, 50, 10), (40, 5): square(51, 51, 2), (40, 3): square(55, 55, 4), (40, 9): square(56, 56, 2), (40, 1): square(56.5, 56.5, 0.5), (41, 0): square(1, 1, 1)}
+    outlines = spark.createDataFrame([(i, r, k, float(a), float(o)) for (i, r), points in rings_.items() for k, (a, o) in enumerate(points)], "item_id long, ring int, pos int, lat double, lon double")
+    within = {(x.item_id, x.ring): x.within for x in places.nested_rings(outlines).collect()}
+    assert within == {(40, 7): 7, (40, 2): 2, (40, 5): 2, (40, 3): 2, (40, 9): 9, (40, 1): 9, (41, 0): 0}
+    world = World(**{n: getattr(shaped, n) for n in World.names()} | {"outlines": outlines})
+    text = {r.item_id: r.wkt for r in items.geometry_text(world).collect()}
+    assert text[40].startswith("MULTIPOLYGON (((50.000 50.000") and text[40].count("((") == 3 + 1 - 1 and text[41].startswith("POLYGON ((1.000 1.000")
+
+
+def test_a_frequent_value_is_written_evenly(spark, small, tmp_path, monkeypatch):
+    """Half of all items have one value; parts have about as many rows all the same, and searches find what a scan finds."""
+    monkeypatch.setattr(world_module, "PART_ROWS", 50)
+    rare = [(i, "name", f"Street {i % 83} of Ward") for i in range(400)] + [(i, "x", v) for i, v in enumerate(["", "a", "ab", "AB", "abc", "ABC", "É", "né?", "x\x03", "\x02x"])]
+    tags = spark.createDataFrame([(i, "kind", "House") for i in range(400)] + rare, "item_id long, k string, v string")
+    plain = World(**{n: getattr(small, n) for n in World.names()} | {"tags": tags})
+    plain.write(str(tmp_path / "world"))
+    again = World.load(spark, str(tmp_path / "world"))
+    sizes = [r["count"] for r in again.postings.groupBy("part").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 100
+    house = again.tag_values.filter("low = 'house'").first()
+    assert house.n == 400 and house.last_part - house.first_part >= 7
+    assert again.tag_values.count() == again.tag_values.select("value_id").distinct().count() == tags.select("v").distinct().count()
+    for query in ("house", '"HOUSE"', "hou?", "?use", "street 7", "?ward", "s", "?d", "ab", '"ab"', "abc", "é", "né?", "?é", "reet 1", "x", "nothing here", "eet 80 of"):
+        assert sorted(r.item_id for r in items.with_value(again, query).collect()) == sorted(r.item_id for r in items.with_value(plain, query).collect())
+    plan = items.values_like(again, "reet 80")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "PushedFilters: [In(gram" in plan
+
+
+def test_sub_hierarchy_of_hits(small):
+    found = {r.region_id: tuple(r)[1:] for r in hits.sub_hierarchy(leaves.text(small, "bar", "items"), small).collect()}
+    assert found == {1: (None, 1, 1, 0, 0), 2: (1, 1, 1, 1, 1)}
+    assert hits.sub_hierarchy(leaves.cells(small, []), small).isEmpty()
