@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terralex.functions.geo import Rect
 from terralex.functions.text import matches, packed_id, packed_kind, packed_number
-from terralex.operators import coverage, distance, hits, items, leaves, places, stats
+from terralex.operators import coverage, distance, hits, items, leaves, places, stats, tree
 from terralex.sources import fixtures
 from terralex.sources.scratch import new_path
 from terralex.sources.world import World, validate
@@ -173,7 +173,7 @@ def store_stats(w):
     return items.store_stats(w)
 
 
-@query("SELECT COUNT(*) AS rules, CAST(0 AS BIGINT) AS broken FROM range(12)")
+@query("SELECT COUNT(*) AS rules, CAST(0 AS BIGINT) AS broken FROM range(13)")
 def validate_counts(w):
     return validate(w).agg(F.count("*").alias("rules"), F.sum("violations").alias("broken"))
 
@@ -640,6 +640,12 @@ def region_sizes(w):
     return coverage.region_sizes(w)
 
 
+@query("SELECT cell_id, region_id, direct FROM fx_cell_parent")
+def cell_parents_closed(w):
+    """All regions of each cell, from the direct ones and the regions' parents."""
+    return tree.closed(w.cell_parents.filter("direct"), w.regions.select(F.col("region_id").alias("node"), F.col("parent_id").alias("parent")))
+
+
 @query(f"SELECT p.region_id, COUNT(DISTINCT h.cell_id) AS cells, CAST(0 AS BIGINT) AS full_cells, COUNT(*) AS pairs FROM ({BUILDING}) h JOIN fx_cell_parent p ON h.cell_id=p.cell_id WHERE h.cell_id IN ({REGION7}) GROUP BY 1")
 def minimum_slice(w):
     return hits.by_region(hits.intersect(_building(w), leaves.region(w, 7)), w)
@@ -667,7 +673,7 @@ def stat(sql: str | None = None):
     """Registers a function of the larger table of tags."""
 
     def register(f: Callable[[DataFrame], DataFrame]) -> Callable:
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures.view(spark, sf_dir, "fx_bulk_tag"))
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures.table(spark, sf_dir, "fx_bulk_tag"))
         if sql:
             _SQL[f.__name__] = fixtures.with_views(sql)
         return f

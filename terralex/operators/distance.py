@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terralex.functions.circles import min_annulus, min_circle
 from terralex.functions.geo import EARTH, haversine
 from terralex.operators import hits
-from terralex.sources.world import World, cell_borders
+from terralex.sources.world import World, cell_borders, reaching
 
 Metric = Literal["center", "sphere", "min_sphere", "annulus"]
 
@@ -30,18 +30,14 @@ def _centres(group: pd.DataFrame, metric: Metric) -> pd.DataFrame:
 def discs(world: World, metric: Metric = "sphere") -> DataFrame:
     """cell_id, lat, lon, radius, inner: the disc of each cell around the vertices of its border, degrees as a plane for centres.
 
-    center: the middle of its box, no radius. sphere: the mean of the vertices. min_sphere: the smallest circle. annulus: the
+    center: the middle of its box, no radius. sphere: the mean of the vertices, stored with a world. min_sphere: the smallest circle. annulus: the
     annulus with the least area. Radius and inner radius are those of the furthest and of the nearest vertex."""
     if metric == "center":
         return world.cells.select("cell_id", F.expr("(min_lat+max_lat)/2 AS lat"), F.expr("(min_lon+max_lon)/2 AS lon"), F.lit(0.0).alias("radius"), F.lit(0.0).alias("inner"))
-    own = cell_borders(world).select("cell_id", "lat", "lon").distinct()
     if metric == "sphere":
-        centres = own.groupBy("cell_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    else:
-        centres = own.groupBy("cell_id").applyInPandas(lambda g: _centres(g, metric), "cell_id long, lat double, lon double")
-    reach = F.expr(haversine("lat", "lon", "to_lat", "to_lon"))
-    ends = own.select("cell_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
-    return centres.join(ends, "cell_id").groupBy("cell_id").agg(F.any_value("lat").alias("lat"), F.any_value("lon").alias("lon"), F.max(reach).alias("radius"), F.min(reach).alias("inner"))
+        return world.table("cell_discs").select("cell_id", "lat", "lon", "radius", "inner")
+    own = cell_borders(world).select("cell_id", "lat", "lon").distinct()
+    return reaching(own, own.groupBy("cell_id").applyInPandas(lambda g: _centres(g, metric), "cell_id long, lat double, lon double"))
 
 
 def between_cells(metric_discs: DataFrame, pairs: DataFrame) -> DataFrame:

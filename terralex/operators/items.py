@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terralex.functions.curve import BEYOND
 from terralex.functions.geo import Point, Rect, Shape, box_columns
 from terralex.functions.text import BEGIN, matches, needed_trigrams
+from terralex.operators import tree
 from terralex.operators.places import nested_rings
 from terralex.sources.world import World, rings
 
@@ -169,8 +170,11 @@ def of_tag_nodes(world: World, *paths: tuple[str, ...]) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """path, ancestors (names from the root, comma-separated), depth."""
-    return nodes.select("path", F.concat_ws(",", "parent_path", "name").alias("ancestors"), F.when(F.col("parent_path").isNull(), 1).otherwise(2).alias("depth"))
+    """path, ancestors (names from the root, comma-separated), depth, of a tree (path, parent_path, name) of any depth."""
+    higher = tree.above(nodes.select(F.col("path").alias("node"), F.col("parent_path").alias("parent"))).join(nodes.select(F.col("path").alias("above"), "name"), "above")
+    chains = nodes.select("path", F.lit(0).alias("steps"), "name").unionByName(higher.select(F.col("node").alias("path"), "steps", "name"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "name"))), lambda n: n["name"])  # as many as the tree is deep
+    return chains.groupBy("path").agg(F.array_join(ordered, ",").alias("ancestors"), F.count("*").cast("int").alias("depth"))
 
 
 def of_phrases(world: World, *phrases: str) -> DataFrame:

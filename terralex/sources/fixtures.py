@@ -126,6 +126,16 @@ class FixtureWorld(World):
         return spark.read.parquet(_stored[key])
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view, written when it is first used, once in an application."""
+    key = spark.sparkContext.applicationId, sf_dir, name, ()
+    if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
+        path = new_path(spark, name)
+        view(spark, sf_dir, name).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def world(spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> World:
     """without: optional tables that the world shall not have."""
     return FixtureWorld(spark, sf_dir, without)

@@ -17,6 +17,7 @@ item_boxes     item_id, min_lat, max_lat, min_lon, max_lon, place (these and the
 segments       item_id, kind (0 lone point, 1 part of a way, 2 part of a ring), lat, lon, to_lat, to_lon, place
 cell_boxes     cell_id, min_lat, max_lat, min_lon, max_lon, place
 cell_rings     cell_id, ring (vertices of the border in order), its box, place
+cell_discs     cell_id, lat, lon, radius, inner: the disc of each cell, around the mean of its border's vertices
 region_covers  region_id, parent_id, place and box of all its cells' boxes
 region_cells   region_id, cell_id, direct, box of the cell, place of the region's cover
 stray_cells    cell_id, box and place of cells that lie directly in no region
@@ -36,13 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralex.functions.curve import NAME, laid_out, near, with_place
-from terralex.functions.geo import BOX, Shape
+from terralex.functions.geo import BOX, Shape, haversine
 from terralex.functions.text import trigrams
 from terralex.sources.scratch import exists, written
 
 #: Rows of a part of the text index, about, and how many parts there are at most.
 PART_ROWS, MOST_PARTS = 1 << 20, 4096
-OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "segments", "cell_boxes", "cell_rings", "region_covers", "region_cells", "stray_cells", "cell_sizes", "region_sizes", "tag_values", "postings", "value_grams")
+OPTIONAL = ("phrases", "outlines", "borders", "item_boxes", "segments", "cell_boxes", "cell_rings", "cell_discs", "region_covers", "region_cells", "stray_cells", "cell_sizes", "region_sizes", "tag_values", "postings", "value_grams")
 
 
 def rings(world: World) -> DataFrame:
@@ -95,6 +96,19 @@ def _cell_rings(world: World) -> DataFrame:
     return with_place(cell_borders(world).groupBy("cell_id").agg(ring.alias("ring"), *_around("lat", "lon")))
 
 
+def _cell_discs(world: World) -> DataFrame:
+    """cell_id, lat, lon, radius, inner: around the mean of the different vertices of a cell's border, to the furthest and to the nearest of them."""
+    return reaching(cell_borders(world).select("cell_id", "lat", "lon").distinct(), None)
+
+
+def reaching(own: DataFrame, centres: DataFrame | None) -> DataFrame:
+    """Discs around centres (cell_id, lat, lon; the means, where there are none) with the reach to vertices (cell_id, lat, lon)."""
+    centres = own.groupBy("cell_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")) if centres is None else centres
+    reach = F.expr(haversine("lat", "lon", "to_lat", "to_lon"))
+    ends = own.select("cell_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    return centres.join(ends, "cell_id").groupBy("cell_id").agg(F.any_value("lat").alias("lat"), F.any_value("lon").alias("lon"), F.max(reach).alias("radius"), F.min(reach).alias("inner"))
+
+
 def _region_covers(world: World) -> DataFrame:
     held = world.cell_parents.select("cell_id", "region_id").join(world.cells, "cell_id").groupBy("region_id").agg(
         F.min("min_lat").alias("min_lat"), F.max("max_lat").alias("max_lat"), F.min("min_lon").alias("min_lon"), F.max("max_lon").alias("max_lon")
@@ -158,7 +172,7 @@ def _value_grams(world: World) -> DataFrame:
 
 #: Tables that follow from others, in an order in which they can be made.
 DERIVED = {
-    "item_boxes": _item_boxes, "segments": _segments, "cell_boxes": _cell_boxes, "cell_rings": _cell_rings, "region_covers": _region_covers, "region_cells": _region_cells, "stray_cells": _stray_cells, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings, "value_grams": _value_grams,
+    "item_boxes": _item_boxes, "segments": _segments, "cell_boxes": _cell_boxes, "cell_rings": _cell_rings, "cell_discs": _cell_discs, "region_covers": _region_covers, "region_cells": _region_cells, "stray_cells": _stray_cells, "cell_sizes": _cell_sizes, "region_sizes": _region_sizes, "tag_values": _tag_values, "postings": _postings, "value_grams": _value_grams,
 }
 
 
@@ -185,6 +199,7 @@ class World:
     segments: DataFrame | None = None
     cell_boxes: DataFrame | None = None
     cell_rings: DataFrame | None = None
+    cell_discs: DataFrame | None = None
     region_covers: DataFrame | None = None
     region_cells: DataFrame | None = None
     stray_cells: DataFrame | None = None
@@ -248,7 +263,8 @@ def read_phrases(spark: SparkSession, path: str, tags: DataFrame) -> DataFrame:
 
 
 def validate(world: World) -> DataFrame:
-    """check, violations: one row per rule between the tables."""
+    """check, violations: one row per rule between the tables. Regions above themselves are looked for while the plan is composed."""
+    from terralex.operators.tree import endless
 
     def lost(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
         return left.select(F.col(left_key).alias("id")).join(right.select(F.col(right_key).alias("id")), "id", "left_anti")
@@ -268,6 +284,7 @@ def validate(world: World) -> DataFrame:
         "cell parents of no region": lost(world.cell_parents, world.regions, "region_id", "region_id"),
         "regions that are no item": lost(world.regions, world.items.filter("is_region"), "region_id", "item_id"),
         "parents that are no region": lost(world.regions.filter("parent_id IS NOT NULL"), world.regions, "parent_id", "region_id"),
+        "regions above themselves": endless(world.regions.select(F.col("region_id").alias("node"), F.col("parent_id").alias("parent"))),
         "edges to no cell": lost(world.cell_edges, world.cells, "dst", "cell_id"),
     }
     out = None

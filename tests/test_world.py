@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terralex.functions.circles import min_annulus, min_circle
 from terralex.functions.geo import Polygon, Rect, hull, segment_meets_box
 from terralex.functions.geo import distance as geo_distance
-from terralex.operators import coverage, distance, hits, items, leaves, places
+from terralex.operators import coverage, distance, hits, items, leaves, places, tree
 from terralex.sources import world as world_module
 from terralex.sources.world import World, read_phrases, validate
 
@@ -275,3 +275,28 @@ def test_sub_hierarchy_of_hits(small):
     found = {r.region_id: tuple(r)[1:] for r in hits.sub_hierarchy(leaves.text(small, "bar", "items"), small).collect()}
     assert found == {1: (None, 1, 1, 0, 0), 2: (1, 1, 1, 1, 1)}
     assert hits.sub_hierarchy(leaves.cells(small, []), small).isEmpty()
+
+
+def test_trees_of_any_depth(spark, small):
+    r = random.Random(4)
+    parent = {n: r.randrange(max(0, n - 3), n) if n else None for n in range(120)}  # some 60 levels
+    edges = spark.createDataFrame(list(parent.items()), "node long, parent long")
+    want = set()
+    for n in parent:
+        at, steps = parent[n], 1
+        while at is not None:
+            want.add((n, at, steps))
+            at, steps = parent[at], steps + 1
+    assert {tuple(x) for x in tree.above(edges).collect()} == want and max(s for *_, s in want) > 30
+    assert tree.endless(edges).isEmpty() and tree.above(edges.limit(0)).isEmpty()
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 6), (6, None), (7, 7)], "node long, parent long")
+    assert {x.node for x in tree.endless(ring).collect()} == {1, 2, 3, 4, 7}
+    with pytest.raises(ValueError):
+        tree.above(ring)
+    nodes = spark.createDataFrame([("a", None, "a"), ("a:b", "a", "b"), ("a:b:c", "a:b", "c"), ("a:b:c:d", "a:b:c", "d"), ("z", None, "z")], "path string, parent_path string, name string")
+    assert {x.path: (x.ancestors, x.depth) for x in items.ancestors(nodes).collect()} == {"a": ("a", 1), "a:b": ("a,b", 2), "a:b:c": ("a,b,c", 3), "a:b:c:d": ("a,b,c,d", 4), "z": ("z", 1)}
+    direct = spark.createDataFrame([(0, 3), (0, 2), (1, 2)], "cell_id long, region_id long")
+    up = spark.createDataFrame([(3, 2), (2, 1), (1, None)], "node long, parent long")
+    assert {tuple(x) for x in tree.closed(direct, up).collect()} == {(0, 3, True), (0, 2, True), (0, 1, False), (1, 2, True), (1, 1, False)}
+    looped = World(**{n: getattr(small, n) for n in World.names()} | {"regions": small.regions.withColumn("parent_id", F.expr("IF(region_id = 1, 3L, parent_id)"))})
+    assert {x.rule: x.violations for x in validate(looped).collect()}["regions above themselves"] == 3
