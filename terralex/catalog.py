@@ -590,6 +590,53 @@ def between_regions(w):
     return _shown(coverage.between(leaves.region(w, 5), leaves.region(w, 29), w))
 
 
+def _ends(**items_: tuple[int, int]) -> str:
+    """Coordinates of single vertices, as columns alat, alon and so on."""
+    return "SELECT " + ", ".join(f"max(CASE WHEN item_id={i} AND pos={p} THEN {c} END) AS {n}{c}" for n, (i, p) in items_.items() for c in ("lat", "lon")) + " FROM fx_point"
+
+
+def _whole_box(lats: list[str], lons: list[str], source: str) -> str:
+    """Cells that the box around some places meets: what a polygon of more than 250 km is cut down to."""
+    return f"SELECT cell_id, CAST(-1 AS BIGINT) AS item_id FROM fx_cell, {source} WHERE min_lat<=greatest({','.join(lats)}) AND max_lat>=least({','.join(lats)}) AND min_lon<=greatest({','.join(lons)}) AND max_lon>=least({','.join(lons)})"
+
+
+def _turned(lat: str, lon: str, angle: str, arc: str) -> tuple[str, str]:
+    """The place at the end of an arc, all in radians but for the result."""
+    end = f"asin(sin({lat})*cos({arc})+cos({lat})*sin({arc})*cos({angle}))"
+    return f"degrees({end})", f"degrees({lon}+atan2(sin({angle})*sin({arc})*cos({lat}),cos({arc})-sin({lat})*sin({end})))"
+
+
+#: Between places a and b: their difference of longitude, the middle of the way, its direction at a and its length as an arc.
+HALFWAY = """
+    SELECT *, atan2(sin(ra)+sin(rb),sqrt(power(cos(ra)+cos(rb)*cos(dl),2)+power(cos(rb)*sin(dl),2))) AS mlat, radians(alon)+atan2(cos(rb)*sin(dl),cos(ra)+cos(rb)*cos(dl)) AS mlon,
+           atan2(sin(dl)*cos(rb),cos(ra)*sin(rb)-sin(ra)*cos(rb)*cos(dl)) AS turn, 2*asin(sqrt(power(sin((rb-ra)/2),2)+cos(ra)*cos(rb)*power(sin(dl/2),2))) AS arc
+    FROM (SELECT *, radians(alat) AS ra, radians(blat) AS rb, radians(blon-alon) AS dl FROM e) r"""
+BESIDE = [_turned("mlat", "mlon", f"turn{sign}pi()/2", "arc/4") for sign in "+-"]
+
+
+@query(f"WITH e AS ({_ends(a=(31, 0), b=(33, 0))}), h AS ({HALFWAY}) {_whole_box(['alat', 'blat', *(lat for lat, _ in BESIDE)], ['alon', 'blon', *(lon for _, lon in BESIDE)], 'h')}")
+def between_points(w):
+    return _shown(coverage.between(leaves.item(w, 31), leaves.item(w, 33), w))
+
+
+@query(f"WITH e AS ({_ends(a=(1000000001, 0), b=(1000000001, 1), c=(1000000004, 0), d=(1000000004, 1))}) {_whole_box([f'{p}lat' for p in 'abcd'], [f'{p}lon' for p in 'abcd'], 'e')}")
+def between_ways(w):
+    return _shown(coverage.between(leaves.item(w, 1000000001), leaves.item(w, 1000000004), w))
+
+
+@query(f"WITH e AS ({_ends(a=(1000000001, 0), b=(1000000001, 1), c=(33, 0))}) {_whole_box([f'{p}lat' for p in 'abc'], [f'{p}lon' for p in 'abc'], 'e')}")
+def between_way_and_point(w):
+    return _shown(coverage.between(leaves.item(w, 1000000001), leaves.item(w, 33), w))
+
+
+NORTH = [_turned("mlat", "mlon", f"radians({angle})", "arc*sqrt(2)") for angle in (-45, 45)]
+
+
+@query(f"WITH e AS ({_ends(a=(1000000001, 0), b=(1000000001, 1))}), h AS ({HALFWAY}) {_whole_box(['alat', 'blat', *(lat for lat, _ in NORTH)], ['alon', 'blon', *(lon for _, lon in NORTH)], 'h')}")
+def compass_north_of_way(w):
+    return _shown(coverage.compass(leaves.item(w, 1000000001), w, "north"))
+
+
 # ---- distances
 
 @query(f"WITH d AS ({CENTRES}) SELECT e.src AS a, e.dst AS b, CAST(ROUND({GAP}) AS BIGINT) AS metres FROM fx_cell_edge e JOIN d a ON e.src=a.cell_id JOIN d b ON e.dst=b.cell_id")

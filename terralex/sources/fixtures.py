@@ -113,6 +113,10 @@ class FixtureWorld(World):
     def __getattribute__(self, name: str):
         return FixtureWorld._stored_table(self, name) if name in NAMES or name in DERIVED else super().__getattribute__(name)
 
+    def all_tables(self) -> dict[str, DataFrame | None]:
+        """Every table, written if it wasn't yet."""
+        return {name: getattr(self, name) for name in World.names()}
+
     def _stored_table(self, name: str) -> DataFrame:
         spark, sf_dir, without = self.source
         if name in without:
