@@ -784,7 +784,16 @@ def kv_overlap(t):
     return stats.overlaps(t, stats.top(stats.pair_counts(t), 12))
 
 
-@stat()
+@stat(f"""
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY n DESC, k, v) AS place FROM ({PAIRS}) c),
+    t AS (SELECT DISTINCT f.item_id, p.place, p.n FROM fx_bulk_tag f JOIN p ON f.k=p.k AND f.v=p.v),
+    o AS (SELECT a.place, b.place AS other FROM t a JOIN t b ON a.item_id=b.item_id AND a.place<>b.place GROUP BY a.place, b.place, a.n, b.n HAVING 200*COUNT(*) > a.n+b.n),
+    q AS (SELECT p.place, p.k, p.v, p.n, coalesce(any_value(l.others), []) AS others FROM p LEFT JOIN (SELECT place, list(other) AS others FROM o GROUP BY place) l ON p.place=l.place GROUP BY ALL),
+    late AS (SELECT MIN(place) AS place FROM q WHERE len([x for x in others if x < place]) < place-1),
+    one AS (SELECT MIN(q.place) AS place FROM q, late WHERE q.place<>late.place AND NOT list_contains(q.others, late.place)),
+    r AS (SELECT late.place, [one.place, late.place] AS chosen FROM late, one WHERE late.place IS NOT NULL
+          UNION ALL SELECT q.place, CASE WHEN list_has_any(q.others, r.chosen) THEN r.chosen ELSE list_append(r.chosen, q.place) END FROM r JOIN q ON q.place=r.place+1)
+    SELECT k, v, n FROM q JOIN (SELECT unnest(chosen[1:5]) AS place FROM r WHERE place=(SELECT MAX(place) FROM p)) c ON q.place=c.place""")
 def disjoint_topk(t):
     return t.sparkSession.createDataFrame(stats.disjoint_top(t, 5), "k string, v string, n long")
 

@@ -59,8 +59,8 @@ def values_of(pairs: DataFrame, key: str, k: int, rank: Column | None = None) ->
 
 
 def overlaps(tags: DataFrame, among: DataFrame) -> DataFrame:
-    """k, v, k2, v2, n: items with both, for pairs of tags in among (k, v), a bounded ranking; (k, v) sorts first."""
-    own = tags.join(F.broadcast(among.select("k", "v")), ["k", "v"], "left_semi").select("item_id", "k", "v").distinct()
+    """k, v, k2, v2, n: items with both, for pairs of tags in among (k, v), of any size; (k, v) sorts first."""
+    own = tags.join(among.select("k", "v"), ["k", "v"], "left_semi").select("item_id", "k", "v").distinct()
     other = own.select("item_id", F.col("k").alias("k2"), F.col("v").alias("v2"))
     return own.join(other, "item_id").filter(F.struct("k", "v") < F.struct("k2", "v2")).groupBy("k", "v", "k2", "v2").agg(F.count("*").alias("n"))
 

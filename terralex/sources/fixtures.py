@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralex.sources.scratch import exists, new_path
+from terralex.sources.scratch import exists, guard, new_path
 from terralex.sources.world import DERIVED, World, stored
 
 SOURCES = ("region", "nation", "customer", "supplier", "orders")
@@ -109,6 +109,7 @@ class FixtureWorld(World):
 
     def __init__(self, spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> None:
         self.__dict__["source"] = spark, sf_dir, without
+        guard(spark)
 
     def __getattribute__(self, name: str):
         return FixtureWorld._stored_table(self, name) if name in NAMES or name in DERIVED else super().__getattribute__(name)
@@ -132,6 +133,7 @@ class FixtureWorld(World):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, written when it is first used, once in an application."""
+    guard(spark)
     key = spark.sparkContext.applicationId, sf_dir, name, ()
     if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
         path = new_path(spark, name)

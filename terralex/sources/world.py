@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from terralex.functions.curve import NAME, laid_out, near, with_place
 from terralex.functions.geo import BOX, Shape, haversine
 from terralex.functions.text import trigrams
-from terralex.sources.scratch import exists, written
+from terralex.sources.scratch import exists, guard, written
 
 #: Rows of a part of the text index, about, and how many parts there are at most.
 PART_ROWS, MOST_PARTS = 1 << 20, 4096
@@ -209,6 +209,9 @@ class World:
     postings: DataFrame | None = None
     value_grams: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        guard(self.spark)
+
     @classmethod
     def names(cls) -> list[str]:
         return [f.name for f in fields(cls)]
