@@ -2,7 +2,7 @@
 
 Candidates share a bucket (a band of a sketch). They are compared by bucket, or buckets become stars around
 their smallest member and stars candidate groups, where chance candidates are too few to connect them. A bucket
-or group of more than ``BLOCK`` members is split into blocks, and each pair of blocks is one unit of work. A unit gives link counts and a spanning
+or group of more than ``BLOCK`` members is split into blocks, and each pair of blocks that share a bucket is one unit of work. A unit gives link counts and a spanning
 forest of its links, so rows follow the members and never the pairs. The number of members of a unit is
 bounded; units of a large group go to different tasks. Minima and sizes of groups are written before rows meet
 them: with plain shuffles on both sides of that join, Spark can split a hot group.
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex.llm.common import remove, written
@@ -65,6 +65,31 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return groups.join(written(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes"), "root").select("root", "node", "size")
 
 
+def _block(size: str = "size") -> Column:
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK)).cast("int")
+
+
+def partner_blocks(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """classes (node, bands), groups (root, node, size) -> groups and with: the blocks of its group that a node is compared with.
+
+    Of a group of more than ``BLOCK`` nodes these are its own block and those that hold a node with which it shares a bucket; so the copies of a node
+    follow its candidates, and not the size of a group that chance candidates connect. Where a bucket has nodes in half of a group's blocks or more, its
+    nodes go to all blocks instead of a row for each being made. No pair that shares a bucket is left out."""
+    groups = written(groups, "groups")
+    spots = written(
+        groups.filter(F.col("size") > BLOCK).join(classes.select("node", F.explode("bands").alias("bucket")), "node").select("node", "bucket", _block().alias("block"), F.ceil(F.col("size") / BLOCK).alias("blocks")), "spots"
+    )
+    held = written(spots.select("bucket", "block").distinct(), "held")
+    wide = written(held.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1"), "wide")
+    own = spots.join(wide, "bucket")
+    everywhere = own.filter("2 * held >= blocks").select("node").distinct().withColumn("all", F.lit(True))
+    near = own.filter("2 * held < blocks").join(held.withColumnRenamed("block", "other"), "bucket").filter("block <> other").select("node", "other").distinct()
+    near = near.groupBy("node").agg(F.collect_list("other").alias("near"))
+    every = F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)
+    some = F.array_append(F.coalesce("near", F.array().cast("array<int>")), _block())
+    return groups.join(near, "node", "left").join(everywhere, "node", "left").select("root", "node", "size", F.when(F.col("all") | (F.col("size") <= BLOCK), every).otherwise(some).alias("with"))
+
+
 #: Gets (payloads of left, payloads of right or None, bucket or group) -> Boolean matrix of links; None: left against itself.
 Kernel = Callable[[list, list | None, object], np.ndarray]
 
@@ -133,9 +158,9 @@ def _units(batches: Iterator[pa.RecordBatch], kernel: Kernel, prepare: Callable)
 def links(members: DataFrame, kernel: Kernel, prepare: Callable) -> DataFrame:
     """members (root, node, copies, payload, size of the root's group) -> (node, n, other): counts of linked documents, and edges that connect what is linked.
 
-    prepare(node, payload) makes what kernel gets, or None for a row that isn't the node's."""
-    sized = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    A member is compared with all blocks of its group, or with those of a column ``with``. prepare(node, payload) makes what kernel gets, or None for a row that isn't the node's."""
+    blocks = F.col("with") if "with" in members.columns else F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)
+    placed = members.withColumn("block", _block()).withColumn("with", F.explode(blocks))
     units = placed.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "copies", "payload")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")

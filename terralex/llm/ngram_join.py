@@ -3,8 +3,8 @@
 Documents with the same word sequence form one class. A class is sketched by MinHash over hashes of its
 word n-grams; ``bands_for`` chooses the number of bands and rows so that a pair at the threshold shares a band
 with the target recall. Classes are dealt by band hash; what shares one, directly or over others, is
-one candidate group, whose pairs are then verified on their full n-gram sets in blocks
-(:mod:`terralex.llm.linkage`). No pair is ever a row.
+one candidate group. Pairs are then verified on their full n-gram sets in blocks: all of a group of one
+block, and of a larger one those whose blocks share a bucket (:mod:`terralex.llm.linkage`). No pair is ever a row.
 
 Defined results: words are runs of digits, ASCII letters in lower case, and other characters. A text
 with fewer words than n has one n-gram, all its words. Texts without words link with nothing, each its
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralex.llm.common import encoded, mark, numbered, parts, release, text_of, words, written
-from terralex.llm.linkage import candidate_groups, linked_classes, links
+from terralex.llm.linkage import candidate_groups, linked_classes, links, partner_blocks
 
 N, THRESHOLD, RECALL, ROWS, SEED = 5, 0.8, 0.995, 7, 11
 
@@ -174,14 +174,14 @@ def jaccard_classes(docs: DataFrame, n: int = N, text: str = "text", doc_id: str
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.min(order)["row"].alias("first"))
     classes = written(classes, "classes")
-    wanted = candidate_groups(classes).join(classes.select("node", "rep", "first", "copies"), "node")
+    wanted = partner_blocks(classes, candidate_groups(classes)).join(classes.select("node", "rep", "first", "copies"), "node")
     if row:
         texts = docs.select(F.col(row).alias("number"), text_of(text).alias("text"))
         members = texts.join(wanted, texts["number"] == wanted["first"])
     else:
         texts = docs.select(F.col(doc_id).cast("long").alias("number"), text_of(text).alias("text"))
         members = texts.join(wanted, texts["number"].eqNullSafe(wanted["rep"]))
-    members = members.select("root", "node", "copies", "size", "text").mapInArrow(lambda b: _prepared(b, n), "root binary, node binary, copies long, size long, payload binary")
+    members = members.select("root", "node", "copies", "size", "with", "text").mapInArrow(lambda b: _prepared(b, n), "root binary, node binary, copies long, size long, with array<int>, payload binary")
     found = linked_classes(classes, links(members, jaccard_kernel, lambda _node, payload: np.frombuffer(payload, np.uint64)))
     return rows.select("doc_id", "row", "node"), found.join(classes.select("node", "first"), "node") if row else found
 

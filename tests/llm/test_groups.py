@@ -79,6 +79,22 @@ def test_jaccard_join_blocks_of_a_large_group(spark, monkeypatch):
     assert sum(r.n_links for r in got.values()) == 2 * len(links) > 100
 
 
+def test_jaccard_join_of_a_long_chain(spark, monkeypatch):
+    """A group that only its neighbours connect: nodes go to the blocks of their candidates, and no link is lost."""
+    monkeypatch.setattr(linkage, "BLOCK", 4)
+    rows = [(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 120))) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
+    links = brute_jaccard(rows)
+    got = {r.doc_id: r for r in ngram_join.jaccard_join(docs).collect()}
+    degree = [sum(i in pair for pair in links) for i, _ in rows]
+    assert {r.class_id for r in got.values()} == {0} and [got[i].n_links for i, _ in rows] == degree
+    classes = ngram_join.sketches(docs).select("node", "bands")
+    groups = linkage.candidate_groups(classes)
+    found = linkage.partner_blocks(classes, groups).collect()
+    assert {r.size for r in found} == {400} and max(max(r["with"]) for r in found) < 100
+    assert all(len(r["with"]) == len(set(r["with"])) for r in found) and sum(len(r["with"]) for r in found) < 400 * 100 / 3
+
+
 def test_jaccard_join_odd_rows(spark):
     docs = odd_docs(spark)
     got = sorted(((r.doc_id, r.class_id, r.n_links, r.kept) for r in ngram_join.jaccard_join(docs).collect()), key=str)
