@@ -44,6 +44,14 @@ def buckets_for(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts hold at most so many rows, as a batch is held by the JVM and by its Python worker at once; a session that asks for fewer keeps its number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def parts(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of ``column``, one row at least."""
     import numpy as np

@@ -113,7 +113,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndar
 
 def _sketched(batches: Iterator[pa.RecordBatch], n: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in parts(batch, "text", 1_000_000):
+        for part in parts(batch, "text", 250_000):
             joined = [normal(t) for t in encoded(part.column("text"))]
             filled = [i for i, j in enumerate(joined) if j]
             found: list = [None] * len(joined)
@@ -159,7 +159,7 @@ def jaccard_kernel(left: list[np.ndarray], right: list[np.ndarray] | None, _root
 def _prepared(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The n-gram set of each text, once; rows whose text isn't the node's have none."""
     for batch in batches:
-        for part in parts(batch, "text", 1_000_000):
+        for part in parts(batch, "text", 250_000):
             sets = []
             for node, text in zip(part.column("node").to_pylist(), encoded(part.column("text"))):
                 joined = normal(text)

@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scored(batches: Iterator[pa.RecordBatch], model, text_at: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in parts(batch, text_at, 1_000_000):
+        for part in parts(batch, text_at, 250_000):
             yield part.append_column(pa.field(name, pa.float64()), pa.array(model.value.scores(encoded(part.column(text_at)))))
 
 
