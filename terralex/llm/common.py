@@ -44,12 +44,17 @@ def buckets_for(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts hold at most so many rows, as a batch is held by the JVM and by its Python worker at once; a session that asks for fewer keeps its number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, rows)
+#: Settings of a session and the most that small_batches() leaves them: rows of an Arrow batch, its bytes, rows of a batch of the Parquet reader.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000, "spark.sql.parquet.columnarReaderBatchSize": 500}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts are small, as the JVM holds them whole and an Arrow batch is held by its Python worker too; a session that asks for smaller ones keeps its settings."""
+    for name, most in BATCHES.items():
+        asked = spark.conf.get(name)
+        now = int(asked) if asked.lstrip("-").isdigit() else spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(asked)
+        if now <= 0 or now > most:
+            spark.conf.set(name, most)
 
 
 def parts(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

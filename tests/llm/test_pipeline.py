@@ -9,7 +9,7 @@ import corpus_pipeline
 from test_groups import brute_jaccard, roots
 from test_texts import pieces_hold
 
-from terralex.llm import quality, secret_scan
+from terralex.llm import common, quality, secret_scan
 from terralex.llm.common import words, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,3 +55,18 @@ def test_extra_columns_nulls_and_no_rows(spark, data):
             stage(spark, rows, data).collect()
         corpus_pipeline.STAGES[-1][1](spark, rows, data).collect()
         assert corpus_pipeline.STAGES[0][1](spark, rows, data).columns == docs.columns
+
+
+def test_small_batches_only_lower_what_a_session_asks_for(spark):
+    before = {name: spark.conf.get(name) for name in common.BATCHES}
+    try:
+        common.small_batches(spark)
+        assert all(int(spark.conf.get(name)) <= most for name, most in common.BATCHES.items())
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        for asked in ("1m", "1000", "67108864b"):
+            spark.conf.set(name, asked)
+            common.small_batches(spark)
+            assert spark.conf.get(name) == (asked if asked != "67108864b" else str(common.BATCHES[name]))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
