@@ -781,7 +781,7 @@ def shannon_topk_kv(t):
     WITH p AS ({PAIRS} ORDER BY n DESC, k, v LIMIT 12), t AS (SELECT DISTINCT f.* FROM fx_bulk_tag f JOIN p ON f.k=p.k AND f.v=p.v)
     SELECT a.k, a.v, b.k AS k2, b.v AS v2, COUNT(*) AS n FROM t a JOIN t b ON a.item_id=b.item_id AND (a.k, a.v) < (b.k, b.v) GROUP BY 1, 2, 3, 4""")
 def kv_overlap(t):
-    return stats.overlaps(t, stats.top(stats.pair_counts(t), 12))
+    return stats.overlaps(t, F.broadcast(stats.top(stats.pair_counts(t), 12)))
 
 
 @stat(f"""

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from terralex import catalog
 from terralex.functions.geo import Rect
@@ -103,3 +104,20 @@ def test_disjoint_top_goes_through_all_tags(spark):
         tags = spark.createDataFrame(rows, "item_id long, k string, v string")
         assert stats.disjoint_top(tags, k, candidates) == brute_disjoint(rows, k)
     assert brute_disjoint(inside + apart, 3) == [("in", "00", 100), ("out", "a", 5), ("out", "b", 1)] and len(brute_disjoint(wide, 3)) == 3
+
+
+def test_tasks_that_group_by_item_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 50)
+    rows = [(i, "k", str(j)) for i in range(200) for j in range(4)] * 2 + [(None, "k", "0"), (None, "k", "1")]
+    tags = spark.createDataFrame(rows, "item_id long, k string, v string").repartition(3)
+    sets = stats.item_sets(tags, len(rows))
+    held = sets.select(F.spark_partition_id().alias("task"), F.size("own").alias("n")).groupBy("task").sum("n").collect()
+    assert len(held) > 20 and max(r[1] for r in held) < 100 and sum(r[1] for r in held) == 800
+    counts = {(r.v, r.v2): r.n for r in stats.overlaps(tags, F.broadcast(stats.top(stats.pair_counts(tags), 3))).collect()}
+    assert counts == {("0", "1"): 200, ("0", "2"): 200, ("1", "2"): 200}
+
+
+def test_items_meet_once(spark, data):
+    """All tags of frequent values in one task was what a join by tag made of kv_overlap and disjoint_topk."""
+    plan = QUERIES["kv_overlap"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(item_id") == 1
