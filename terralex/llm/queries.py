@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralex.llm import curriculum, embedding_dedup, exact_dedup, filter_audit, hard_negatives, license_scan, ngram_join, packing, secret_scan, sentence_pieces, suffix_dedup, warc
 from terralex.llm import quality as quality_model
-from terralex.llm.common import new_path, written
+from terralex.llm.common import new_path, small_batches, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sentence_pieces.summary(sentence_pieces.encode(table(spark, sf_dir, "documents")))
 
 

@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import text_of, written
+from terralex.llm.common import parts, text_of, written
 
 MODEL, GIANT, CHUNK, SEGMENT, UNKNOWN, CACHE = "piece_bpe_32k.model", 16_384, 4096, 256, 10.0, 200_000
 OFFSET, GRAIN = 100, 1 << 20
+#: Bytes of texts that a Python worker holds as strings at a time; a longer text is alone.
+SLICE = 250_000
 SPACE = "▁"
 NEVER = float("-inf")
 #: What lies between two places where every path has an edge.
@@ -294,7 +296,7 @@ def through(table: np.ndarray, state: np.ndarray) -> np.ndarray:
 
 def _small(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     v = vocabulary(model)
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, "text", SLICE)):
         rows = []
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
             own = prepared(text)
@@ -338,7 +340,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: str, size: int) -> Iterato
     """head: the text up to where all paths meet; core_*: what lies between the first and the last such place, coded; tail: the text behind.
     Without such a place head is the whole text, and the rest is empty."""
     v = vocabulary(model)
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, "text", SLICE)):
         for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
             odd, text, rows = SPACE in text, prepared(text), []
             for k, at in enumerate(range(0, len(text), size)):
@@ -416,7 +418,7 @@ TRACED = ["doc_id", "mark", "chunk", "odd", "n", "head", "meet", "core_n", "core
 def _traced(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     """The path of each chunk from its begin to its end; between the places where all paths meet it is known."""
     v = vocabulary(model)
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole, "core_ids", SLICE)):
         rows = []
         for doc, mark, chunk, odd, n, head, meet, core_n, core_score, core_ids, core_exact, tail, begin, end in zip(*(batch.column(c).to_pylist() for c in [*TRACED, "begin", "end"])):
             front, back = (head[begin:], tail[: n + end - len(head) - core_n]) if meet else (head[begin : n + end], "")

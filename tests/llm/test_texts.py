@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terralex.llm import license_scan, packing, quality, secret_scan, sentence_pieces, warc
+from terralex.llm import common, license_scan, packing, quality, queries, secret_scan, sentence_pieces, warc
 from terralex.llm.common import new_path, words, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -621,3 +621,18 @@ def test_own_columns_of_other_meaning_are_left_alone(spark):
         one, two = run(plain), run(odd)
         columns = [c for c in one.columns if c in two.columns and c not in ("sequence_id", "offset")]
         assert sorted(map(repr, one.select(columns).collect())) == sorted(map(repr, two.select(columns).collect()))
+
+
+def test_sentence_pieces_hold_few_texts_at_a_time(spark, data):
+    texts = ["some words " * 5000, None, "a", "short ones " * 900, *["b c " * 10_000] * 20]
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("text", pa.string())])
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "mark": [0] * len(texts), "text": [t or "" for t in texts]}, schema)
+    coded = list(sentence_pieces._small(iter([batch]), sentence_pieces.MODEL))
+    assert len(coded) > 3 and [i for b in coded for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    before = {name: spark.conf.get(name) for name in common.BATCHES}
+    try:
+        queries.op8_sentence_pieces(spark, data)
+        assert all(int(spark.conf.get(name)) <= most for name, most in common.BATCHES.items())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
